@@ -9,7 +9,7 @@ re-grouping by chunk.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.text import (
@@ -85,15 +85,19 @@ def derive_gazetteer(docs: DataFrame, n_terms: int = 30, min_len: int = 5, lang:
 
 
 def _ngrams(toks: Column, max_n: int) -> Column:
+    """Tokens followed by all 2..``max_n`` token sequences (space-joined), built with ``zip_with``
+    over shifted slices so each n-gram level is one linear pass."""
     grams = toks
+    shifted = toks
     for n in range(2, max_n + 1):
-        grams = F.concat(
-            grams,
-            F.transform(
-                F.sequence(F.lit(0), F.greatest(F.size(toks) - n, F.lit(-1))),
-                lambda i, n=n: F.array_join(F.slice(toks, i + 1, n), " "),
-            ),
+        m = F.size(toks) - n + 1
+        nxt = F.zip_with(
+            F.slice(shifted, 1, F.greatest(m, F.lit(1))),
+            F.slice(toks, n, F.greatest(m, F.lit(1))),
+            lambda a, b: F.concat(a, F.lit(" "), b),
         )
+        shifted = F.when(m >= 1, nxt).otherwise(F.array().cast("array<string>"))
+        grams = F.concat(grams, shifted)
     return grams
 
 
@@ -116,11 +120,13 @@ def extract_locations(
         if not rows:
             return chunks.withColumn(out_col, F.array().cast("array<string>"))
         lookup = F.create_map(*[F.lit(x) for r in rows for x in (r["term"], r["canonical"])])
-        grams = _ngrams(tokens(F.col(text_col)), max_ngram)
+        with_toks = chunks.withColumn("__toks", tokens(F.col(text_col)))
+        grams = _ngrams(F.col("__toks"), max_ngram)
         hits = F.filter(F.transform(grams, lambda g: F.try_element_at(lookup, g)), lambda x: x.isNotNull())
-        return chunks.withColumn(out_col, F.array_sort(F.array_distinct(hits)))
+        return with_toks.withColumn(out_col, F.array_sort(F.array_distinct(hits))).drop("__toks")
     # Large gazetteer: join on the token, then re-group by chunk and attach to the chunk rows.
-    grams = chunks.select(key_col, F.explode(_ngrams(tokens(F.col(text_col)), max_ngram)).alias("term"))
+    toks = chunks.select(key_col, tokens(F.col(text_col)).alias("__toks"))
+    grams = toks.select(key_col, F.explode(_ngrams(F.col("__toks"), max_ngram)).alias("term"))
     gaz = gazetteer.select("term", "canonical").dropDuplicates(["term"])
     if n_terms <= BROADCAST_GAZETTEER_LIMIT:
         gaz = F.broadcast(gaz)
@@ -147,8 +153,6 @@ def embed_request_batches(
     n = df.count()
     n_groups = max(1, -(-n // batch_size))
     grouped = df.select(key_col, text_col).withColumn("group_id", hash_bucket(F.col(key_col), n_groups))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("group_id").orderBy(key_col)
     numbered = grouped.withColumn("batch_no", F.floor((F.row_number().over(w) - 1) / F.lit(batch_size)).cast("int"))
     batches = numbered.groupBy("group_id", "batch_no").agg(

@@ -1,3 +1,78 @@
-"""Queries: q_tabular."""
+"""Queries: CSV sources and sinks, file listings, null handling, the wrangle job."""
 
 from __future__ import annotations
+
+from kestrel.operators import wrangle as W
+from kestrel.plans import fixtures as fx
+from kestrel.plans.registry import query
+from kestrel.session import read_table, scratch_path
+from kestrel.sources import io
+
+# The same null-injection rule in SQL (see fixtures.customer_with_nulls).
+CUSTOMER_NULLS = """cn AS (
+  SELECT c_custkey,
+         CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_name END AS c_name,
+         c_nationkey,
+         CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal,
+         CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment
+  FROM customer)"""
+
+
+@query("csv_scan", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def csv_scan(spark, sf_dir):
+    """customer written as CSV to the shared scratch folder, read back with an explicit schema."""
+    src = read_table(spark, sf_dir, "customer")
+    path = scratch_path(spark, "customer-csv")
+    src.write.mode("overwrite").option("header", True).csv(path)
+    return io.csv_scan(spark, path, schema=src.schema, index_col="c_custkey")
+
+
+@query("csv_sink", "WITH " + CUSTOMER_NULLS + " SELECT * FROM cn")
+def csv_sink(spark, sf_dir):
+    """customer with nulls written through the sink (index column first, header) and read back."""
+    df = fx.customer_with_nulls(spark, sf_dir)
+    path = io.csv_sink(df, scratch_path(spark, "csv-sink"), index_col="c_custkey")
+    return io.csv_scan(spark, path, schema=df.schema, index_col="c_custkey")
+
+
+@query("fill_null_literal", "WITH " + CUSTOMER_NULLS + " SELECT c_custkey, c_name, c_nationkey, c_acctbal, coalesce(c_mktsegment, 'None') AS c_mktsegment FROM cn")
+def fill_null_literal(spark, sf_dir):
+    return W.fill_null_literal(fx.customer_with_nulls(spark, sf_dir), {"c_mktsegment": "None"})
+
+
+@query(
+    "drop_null_rows",
+    "WITH " + CUSTOMER_NULLS + " SELECT * FROM cn WHERE c_name IS NOT NULL AND c_nationkey IS NOT NULL AND c_acctbal IS NOT NULL AND c_mktsegment IS NOT NULL",
+)
+def drop_null_rows(spark, sf_dir):
+    return W.drop_null_rows(fx.customer_with_nulls(spark, sf_dir), index_col="c_custkey")
+
+
+@query(
+    "impute_mean",
+    "WITH " + CUSTOMER_NULLS + " SELECT c_custkey, c_name, c_nationkey, coalesce(c_acctbal, round((SELECT avg(c_acctbal) FROM cn), 6)) AS c_acctbal, c_mktsegment FROM cn",
+)
+def impute_mean(spark, sf_dir):
+    return W.impute_mean(fx.customer_with_nulls(spark, sf_dir), ["c_acctbal"], decimals=6)
+
+
+@query(
+    "wrangle",
+    "WITH " + CUSTOMER_NULLS + " SELECT c_custkey, c_name, c_nationkey, c_acctbal, coalesce(c_mktsegment, 'None') AS c_mktsegment FROM cn "
+    "WHERE c_name IS NOT NULL AND c_nationkey IS NOT NULL AND c_acctbal IS NOT NULL",
+)
+def wrangle(spark, sf_dir):
+    """CSV in -> fill c_mktsegment ('Cabin' role) -> drop rows with nulls left -> CSV out -> read back."""
+    df = fx.customer_with_nulls(spark, sf_dir)
+    src = scratch_path(spark, "wrangle-in")
+    df.write.mode("overwrite").option("header", True).csv(src)
+    return W.wrangle(spark, src, scratch_path(spark, "wrangle-out"), {"c_mktsegment": "None"}, "c_custkey", schema=df.schema)
+
+
+@query(
+    "file_manifest",
+    "SELECT regexp_extract(filename, '([^/]+)$', 1) AS file_name, size AS file_size FROM read_blob('/root/testdata/sf0.01/*.parquet')",
+)
+def file_manifest(spark, sf_dir):
+    """Parquet files of the data folder and their sizes (contents are not read)."""
+    return io.file_manifest(spark, sf_dir, "*.parquet").select("file_name", "file_size")

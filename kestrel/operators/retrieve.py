@@ -303,26 +303,48 @@ def rerank_score(query_text: Column, title: Column, locations: Column, chunk: Co
     return F.when(F.size(q) == 0, F.lit(0.0)).otherwise(total * F.lit(RERANK_SCALE / wsum))
 
 
-def semantic_rerank(cands: DataFrame, index: DataFrame, queries: DataFrame, depth: int = 50, top: int = 5, key_col: str = "chunk_id") -> DataFrame:
-    """Re-score the best ``depth`` candidates per query with the field-weighted coverage score and
-    keep ``top``; ties keep the first-stage order.
+def rerank_candidates(cands: DataFrame, index: DataFrame, queries: DataFrame, depth: int = 50, key_col: str = "chunk_id") -> DataFrame:
+    """The best ``depth`` first-stage candidates per query with ``reranker_score`` added.
 
-    ``cands``: ``(query_id, chunk_id, score)``.  Output adds ``reranker_score``.
+    ``cands``: ``(query_id, chunk_id, score)``.  Only ``depth`` rows per query reach the
+    joins with the index fields and the query text.
     """
-    first = rank_within(cands, "query_id", key_col, "score", depth).withColumnRenamed("rank", "first_rank")
+    first = rank_within(cands, "query_id", key_col, "score", depth).drop("rank")
     fields = index.select(key_col, "title", "locations", "chunk")
     joined = first.join(fields, key_col).join(queries.select("query_id", "query_text"), "query_id")
-    scored = joined.withColumn("reranker_score", rerank_score(F.col("query_text"), F.col("title"), F.col("locations"), F.col("chunk")))
-    ranked = rank_within(scored, "query_id", key_col, "reranker_score", top, F.round(F.col("score"), SCORE_DECIMALS).desc())
-    return ranked.select(
+    return joined.select(
         "query_id",
         key_col,
+        "score",
+        rerank_score(F.col("query_text"), F.col("title"), F.col("locations"), F.col("chunk")).alias("reranker_score"),
+    )
+
+
+def semantic_rerank(cands: DataFrame, index: DataFrame, queries: DataFrame, depth: int = 50, top: int = 5, key_col: str = "chunk_id") -> DataFrame:
+    """Re-score the best ``depth`` candidates per query with the field-weighted coverage score and
+    keep ``top``; ties keep the first-stage order.  Output: ``query_id, chunk_id, reranker_score, score, rank``."""
+    scored = rerank_candidates(cands, index, queries, depth, key_col)
+    return _rank_reranked(scored, "query_id", key_col, top)
+
+
+def _rank_reranked(scored: DataFrame, group: str, key_col: str, top: int) -> DataFrame:
+    ranked = rank_within(scored, group, key_col, "reranker_score", top, F.round(F.col("score"), SCORE_DECIMALS).desc())
+    return ranked.select(
+        group,
+        key_col,
         F.round("reranker_score", SCORE_DECIMALS).alias("reranker_score"),
         F.round("score", SCORE_DECIMALS).alias("score"),
         "rank",
     )
 
 
+def boosted_candidates(index: DataFrame, queries: DataFrame, tags: Column | None, boost: float = 5.0, k_each: int = 50, key_col: str = "chunk_id") -> DataFrame:
+    fused = hybrid_candidates(index, queries, k_each, key_col=key_col)
+    if tags is None:
+        return fused
+    return tag_boost(fused.join(index.select(key_col, "locations"), key_col), tags, boost).drop("locations")
+
+
 def semantic_hybrid(
     index: DataFrame,
     queries: DataFrame,
@@ -335,10 +357,28 @@ def semantic_hybrid(
 ) -> DataFrame:
     """Hybrid retrieval, tag boost on the fused score, field-weighted re-rank of the best ``depth``,
     top ``top`` per query."""
-    fused = hybrid_candidates(index, queries, k_each, key_col=key_col)
-    if tags is not None:
-        fused = tag_boost(fused.join(index.select(key_col, "locations"), key_col), tags, boost).drop("locations")
-    return semantic_rerank(fused, index, queries, depth, top, key_col)
+    return semantic_rerank(boosted_candidates(index, queries, tags, boost, k_each, key_col), index, queries, depth, top, key_col)
+
+
+def multi_intent_retrieve(
+    index: DataFrame,
+    intents: DataFrame,
+    tags: Column | None = None,
+    boost: float = 5.0,
+    depth: int = 50,
+    top: int = 5,
+    key_col: str = "chunk_id",
+) -> DataFrame:
+    """Requests that carry several intents: every intent ``(request_id, query_id, query_text[, query_vector])``
+    is retrieved on its own (semantic hybrid, ``depth`` re-ranked candidates); a chunk's score for the
+    request is its best score over the intents; top ``top`` per request."""
+    scored = rerank_candidates(boosted_candidates(index, intents, tags, boost, key_col=key_col), index, intents, depth, key_col)
+    per_req = (
+        scored.join(intents.select("query_id", "request_id"), "query_id")
+        .groupBy("request_id", key_col)
+        .agg(F.max("reranker_score").alias("reranker_score"), F.max("score").alias("score"))
+    )
+    return _rank_reranked(per_req, "request_id", key_col, top)
 
 
 def facet_counts(hits: DataFrame, facet: str) -> DataFrame:

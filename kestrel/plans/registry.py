@@ -37,4 +37,4 @@ def all_oracles() -> dict[str, str]:
 
 def _load() -> None:
     # Importing the modules registers their queries.
-    from kestrel.plans import q_index, q_retrieve, q_ground, q_state, q_tabular  # noqa: F401
+    from kestrel.plans import q_ground, q_index, q_retrieve, q_state, q_streams, q_tabular  # noqa: F401

@@ -20,9 +20,13 @@ from kestrel.session import scratch_path
 def build_inverted_index(index: DataFrame, key_col: str = "chunk_id", text_col: str = "chunk") -> dict[str, DataFrame]:
     """Postings ``(chunk_id, dl, term, tf)``, document frequencies ``(term, df)`` and one-row stats
     ``(n, avgdl)`` of the chunk index.  Term frequencies are partially aggregated per task before
-    the shuffle on ``(chunk, term)``; document frequency is a combinable count per term."""
-    docs = index.select(key_col, tokens(F.col(text_col)).alias("toks"))
-    postings = docs.select(key_col, F.size("toks").alias("dl"), F.explode("toks").alias("term")).groupBy(key_col, "dl", "term").agg(
+    the shuffle on ``(chunk, term)``; document frequency is a combinable count per term.  The chunk
+    rows (not the exploded tokens) are hash-partitioned by key, so counting per (chunk, term)
+    needs no second exchange."""
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = index.select(key_col, text_col).repartition(parts, key_col).select(key_col, tokens(F.col(text_col)).alias("toks"))
+    exploded = docs.select(key_col, F.size("toks").alias("dl"), F.explode_outer("toks").alias("term")).where(F.col("term").isNotNull())
+    postings = exploded.groupBy(key_col, "dl", "term").agg(
         F.count(F.lit(1)).alias("tf")
     )
     dfreq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

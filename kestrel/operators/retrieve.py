@@ -48,35 +48,39 @@ def keyword_scores(
 ) -> DataFrame:
     """BM25 score of every (query, chunk) pair that shares at least one term.
 
-    ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``; query terms are distinct.  Only postings
-    of terms that occur in some query are built: chunk tokens are semi-joined with the
-    query vocabulary right after tokenising, so term frequencies and document frequencies
-    are computed for that vocabulary only.  ``N`` and the average length are scalar
-    subqueries.  Hot terms never shuffle on the term: the postings side is joined by
-    broadcast of the (size-checked) query side and aggregated by ``(query, chunk)``.
+    ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``; query terms are distinct.
+
+    Plan shape: the chunk rows are hash-partitioned by key once (text moves, not exploded
+    tokens); tokenising, term counting per (chunk, term), the join with the per-query term
+    weights and the sum per (query, chunk) then all reuse that partitioning, so the only
+    other exchanges are the small document-frequency aggregate (vocabulary terms only) and
+    the bounded top-k per query downstream.  Only terms that occur in some query are
+    counted (semi-join right after tokenising).  The query side is broadcast when a count
+    proves it small; a hot term never concentrates work because nothing is keyed by term
+    on the large side.  ``N`` and the average length come from one global aggregate (one row to the driver).
     """
-    docs = index.select(key_col, tokens(F.col(text_col)).alias("toks"))
-    stats = docs.select(F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl"))).scalar()
-    n_docs, avgdl = stats.getField("n"), stats.getField("avgdl")
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = index.select(key_col, text_col).repartition(parts, key_col).select(key_col, tokens(F.col(text_col)).alias("toks"))
+    # Collection statistics: one global aggregate, returned as one row and folded in as literals.
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl")).first()
+    n_docs, avgdl = F.lit(stats["n"]), F.lit(stats["avgdl"] if stats["avgdl"] is not None else 0.0)
 
     qterms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term"))
-    vocab = _maybe_broadcast(qterms.select("term").distinct())
+    small = qterms.count() <= BROADCAST_ROWS  # the vocabulary and the weighted query terms are no larger
+    hint = F.broadcast if small else (lambda d: d)
+    vocab = hint(qterms.select("term").distinct())
     postings = (
-        docs.select(key_col, F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+        docs.select(key_col, F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
         .join(vocab, "term", "left_semi")
         .groupBy(key_col, "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     dfreq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1.0 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    qidf = hint(qterms.join(dfreq, "term").select("query_id", "term", idf.alias("idf")))
     tf = F.col("tf").cast("double")
     norm = tf + F.lit(k1) * (1.0 - F.lit(b) + F.lit(b) * F.col("dl") / avgdl)
-    contrib = (
-        _maybe_broadcast(qterms)
-        .join(postings, "term")
-        .join(dfreq, "term")
-        .select("query_id", key_col, (idf * tf * F.lit(k1 + 1.0) / norm).alias("s"))
-    )
+    contrib = postings.join(qidf, "term").select("query_id", key_col, (F.col("idf") * tf * F.lit(k1 + 1.0) / norm).alias("s"))
     return contrib.groupBy("query_id", key_col).agg(F.sum("s").alias("score"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.text import hashed_embedding, tokens
 from kestrel.operators import enrich
-from kestrel.session import read_table
+from kestrel.session import read_table, scratch_path
 from kestrel.sources import io
 
 # Fixed values (test design): vector width of the hashed embedder in tests (the driver's
@@ -47,14 +47,31 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.derive_gazetteer(read_table(spark, sf_dir, "documents"))
 
 
-def chunk_index(spark: SparkSession, sf_dir: str, vectors: bool = True, locations: bool = True, extra: list[str] | None = None) -> DataFrame:
-    """The full chunk index: parent fields, chunk key, chunk text, entity tags and vectors."""
+def chunk_index(
+    spark: SparkSession,
+    sf_dir: str,
+    vectors: bool = True,
+    locations: bool = True,
+    extra: list[str] | None = None,
+    materialize: bool = False,
+) -> DataFrame:
+    """The full chunk index: parent fields, chunk key, chunk text, entity tags and vectors.
+
+    ``materialize=True`` builds it once and writes it as a Parquet table in the shared
+    checkpoint folder, for plans that read the index several times (keyword + vector
+    rankings + re-rank joins).  One job computes and writes it; later reads prune columns
+    (the keyword path never reads the vectors), and the lineage back to the documents is cut.
+    """
     idx = chunks(spark, sf_dir, extra)
     if locations:
         idx = enrich.extract_locations(idx, gazetteer(spark, sf_dir))
     if vectors:
         idx = enrich.embed_text(idx, dims=DIMS)
-    return idx
+    if not materialize:
+        return idx
+    path = scratch_path(spark, "chunk-index")
+    idx.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFrame:

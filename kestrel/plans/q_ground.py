@@ -42,7 +42,7 @@ _HITS_SQL = [
 
 
 def _hits(spark, sf_dir):
-    idx = fx.chunk_index(spark, sf_dir)
+    idx = fx.chunk_index(spark, sf_dir, materialize=True)
     queries = fx.benchmark_queries(spark, sf_dir)
     top = R.hybrid_search(idx, queries, top=5)
     return top.join(idx.select("chunk_id", "title", "chunk", "locations"), "chunk_id"), queries

@@ -119,11 +119,18 @@ def extract_locations(
         rows = gazetteer.select("term", "canonical").collect()
         if not rows:
             return chunks.withColumn(out_col, F.array().cast("array<string>"))
-        lookup = F.create_map(*[F.lit(x) for r in rows for x in (r["term"], r["canonical"])])
+        # n-grams only as long as the longest term; matches found with a hash-based intersect.
+        longest = max(len([w for w in r["term"].split(" ") if w]) for r in rows)
+        terms = F.array(*[F.lit(r["term"]) for r in rows])
         with_toks = chunks.withColumn("__toks", tokens(F.col(text_col)))
-        grams = _ngrams(F.col("__toks"), max_ngram)
-        hits = F.filter(F.transform(grams, lambda g: F.try_element_at(lookup, g)), lambda x: x.isNotNull())
-        return with_toks.withColumn(out_col, F.array_sort(F.array_distinct(hits))).drop("__toks")
+        grams = _ngrams(F.col("__toks"), min(max_ngram, max(1, longest)))
+        found = F.array_intersect(grams, terms)
+        if all(r["term"] == r["canonical"] for r in rows):
+            tags = found
+        else:
+            lookup = F.create_map(*[F.lit(x) for r in rows for x in (r["term"], r["canonical"])])
+            tags = F.array_distinct(F.transform(found, lambda g: lookup[g]))
+        return with_toks.withColumn(out_col, F.array_sort(tags)).drop("__toks")
     # Large gazetteer: join on the token, then re-group by chunk and attach to the chunk rows.
     toks = chunks.select(key_col, tokens(F.col(text_col)).alias("__toks"))
     grams = toks.select(key_col, F.explode(_ngrams(F.col("__toks"), max_ngram)).alias("term"))

@@ -62,5 +62,31 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str):
-    return spark.read.parquet(table_path(sf_dir, name))
+# Scans smaller than this are left alone even when they have few partitions.
+SPREAD_MIN_BYTES = 4 * 1024 * 1024
+
+
+def spread(df, key: str | None = None):
+    """Hash-partition a sizable scan that has fewer partitions than the cluster has cores.
+
+    Big inputs already arrive in many file splits, so this is a no-op at scale; it only
+    matters for a few large files (a single-file table scans into one task per row group),
+    where the text-heavy narrow stages that follow would otherwise use a few cores.
+    The size comes from the optimizer's statistics (file sizes), no job is run.
+    """
+    spark = df.sparkSession
+    parallelism = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= parallelism:
+        return df
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # statistics not reachable (e.g. a remote session): leave the scan as it is
+        return df
+    if size < SPREAD_MIN_BYTES:
+        return df
+    return df.repartition(parallelism, key or df.columns[0])
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread_small_scans: bool = True):
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return spread(df) if spread_small_scans else df

@@ -124,17 +124,18 @@ def assert_unique(df: DataFrame, key: str = "chunk_id") -> None:
         raise ValueError(f"key {key} is not unique, e.g. {dup[0][key]!r} occurs {dup[0]['n']} times")
 
 
-def index_write(df: DataFrame, path: str, check_unique: bool = True, buckets: int | None = None) -> str:
+def index_write(df: DataFrame, path: str, check_unique: bool = True) -> str:
     """Materialise the chunk index as Parquet with the declared schema.
 
-    The key is checked for uniqueness first (one distributed aggregate).  Rows are
-    clustered by ``parent_id`` within files so that a document's chunks sit together.
+    The index is computed once, by the write.  The key is then checked for uniqueness on
+    the written files, reading the ``chunk_id`` column only (one distributed aggregate);
+    a duplicate raises.  Rows are clustered by ``parent_id`` within files so that a
+    document's chunks sit together.
     """
     idx = conform_index(df)
+    idx.sortWithinPartitions("parent_id", "chunk_id").write.mode("overwrite").parquet(path)
     if check_unique:
-        assert_unique(idx, "chunk_id")
-    writer = idx.sortWithinPartitions("parent_id", "chunk_id").write.mode("overwrite")
-    writer.parquet(path)
+        assert_unique(idx.sparkSession.read.parquet(path).select("chunk_id"), "chunk_id")
     return path
 
 

@@ -97,7 +97,8 @@ w AS (SELECT *, row_number() OVER (PARTITION BY nic_id, ip ORDER BY l_orderkey)
 SELECT nic_id, ip, l_orderkey, fqdns FROM w WHERE rn = 1""",
 )
 def nested_dedupe_flatten(spark, sf_dir):
-    """Orders as resources holding their line items as connections; ``(supplier, part)`` as
+    """Line items as resources (keyed by their order) holding one connection each, nested in the
+    row itself (no grouping, so no order is ever gathered into one task); ``(supplier, part)`` as
     ``(NIC, IP)``; the first resource (by order key) per pair wins; its FQDNs joined with ','."""
     li = read_table(spark, sf_dir, "lineitem")
     fq = F.array(
@@ -105,7 +106,7 @@ def nested_dedupe_flatten(spark, sf_dir):
         F.concat(F.lower("l_returnflag"), F.lower("l_linestatus"), F.lit(".example.net")),
     )
     item = F.struct(F.col("l_suppkey").alias("nic_id"), F.col("l_partkey").alias("ip"), fq.alias("fqdns"))
-    resources = li.groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))
+    resources = li.select("l_orderkey", F.array(item).alias("items"))
     return S.nested_dedupe_flatten(resources, "l_orderkey", "items", ("nic_id", "ip"), "l_orderkey", "fqdns")
 
 

@@ -87,16 +87,18 @@ def content_hash_change(current: DataFrame, previous: DataFrame, key: str, hash_
     return j.select(key, hash_col, action.alias("action"), version.cast("int").alias(version_col))
 
 
-def nested_dedupe_flatten(resources: DataFrame, res_key: str, items_col: str, pair: tuple[str, str], order_col: str, list_col: str, sep: str = ",") -> DataFrame:
-    """resource -> nested items -> one row per ``pair`` value, first by ``order_col`` wins; the
-    winner's string list is joined with ``sep``.  The first-wins pick is a ``min_by`` aggregate
-    (combinable), so a pair repeated across a third of the resources costs one partial row per task."""
+def nested_dedupe_flatten(
+    resources: DataFrame, res_key: str, items_col: str, pair: tuple[str, str], order_cols: list[str], list_col: str, sep: str = ","
+) -> DataFrame:
+    """resource -> nested items -> one row per ``pair`` value; the first by ``order_cols`` (resource key
+    and/or item fields) wins, ties broken by the joined list so the pick is total.  The pick is a
+    ``min`` over a struct (combinable), so a pair repeated across a third of the resources costs
+    one partial row per task.  Output: ``pair, order_cols, list_col`` (list joined with ``sep``)."""
     a, b = pair
-    flat = resources.select(res_key, F.explode(items_col).alias("it")).select(
-        res_key, F.col(f"it.{a}").alias(a), F.col(f"it.{b}").alias(b), F.col(f"it.{list_col}").alias(list_col)
-    )
-    first = flat.groupBy(a, b).agg(F.min_by(F.struct(F.col(order_col).alias("o"), F.col(list_col).alias("l")), F.col(order_col)).alias("w"))
-    return first.select(a, b, F.col("w.o").alias(order_col), F.array_join(F.col("w.l"), sep).alias(list_col))
+    flat = resources.select(res_key, F.explode(items_col).alias("it")).select(res_key, "it.*")
+    joined = F.array_join(F.col(list_col), sep)
+    first = flat.groupBy(a, b).agg(F.min(F.struct(*[F.col(c) for c in order_cols], joined.alias("__l"))).alias("w"))
+    return first.select(a, b, *[F.col(f"w.{c}").alias(c) for c in order_cols], F.col("w.__l").alias(list_col))
 
 
 def transcript(messages: DataFrame, conv_col: str, order_col: str, role_col: str, content_col: str) -> DataFrame:

@@ -90,24 +90,24 @@ def content_hash_change(spark, sf_dir):
 
 @query(
     "nested_dedupe_flatten",
-    """WITH f AS (SELECT l_suppkey AS nic_id, l_partkey AS ip, l_orderkey,
+    """WITH f AS (SELECT l_suppkey AS nic_id, l_partkey AS ip, l_orderkey, l_linenumber,
         'o' || l_orderkey || '-' || l_linenumber || '.example.net' || ',' || lower(l_returnflag) || lower(l_linestatus) || '.example.net' AS fqdns
       FROM lineitem),
-w AS (SELECT *, row_number() OVER (PARTITION BY nic_id, ip ORDER BY l_orderkey) AS rn FROM f)
-SELECT nic_id, ip, l_orderkey, fqdns FROM w WHERE rn = 1""",
+w AS (SELECT *, row_number() OVER (PARTITION BY nic_id, ip ORDER BY l_orderkey, l_linenumber, fqdns) AS rn FROM f)
+SELECT nic_id, ip, l_orderkey, l_linenumber, fqdns FROM w WHERE rn = 1""",
 )
 def nested_dedupe_flatten(spark, sf_dir):
     """Line items as resources (keyed by their order) holding one connection each, nested in the
     row itself (no grouping, so no order is ever gathered into one task); ``(supplier, part)`` as
-    ``(NIC, IP)``; the first resource (by order key) per pair wins; its FQDNs joined with ','."""
+    ``(NIC, IP)``; the first by (order key, line number) per pair wins; its FQDNs joined with ','."""
     li = read_table(spark, sf_dir, "lineitem")
     fq = F.array(
         F.concat(F.lit("o"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"), F.lit(".example.net")),
         F.concat(F.lower("l_returnflag"), F.lower("l_linestatus"), F.lit(".example.net")),
     )
-    item = F.struct(F.col("l_suppkey").alias("nic_id"), F.col("l_partkey").alias("ip"), fq.alias("fqdns"))
+    item = F.struct(F.col("l_suppkey").alias("nic_id"), F.col("l_partkey").alias("ip"), "l_linenumber", fq.alias("fqdns"))
     resources = li.select("l_orderkey", F.array(item).alias("items"))
-    return S.nested_dedupe_flatten(resources, "l_orderkey", "items", ("nic_id", "ip"), "l_orderkey", "fqdns")
+    return S.nested_dedupe_flatten(resources, "l_orderkey", "items", ("nic_id", "ip"), ["l_orderkey", "l_linenumber"], "fqdns")
 
 
 @query(

@@ -69,6 +69,6 @@ def test_pending_calls_edges(spark):
 
 def test_nested_dedupe_first_wins(spark):
     schema = "res long, items array<struct<nic:long, ip:long, f:array<string>>>"
-    df = spark.createDataFrame([(2, [(1, 1, ["b"])]), (1, [(1, 1, ["a", "c"]), (2, 2, ["d"])])], schema)
-    got = {(r["nic"], r["ip"]): (r["res"], r["f"]) for r in S.nested_dedupe_flatten(df, "res", "items", ("nic", "ip"), "res", "f").collect()}
-    assert got == {(1, 1): (1, "a,c"), (2, 2): (1, "d")}
+    df = spark.createDataFrame([(2, [(1, 1, ["b"])]), (1, [(1, 1, ["a", "c"]), (2, 2, ["d"])]), (1, [(1, 1, ["a", "b"])])], schema)
+    got = {(r["nic"], r["ip"]): (r["res"], r["f"]) for r in S.nested_dedupe_flatten(df, "res", "items", ("nic", "ip"), ["res"], "f").collect()}
+    assert got == {(1, 1): (1, "a,b"), (2, 2): (1, "d")}  # tie on the resource key broken by the list

@@ -151,7 +151,9 @@ def rank_citations(spark, sf_dir):
     + "SELECT query_id, CAST(to_json({'content': content, 'citations': coalesce(citations, [])}) AS VARCHAR) AS json FROM content LEFT JOIN cl USING (query_id)",
 )
 def grounding_json(spark, sf_dir):
-    refs = _references(spark, sf_dir)
+    from kestrel.session import materialize
+
+    refs = materialize(_references(spark, sf_dir), "references")  # read by the content and the citation branch
     content = refs.select("query_id", F.array_join(F.transform("references", lambda r: r["source_data"]["chunk"]), "\n\n").alias("content"))
     cites = G.rank_citations(G.extract_citations(refs), top=5)
     return G.grounding_json(content, cites)

@@ -58,6 +58,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/kestrel/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialize(df, name: str):
+    """Write ``df`` once as a Parquet table under the shared scratch folder and read it back.
+
+    For results that several branches of a plan read (so they are computed once) and to cut
+    lineage: a lost executor re-reads the table instead of recomputing its whole history.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 

@@ -69,10 +69,10 @@ def file_manifest(spark: SparkSession, prefix: str, glob: str = "*", recursive:
 
 def scan_text_files(spark: SparkSession, path: str, glob: str = "*.txt", recursive: bool = True) -> DataFrame:
     """A container of text files -> one row per file: ``content, file_name, source_url``."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", glob)
+    reader = spark.read.option("pathGlobFilter", glob)
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
-    df = reader.text(path)
+    df = reader.text(path, wholetext=True)
     return df.select(
         F.col("value").alias("content"),
         F.col("_metadata.file_name").alias("file_name"),

@@ -23,8 +23,8 @@ def build_inverted_index(index: DataFrame, key_col: str = "chunk_id", text_col:
     the shuffle on ``(chunk, term)``; document frequency is a combinable count per term.  The chunk
     rows (not the exploded tokens) are hash-partitioned by key, so counting per (chunk, term)
     needs no second exchange."""
-    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = index.select(key_col, text_col).repartition(parts, key_col).select(key_col, tokens(F.col(text_col)).alias("toks"))
+    # Hash partitioning by key (AQE may coalesce the partitions of small inputs).
+    docs = index.select(key_col, text_col).repartition(key_col).select(key_col, tokens(F.col(text_col)).alias("toks"))
     exploded = docs.select(key_col, F.size("toks").alias("dl"), F.explode_outer("toks").alias("term")).where(F.col("term").isNotNull())
     postings = exploded.groupBy(key_col, "dl", "term").agg(
         F.count(F.lit(1)).alias("tf")

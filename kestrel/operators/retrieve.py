@@ -59,8 +59,8 @@ def keyword_scores(
     proves it small; a hot term never concentrates work because nothing is keyed by term
     on the large side.  ``N`` and the average length come from one global aggregate (one row to the driver).
     """
-    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = index.select(key_col, text_col).repartition(parts, key_col).select(key_col, tokens(F.col(text_col)).alias("toks"))
+    # Hash partitioning by key (AQE may coalesce the partitions of small inputs).
+    docs = index.select(key_col, text_col).repartition(key_col).select(key_col, tokens(F.col(text_col)).alias("toks"))
     # Collection statistics: one global aggregate, returned as one row and folded in as literals.
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl")).first()
     n_docs, avgdl = F.lit(stats["n"]), F.lit(stats["avgdl"] if stats["avgdl"] is not None else 0.0)

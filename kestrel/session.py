@@ -34,8 +34,7 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None, ap
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
-    return spark
+    return prepare(spark)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -52,6 +51,47 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``kestrel`` importable in every Python worker (pandas UDFs, ``mapInPandas`` and
+    ``applyInPandas`` functions are pickled by reference to this package).
+
+    The package is zipped once per application and registered with ``addPyFile`` -- the
+    same mechanism as ``--py-files`` -- so executors on other machines fetch it from the
+    driver.  The zip is written to the shared checkpoint folder when that is a local-style
+    path, otherwise to a private staging folder on the driver (Spark distributes it).
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    base = ensure_checkpoint_dir(spark)
+    local_base = base[len("file:"):] if base.startswith("file:") else (base if base.startswith("/") else None)
+    target_dir = os.path.join(local_base, "kestrel-pkg") if local_base else tempfile.mkdtemp(prefix="kestrel-pkg-")
+    os.makedirs(target_dir, exist_ok=True)
+    target = os.path.join(target_dir, f"kestrel-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("kestrel", os.path.relpath(full, pkg_dir)))
+    sc.addPyFile(target)
+    _SHIPPED.add(app)
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Checkpoint folder plus package shipping: call once before running library queries."""
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+    return spark
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

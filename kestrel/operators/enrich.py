@@ -81,7 +81,7 @@ def derive_gazetteer(docs: DataFrame, n_terms: int = 30, min_len: int = 5, lang:
     toks = docs.where(F.col("lang") == lang).select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term"))
     df = toks.where(F.length("term") >= min_len).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     top = df.orderBy(F.desc("df"), F.asc("term")).limit(n_terms)
-    return top.select("term", F.col("term").alias("canonical"))
+    return top.select("term", F.col("term").alias("canonical"), "df")
 
 
 def _ngrams(toks: Column, max_n: int) -> Column:
@@ -114,9 +114,9 @@ def extract_locations(
     Terms are matched on whole tokens and on 2..``max_ngram`` token sequences.  A chunk
     without a match keeps its row with an empty array.
     """
-    n_terms = gazetteer.count()
-    if n_terms <= INLINE_GAZETTEER_LIMIT:
-        rows = gazetteer.select("term", "canonical").collect()
+    # One bounded read decides the path: at most INLINE_GAZETTEER_LIMIT + 1 rows reach the driver.
+    rows = gazetteer.select("term", "canonical").limit(INLINE_GAZETTEER_LIMIT + 1).collect()
+    if len(rows) <= INLINE_GAZETTEER_LIMIT:
         if not rows:
             return chunks.withColumn(out_col, F.array().cast("array<string>"))
         # n-grams only as long as the longest term; matches found with a hash-based intersect.
@@ -135,7 +135,7 @@ def extract_locations(
     toks = chunks.select(key_col, tokens(F.col(text_col)).alias("__toks"))
     grams = toks.select(key_col, F.explode(_ngrams(F.col("__toks"), max_ngram)).alias("term"))
     gaz = gazetteer.select("term", "canonical").dropDuplicates(["term"])
-    if n_terms <= BROADCAST_GAZETTEER_LIMIT:
+    if gazetteer.count() <= BROADCAST_GAZETTEER_LIMIT:
         gaz = F.broadcast(gaz)
     tags = grams.join(gaz, "term").groupBy(key_col).agg(F.array_sort(F.collect_set("canonical")).alias(out_col))
     return chunks.join(tags, key_col, "left").withColumn(

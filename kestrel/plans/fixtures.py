@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.functions.text import hashed_embedding, tokens
+from kestrel.functions.text import hashed_embedding
 from kestrel.operators import enrich
 from kestrel.session import read_table, scratch_path
 from kestrel.sources import io
@@ -43,8 +43,19 @@ def chunks(spark: SparkSession, sf_dir: str, extra: list[str] | None = None) ->
     return enrich.index_projection(documents(spark, sf_dir), extra=extra)
 
 
+_GAZETTEERS: dict[tuple[str, str], str] = {}
+
+
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich.derive_gazetteer(read_table(spark, sf_dir, "documents"))
+    """``(term, canonical, df)``: derived from the documents once per application and data folder,
+    kept as a small Parquet table in the shared scratch folder (the index build, the tag
+    parameter and the tests all read the same one)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _GAZETTEERS:
+        path = scratch_path(spark, "gazetteer")
+        enrich.derive_gazetteer(read_table(spark, sf_dir, "documents")).write.mode("overwrite").parquet(path)
+        _GAZETTEERS[key] = path
+    return spark.read.parquet(_GAZETTEERS[key])
 
 
 def chunk_index(
@@ -82,12 +93,9 @@ def benchmark_queries(spark: SparkSession, sf_dir: str, vectors: bool = True) ->
 
 
 def tag_parameter_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row: ``param`` = ``tags-<t1>, '<t2>', <t3>, <t4>`` built from the four best gazetteer terms
-    in gazetteer order (document frequency desc, then term)."""
-    docs = read_table(spark, sf_dir, "documents")
-    toks = docs.where(F.col("lang") == "en").select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    dfreq = toks.where(F.length("term") >= 5).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    top = dfreq.orderBy(F.desc("df"), F.asc("term")).limit(4)
+    """One row: ``param`` = ``tags-<t1>, '<t2>', <t3>, <t4>`` built from the first four gazetteer
+    terms in gazetteer order (document frequency desc, then term)."""
+    top = gazetteer(spark, sf_dir).orderBy(F.desc("df"), F.asc("term")).limit(4)
     arr = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("df")).alias("o"), "term"))).alias("a"))
     t = F.transform("a", lambda x: x["term"])
     return arr.select(

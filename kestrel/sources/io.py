@@ -139,13 +139,21 @@ def index_write(df: DataFrame, path: str, check_unique: bool = True) -> str:
     return path
 
 
+# Update batches with at most this many distinct keys are broadcast to the anti join.
+UPSERT_BROADCAST_KEYS = 5_000_000
+
+
 def index_upsert(current: DataFrame, updates: DataFrame, key: str = "parent_id") -> DataFrame:
     """Create-or-replace by key: every row of ``current`` whose ``key`` appears in ``updates`` is
     replaced by the rows of ``updates``.  With ``key='parent_id'`` a changed document replaces
     all of its old chunks, so chunks of a shortened document do not linger.
 
-    The anti join shuffles on ``key`` only; a hot key is handled by AQE skew-join splitting.
+    An update batch is usually small next to the index: when a count proves its distinct keys
+    small they are broadcast, so the index streams through the anti join without a shuffle.
+    Otherwise both sides shuffle on ``key`` and AQE splits a hot key.
     """
     keys = updates.select(key).distinct()
+    if keys.count() <= UPSERT_BROADCAST_KEYS:
+        keys = F.broadcast(keys)
     kept = current.join(keys, key, "left_anti")
     return kept.unionByName(updates.select(*current.columns))

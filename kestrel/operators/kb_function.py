@@ -17,32 +17,38 @@ from kestrel.functions.text import tokens
 from kestrel.session import scratch_path
 
 
-def build_inverted_index(index: DataFrame, key_col: str = "chunk_id", text_col: str = "chunk") -> dict[str, DataFrame]:
-    """Postings ``(chunk_id, dl, term, tf)``, document frequencies ``(term, df)`` and one-row stats
-    ``(n, avgdl)`` of the chunk index.  Term frequencies are partially aggregated per task before
-    the shuffle on ``(chunk, term)``; document frequency is a combinable count per term.  The chunk
-    rows (not the exploded tokens) are hash-partitioned by key, so counting per (chunk, term)
-    needs no second exchange."""
-    # Hash partitioning by key (AQE may coalesce the partitions of small inputs).
+def build_postings(index: DataFrame, key_col: str = "chunk_id", text_col: str = "chunk") -> DataFrame:
+    """Postings ``(chunk_id, dl, term, tf)`` of the chunk index; a chunk without tokens keeps one row
+    with a null term, so the postings alone describe every chunk (count and lengths).
+
+    The chunk rows (not the exploded tokens) are hash-partitioned by key, so counting per
+    (chunk, term) needs no second exchange; counts are partially aggregated per task."""
     docs = index.select(key_col, text_col).repartition(key_col).select(key_col, tokens(F.col(text_col)).alias("toks"))
-    exploded = docs.select(key_col, F.size("toks").alias("dl"), F.explode_outer("toks").alias("term")).where(F.col("term").isNotNull())
-    postings = exploded.groupBy(key_col, "dl", "term").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
-    dfreq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl"))
-    return {"postings": postings, "df": dfreq, "stats": stats}
+    exploded = docs.select(key_col, F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
+    return exploded.groupBy(key_col, "dl", "term").agg(F.count("term").alias("tf"))
 
 
-def store_inverted_index(spark: SparkSession, parts: dict[str, DataFrame]) -> dict[str, str]:
-    """Write the parts as Parquet (postings clustered by term within files) and register temp views."""
+def store_inverted_index(spark: SparkSession, postings: DataFrame, key_col: str = "chunk_id") -> dict[str, str]:
+    """Write the postings once (clustered by term within files), then derive document frequencies
+    ``(term, df)`` and the one-row statistics ``(n, avgdl)`` from the written table, and register
+    the three as temp views.  The chunk text is tokenised only once."""
     tag = uuid.uuid4().hex[:8]
+    path = scratch_path(spark, "kb-postings")
+    postings.sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+    stored = spark.read.parquet(path)
+    parts = {
+        "postings": stored.where(F.col("term").isNotNull()),
+        "df": stored.where(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("df")),
+        "stats": stored.groupBy(key_col, "dl").agg(F.lit(1).alias("one")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")),
+    }
     views = {}
     for name, df in parts.items():
-        path = scratch_path(spark, f"kb-{name}")
-        (df.sortWithinPartitions("term") if "term" in df.columns else df).write.mode("overwrite").parquet(path)
+        if name != "postings":
+            p = scratch_path(spark, f"kb-{name}")
+            df.write.mode("overwrite").parquet(p)
+            df = spark.read.parquet(p)
         view = f"kb_{name}_{tag}"
-        spark.read.parquet(path).createOrReplaceTempView(view)
+        df.createOrReplaceTempView(view)
         views[name] = view
     return views
 

@@ -29,6 +29,12 @@ def _maybe_broadcast(df: DataFrame, limit_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.count() <= limit_rows else df
 
 
+def broadcast_if_bounded(df: DataFrame, row_bound: int, limit_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast-hint ``df`` when an upper bound on its rows is proven small (for top-k hit sets the
+    bound is ``n_queries * k``, known without computing the hits)."""
+    return F.broadcast(df) if row_bound <= limit_rows else df
+
+
 def rank_within(df: DataFrame, group: str, key: str, score: str, k: int | None, *extra_order: Column) -> DataFrame:
     """Add ``rank`` (1-based) per ``group`` by rounded ``score`` desc, then extras, then ``key``; keep ``rank <= k``."""
     order = [F.round(F.col(score), SCORE_DECIMALS).desc(), *extra_order, F.col(key).asc()]
@@ -313,7 +319,8 @@ def rerank_candidates(cands: DataFrame, index: DataFrame, queries: DataFrame, de
     ``cands``: ``(query_id, chunk_id, score)``.  Only ``depth`` rows per query reach the
     joins with the index fields and the query text.
     """
-    first = rank_within(cands, "query_id", key_col, "score", depth).drop("rank")
+    n_queries = queries.count()
+    first = broadcast_if_bounded(rank_within(cands, "query_id", key_col, "score", depth).drop("rank"), n_queries * depth)
     fields = index.select(key_col, "title", "locations", "chunk")
     joined = first.join(fields, key_col).join(queries.select("query_id", "query_text"), "query_id")
     return joined.select(
@@ -346,6 +353,7 @@ def boosted_candidates(index: DataFrame, queries: DataFrame, tags: Column | None
     fused = hybrid_candidates(index, queries, k_each, key_col=key_col)
     if tags is None:
         return fused
+    fused = broadcast_if_bounded(fused, queries.count() * 2 * k_each)  # at most k_each per ranking and query
     return tag_boost(fused.join(index.select(key_col, "locations"), key_col), tags, boost).drop("locations")
 
 

@@ -44,7 +44,7 @@ _HITS_SQL = [
 def _hits(spark, sf_dir):
     idx = fx.chunk_index(spark, sf_dir, materialize=True)
     queries = fx.benchmark_queries(spark, sf_dir)
-    top = R.hybrid_search(idx, queries, top=5)
+    top = R.broadcast_if_bounded(R.hybrid_search(idx, queries, top=5), queries.count() * 5)
     return top.join(idx.select("chunk_id", "title", "chunk", "locations"), "chunk_id"), queries
 
 
@@ -108,7 +108,8 @@ _REFS_SQL = [
 
 def _references(spark, sf_dir):
     ch = fx.chunks(spark, sf_dir)
-    top = R.keyword_search(ch, fx.benchmark_queries(spark, sf_dir, vectors=False), k=10)
+    queries = fx.benchmark_queries(spark, sf_dir, vectors=False)
+    top = R.broadcast_if_bounded(R.keyword_search(ch, queries, k=10), queries.count() * 10)
     hits = top.join(ch.select("chunk_id", "chunk", "title", "source_url", "source_file_name"), "chunk_id")
     ref = F.struct(
         F.col("chunk_id").alias("doc_key"),

@@ -1,6 +1,7 @@
 """Inputs derived from the driver tables by fixed rules (the same rules are written in the
-DuckDB oracle SQL).  Everything here is a lazy DataFrame over the given tables, so its
-work grows with them.
+DuckDB oracle SQL).  Everything here is a DataFrame over the given tables, so its work grows
+with them; the gazetteer and, on request, the chunk index are written once to the shared
+scratch folder and read back (the rest stays lazy).
 """
 
 from __future__ import annotations

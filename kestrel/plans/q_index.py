@@ -91,7 +91,9 @@ def embed_text(spark, sf_dir):
     O.with_(O.QUERIES) + "SELECT query_id, query_vector FROM q",
 )
 def vectorize_query(spark, sf_dir):
-    return fx.benchmark_queries(spark, sf_dir).select("query_id", "query_vector")
+    from kestrel.operators.retrieve import vectorize_query as vq
+
+    return vq(fx.benchmark_queries(spark, sf_dir, vectors=False), fx.DIMS).select("query_id", "query_vector")
 
 
 @query(

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.operators.retrieve import SCORE_DECIMALS, rank_within
+from kestrel.session import materialize
 
 
 def unit(arr: Column) -> Column:
@@ -57,7 +58,9 @@ def knn_ann(
     centers = centers / np.where(cnorm > 0, cnorm, 1.0)[:, None]
     probe = min(n_probe, len(centers))
 
-    assigned = model.transform(vecs.withColumn("features", array_to_vector("u"))).select(key_col, "u", "list_id")
+    # The IVF index itself (list of every vector) and the query probes are each read twice below
+    # (sizes / loads and the blocks), so both are written once to the shared scratch folder.
+    assigned = materialize(model.transform(vecs.withColumn("features", array_to_vector("u"))).select(key_col, "u", "list_id"), "ivf-lists")
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def nearest_lists(v: pd.Series) -> pd.Series:
@@ -69,7 +72,7 @@ def knn_ann(
         return pd.Series(list(top.astype(np.int32)))
 
     qv = queries.select("query_id", unit(F.col(qvec_col)).alias("q"))
-    probes = qv.select("query_id", "q", F.explode(nearest_lists("q")).alias("list_id"))
+    probes = materialize(qv.select("query_id", "q", F.explode(nearest_lists("q")).alias("list_id")), "ivf-probes")
 
     # Block counts per list from the list sizes and probe counts (one small aggregate each).
     sizes = assigned.groupBy("list_id").agg(F.count(F.lit(1)).alias("n_items"))

@@ -79,3 +79,17 @@ def test_extract_locations_join_path_matches_inline(spark, monkeypatch):
     monkeypatch.setattr(enrich, "INLINE_GAZETTEER_LIMIT", 0)
     joined = {r["chunk_id"]: r["locations"] for r in enrich.extract_locations(chunks, gaz).collect()}
     assert inline == joined == {"c1": ["Ice Sheet", "Sea", "Sea Surface"], "c2": [], "c3": ["Sea", "Sea Surface"]}
+
+
+def test_file_manifest_glob_and_recursion(spark):
+    d = tempfile.mkdtemp(prefix="kestrel-files-")
+    os.makedirs(os.path.join(d, "a", "b"))
+    for rel, body in [("x.csv", "1"), ("y.pdf", "22"), ("a/z.csv", "333"), ("a/b/w.csv", "4444")]:
+        with open(os.path.join(d, rel), "w") as f:
+            f.write(body)
+    top = {r["file_name"]: r["file_size"] for r in io.file_manifest(spark, d, "*.csv").collect()}
+    assert top == {"x.csv": 1}
+    deep = {r["file_name"]: r["file_size"] for r in io.file_manifest(spark, d, "*.csv", recursive=True).collect()}
+    assert deep == {"x.csv": 1, "z.csv": 3, "w.csv": 4}
+    plan = io.file_manifest(spark, d, "*.csv")._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[-1].split("]")[0]  # file bodies are not read

@@ -134,3 +134,15 @@ def test_knn_ann_recall(spark):
     assert found / exact.count() >= 0.6
     # bounded blocks: small blocks force the split of every list, results stay ranked 1..k
     assert approx.groupBy("query_id").agg(F.max("rank").alias("m")).where("m > 10").count() == 0
+
+
+def test_empty_inputs_give_empty_results(spark):
+    idx = spark.createDataFrame(CHUNKS, "chunk_id string, chunk string")
+    no_idx = spark.createDataFrame([], "chunk_id string, chunk string")
+    q = spark.createDataFrame(QUERIES, "query_id long, query_text string")
+    no_q = spark.createDataFrame([], "query_id long, query_text string")
+    assert R.keyword_search(idx, no_q, k=3).count() == 0
+    assert R.keyword_search(no_idx, q, k=3).count() == 0
+    vidx = spark.createDataFrame([("a", [1.0, 0.0])], "chunk_id string, text_vector array<float>")
+    vq = spark.createDataFrame([], "query_id long, query_vector array<float>")
+    assert R.knn_search(vidx, vq, k=3).count() == 0

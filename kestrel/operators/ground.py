@@ -7,9 +7,7 @@ Everything per query is bounded by the number of hits kept for it (top-k), so th
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,24 +90,6 @@ def render_prompt(df: DataFrame, template: str = GROUNDED_PROMPT, fields: dict[s
     return df.withColumn(out_col, F.concat(*pieces))
 
 
-def echo_client(prompts: list[str]) -> list[str]:
-    """Default generator: returns each prompt unchanged (no network)."""
-    return list(prompts)
-
-
-def batch_generate(prompts: DataFrame, client: Callable[[list[str]], list[str]] = echo_client, key: str = "query_id", prompt_col: str = "prompt") -> DataFrame:
-    """Send every prompt to ``client`` (one call per Arrow batch, inside the tasks) and keep the first
-    answer.  ``client`` must be picklable; it sees lists of prompts and returns answers in order."""
-    key_type = prompts.schema[key].dataType.simpleString()
-
-    def run(batches):
-        for pdf in batches:
-            answers = client(pdf[prompt_col].tolist()) if len(pdf) else []
-            yield pd.DataFrame({key: pdf[key], "answer": answers})
-
-    return prompts.select(key, prompt_col).mapInPandas(run, f"{key} {key_type}, answer string")
-
-
 def flatten_passages(df: DataFrame, response_col: str = "response", sep: str = "\n\n") -> DataFrame:
     """messages -> content parts -> non-empty text, joined with a blank line (row-local, no shuffle)."""
     texts = F.flatten(F.transform(F.col(response_col), lambda m: F.transform(F.coalesce(m["content"], F.array()), lambda c: c["text"])))
@@ -118,6 +98,7 @@ def flatten_passages(df: DataFrame, response_col: str = "response", sep: str = "
     return df.select(*others, F.array_join(keep, sep).alias("content"))
 
 
+# The fields of a citation.
 CITATION_FIELDS = ["source_url", "source_file_name", "title", "doc_key", "reranker_score"]
 
 

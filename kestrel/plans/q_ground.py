@@ -1,4 +1,4 @@
-"""Queries: source formatting, prompts, generation hook, passages, citations, grounding JSON,
+"""Queries: source formatting, prompts, passages, citations, grounding JSON,
 citation reference decoding, retrieval as a SQL table function."""
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ _HITS_SQL = [
 def _hits(spark, sf_dir):
     idx = fx.chunk_index(spark, sf_dir, materialize=True)
     queries = fx.benchmark_queries(spark, sf_dir)
-    top = R.broadcast_if_bounded(R.hybrid_search(idx, queries, top=5), queries.count() * 5)
+    top = R.hybrid_search(idx, queries, top=5)
     return top.join(idx.select("chunk_id", "title", "chunk", "locations"), "chunk_id"), queries
 
 
@@ -69,12 +69,6 @@ def render_prompt(spark, sf_dir):
     return _prompts(spark, sf_dir)
 
 
-@query("batch_generate", _PROMPT_SQL.replace(" AS prompt FROM q JOIN", " AS answer FROM q JOIN"))
-def batch_generate(spark, sf_dir):
-    """Prompts sent through the generation hook (default client echoes the prompt)."""
-    return G.batch_generate(_prompts(spark, sf_dir))
-
-
 @query(
     "flatten_passages",
     "SELECT conv_id, turn, array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10) || chr(10)) AS content FROM conversations",
@@ -109,7 +103,7 @@ _REFS_SQL = [
 def _references(spark, sf_dir):
     ch = fx.chunks(spark, sf_dir)
     queries = fx.benchmark_queries(spark, sf_dir, vectors=False)
-    top = R.broadcast_if_bounded(R.keyword_search(ch, queries, k=10), queries.count() * 10)
+    top = R.keyword_search(ch, queries, k=10)
     hits = top.join(ch.select("chunk_id", "chunk", "title", "source_url", "source_file_name"), "chunk_id")
     ref = F.struct(
         F.col("chunk_id").alias("doc_key"),

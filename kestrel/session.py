@@ -3,14 +3,16 @@
 Library code never sets cluster sizing knobs; it only reads the session.  Scratch data
 (round trips through CSV, materialised indexes, streaming sources and sinks) goes under
 the shared folder named by ``spark.checkpoint.dir`` so that it survives executor loss and
-is visible to every executor.  A machine-local folder is only created when that setting is
-unset, which is the case in unit tests only.
+is visible to every executor.  Where that setting is unset, a session of one machine (master
+``local[...]``) gets a folder of its own, removed when the process ends; on a cluster the missing
+setting is an error, since executors would write to disks that nobody else can read.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
-import tempfile
+import shutil
 import uuid
 
 from pyspark.sql import SparkSession
@@ -38,7 +40,7 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None, ap
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only when none is configured."""
+    """Return the shared checkpoint folder; a private one only for a session of a single machine."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -46,8 +48,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
-    else:  # unit tests only: nothing configured, so make a private folder
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="kestrel-ckpt-"))
+    elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        own = f"/tmp/kestrel-scratch/{sc.applicationId}-{uuid.uuid4().hex[:8]}"
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
+    else:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return sc.getCheckpointDir()
 
 
@@ -61,7 +67,7 @@ def ship_package(spark: SparkSession) -> None:
     The package is zipped once per application and registered with ``addPyFile`` -- the
     same mechanism as ``--py-files`` -- so executors on other machines fetch it from the
     driver.  The zip is written to the shared checkpoint folder when that is a local-style
-    path, otherwise to a private staging folder on the driver (Spark distributes it).
+    path, otherwise beside the process, in its working directory (Spark distributes it).
     """
     import zipfile
 
@@ -72,7 +78,7 @@ def ship_package(spark: SparkSession) -> None:
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     base = ensure_checkpoint_dir(spark)
     local_base = base[len("file:"):] if base.startswith("file:") else (base if base.startswith("/") else None)
-    target_dir = os.path.join(local_base, "kestrel-pkg") if local_base else tempfile.mkdtemp(prefix="kestrel-pkg-")
+    target_dir = os.path.join(local_base or os.getcwd(), ".kestrel-pkg")
     os.makedirs(target_dir, exist_ok=True)
     target = os.path.join(target_dir, f"kestrel-{uuid.uuid4().hex[:8]}.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
@@ -94,8 +100,19 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/kestrel/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """This application's part of the shared scratch folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/kestrel/{spark.sparkContext.applicationId}"
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Remove everything the application has materialised.  Call it when no result that was
+    returned before is read any more (the end of a job, or between the queries of one)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df, name: str):
@@ -118,7 +135,7 @@ SPREAD_MIN_BYTES = 4 * 1024 * 1024
 
 
 def spread(df, key: str | None = None):
-    """Hash-partition a sizable scan that has fewer partitions than the cluster has cores.
+    """Deal a sizable scan that has fewer partitions than the cluster has cores evenly over them.
 
     Big inputs already arrive in many file splits, so this is a no-op at scale; it only
     matters for a few large files (a single-file table scans into one task per row group),
@@ -135,7 +152,7 @@ def spread(df, key: str | None = None):
         return df
     if size < SPREAD_MIN_BYTES:
         return df
-    return df.repartition(parallelism, key or df.columns[0])
+    return df.repartition(parallelism, key) if key else df.repartition(parallelism)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread_small_scans: bool = True):

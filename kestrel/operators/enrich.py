@@ -2,9 +2,8 @@
 
 The whole build is one lazy plan.  Chunking, keys, projection of parent fields and the
 hashed embedder are narrow (no shuffle): a document's pages are produced by ``posexplode``
-on the row that holds the document.  Entity tagging is narrow too when the gazetteer is
-small enough to inline; a large gazetteer goes through a join on the token and a
-re-grouping by chunk.
+on the row that holds the document.  Entity tagging joins the n-grams of the chunks with the gazetteer
+and regroups the matches by chunk; only matches are shuffled.
 """
 
 from __future__ import annotations
@@ -23,12 +22,6 @@ from kestrel.functions.text import (
     tokens,
 )
 
-# Gazetteers up to this many terms are inlined into the plan as a literal map (no join, no
-# shuffle).  Larger ones are broadcast (size-checked) or shuffled.
-INLINE_GAZETTEER_LIMIT = 5000
-BROADCAST_GAZETTEER_LIMIT = 2_000_000
-
-
 def non_blank(text: Column) -> Column:
     return text.isNotNull() & (F.trim(text) != F.lit(""))
 
@@ -70,77 +63,50 @@ def embed_text(df: DataFrame, text_col: str = "chunk", out_col: str = "text_vect
     return df.withColumn(out_col, hashed_embedding(F.col(text_col), dims))
 
 
-def derive_gazetteer(docs: DataFrame, n_terms: int = 30, min_len: int = 5, lang: str = "en", text_col: str = "text") -> DataFrame:
-    """A ``(term, canonical)`` table: the ``n_terms`` tokens of length >= ``min_len`` with the highest
-    document frequency among documents of ``lang`` (ties by token).
+def derive_gazetteer(docs: DataFrame, min_share: float = 0.02, min_len: int = 5, text_col: str = "text") -> DataFrame:
+    """A ``(term, canonical, df)`` table: all tokens of at least ``min_len`` letters that occur in at least
+    ``min_share`` of the documents (null texts count as documents without tokens).
 
-    Document frequency is a combinable count, so a token present in every document costs
-    no more than any other (partial aggregation before the shuffle); the final pick is a
-    global top-n (``TakeOrderedAndProject``), which only moves n rows per partition.
+    Document frequency is a combinable count, so a token present in every document costs no more than any
+    other.  The table is bounded whatever the number of documents: a document that holds d different tokens
+    supports d of them, so there are at most ``average d / min_share`` terms.
     """
-    toks = docs.where(F.col("lang") == lang).select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term"))
+    n = docs.count()
+    toks = docs.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term"))
     df = toks.where(F.length("term") >= min_len).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    top = df.orderBy(F.desc("df"), F.asc("term")).limit(n_terms)
-    return top.select("term", F.col("term").alias("canonical"), "df")
-
-
-def _ngrams(toks: Column, max_n: int) -> Column:
-    """Tokens followed by all 2..``max_n`` token sequences (space-joined), built with ``zip_with``
-    over shifted slices so each n-gram level is one linear pass."""
-    grams = toks
-    shifted = toks
-    for n in range(2, max_n + 1):
-        m = F.size(toks) - n + 1
-        nxt = F.zip_with(
-            F.slice(shifted, 1, F.greatest(m, F.lit(1))),
-            F.slice(toks, n, F.greatest(m, F.lit(1))),
-            lambda a, b: F.concat(a, F.lit(" "), b),
-        )
-        shifted = F.when(m >= 1, nxt).otherwise(F.array().cast("array<string>"))
-        grams = F.concat(grams, shifted)
-    return grams
-
-
-def extract_locations(
-    chunks: DataFrame,
-    gazetteer: DataFrame,
-    text_col: str = "chunk",
-    key_col: str = "chunk_id",
-    out_col: str = "locations",
-    max_ngram: int = 3,
-) -> DataFrame:
-    """Tag each chunk with the sorted distinct canonical names of gazetteer terms it contains.
+    return df.where(F.col("df") >= F.lit(min_share) * F.lit(n)).select("term", F.col("term").alias("canonical"), "df")
+
 
-    Terms are matched on whole tokens and on 2..``max_ngram`` token sequences.  A chunk
-    without a match keeps its row with an empty array.
+def ngrams(toks: Column, n: int) -> Column:
+    """All runs of ``n`` tokens, space-joined (empty when there are fewer tokens)."""
+    if n == 1:
+        return toks
+    starts = F.sequence(F.lit(1), F.greatest(F.size(toks) - (n - 1), F.lit(1)))
+    runs = F.transform(starts, lambda i: F.array_join(F.slice(toks, i, n), " "))
+    return F.when(F.size(toks) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+
+def extract_locations(chunks: DataFrame, gazetteer: DataFrame, text_col: str = "chunk", key_col: str = "chunk_id", out_col: str = "locations") -> DataFrame:
+    """Tag each chunk with the sorted distinct canonical names of the gazetteer terms it contains.
+
+    Terms are read like texts (lower case, split at anything but letters and digits), so a term of any number
+    of words matches the same run of words in any spelling of case; a term with several canonical
+    names gives all of them.  A chunk without a match keeps its row with an empty array.
+
+    One path for every size of gazetteer: the distinct n-grams, of the lengths that the gazetteer has, are joined
+    with it and the matches regrouped by chunk.  The join strategy is left to the planner, which knows
+    the gazetteer's size in bytes.
     """
-    # One bounded read decides the path: at most INLINE_GAZETTEER_LIMIT + 1 rows reach the driver.
-    rows = gazetteer.select("term", "canonical").limit(INLINE_GAZETTEER_LIMIT + 1).collect()
-    if len(rows) <= INLINE_GAZETTEER_LIMIT:
-        if not rows:
-            return chunks.withColumn(out_col, F.array().cast("array<string>"))
-        # n-grams only as long as the longest term; matches found with a hash-based intersect.
-        longest = max(len([w for w in r["term"].split(" ") if w]) for r in rows)
-        terms = F.array(*[F.lit(r["term"]) for r in rows])
-        with_toks = chunks.withColumn("__toks", tokens(F.col(text_col)))
-        grams = _ngrams(F.col("__toks"), min(max_ngram, max(1, longest)))
-        found = F.array_intersect(grams, terms)
-        if all(r["term"] == r["canonical"] for r in rows):
-            tags = found
-        else:
-            lookup = F.create_map(*[F.lit(x) for r in rows for x in (r["term"], r["canonical"])])
-            tags = F.array_distinct(F.transform(found, lambda g: lookup[g]))
-        return with_toks.withColumn(out_col, F.array_sort(tags)).drop("__toks")
-    # Large gazetteer: join on the token, then re-group by chunk and attach to the chunk rows.
-    toks = chunks.select(key_col, tokens(F.col(text_col)).alias("__toks"))
-    grams = toks.select(key_col, F.explode(_ngrams(F.col("__toks"), max_ngram)).alias("term"))
-    gaz = gazetteer.select("term", "canonical").dropDuplicates(["term"])
-    if gazetteer.count() <= BROADCAST_GAZETTEER_LIMIT:
-        gaz = F.broadcast(gaz)
-    tags = grams.join(gaz, "term").groupBy(key_col).agg(F.array_sort(F.collect_set("canonical")).alias(out_col))
-    return chunks.join(tags, key_col, "left").withColumn(
-        out_col, F.coalesce(F.col(out_col), F.array().cast("array<string>"))
-    )
+    gaz = gazetteer.select(tokens(F.col("term")).alias("t"), "canonical").where((F.size("t") > 0) & F.col("canonical").isNotNull())
+    gaz = gaz.select(F.array_join("t", " ").alias("term"), F.size("t").alias("n"), "canonical").distinct()
+    lengths = sorted(r["n"] for r in gaz.select("n").distinct().collect())  # different lengths of terms: a handful
+    if not lengths:
+        return chunks.withColumn(out_col, F.array().cast("array<string>"))
+    toks = chunks.select(key_col, tokens(F.col(text_col)).alias("toks"))
+    grams = F.array_distinct(F.concat(*[ngrams(F.col("toks"), n) for n in lengths]))
+    found = toks.select(key_col, F.explode(grams).alias("term")).join(gaz.select("term", "canonical"), "term")
+    tags = found.groupBy(key_col).agg(F.array_sort(F.collect_set("canonical")).alias("tag_names"))
+    return chunks.join(tags, key_col, "left").withColumn(out_col, F.coalesce("tag_names", F.array().cast("array<string>"))).drop("tag_names")
 
 
 def embed_request_batches(

@@ -5,11 +5,14 @@ Paths are any Hadoop-FS URI and are passed through unchanged.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.functions.text import html_text, html_title
+from kestrel.session import materialize
 
 # The declared chunk-index schema (field order as declared).
 INDEX_FIELDS = [
@@ -26,12 +29,24 @@ INDEX_FIELDS = [
 
 # --------------------------------------------------------------------------- CSV
 
+# Stands for a quoted empty string while a CSV file is read, so that it is told from a missing value.
+_EMPTY_MARK = "\ue000empty\ue000"
+# Both directions: quotes are doubled, line ends and blanks inside a field are kept.
+_CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def csv_scan(spark: SparkSession, path: str, schema: T.StructType | str | None = None, index_col: str | None = None) -> DataFrame:
     """Read CSV with a header.  With ``schema`` the read is single-pass; without it the types are
-    inferred (an extra pass over the data).  ``index_col`` is moved to the front."""
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    inferred (an extra pass over the data).  ``index_col`` is moved to the front.
+
+    Quoted fields may hold line ends, so a file is read by one task; write large tables as many
+    part files, as ``csv_sink`` does.  An unquoted empty field is null, a quoted one the empty string.
+    """
+    reader = spark.read.options(**_CSV).option("multiLine", True).option("mode", "PERMISSIVE").option("emptyValue", _EMPTY_MARK)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     df = reader.csv(path)
+    df = df.select(*[F.when(F.col(f"`{f.name}`") == _EMPTY_MARK, "").otherwise(F.col(f"`{f.name}`")).alias(f.name)
+                     if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema.fields])
     if index_col:
         df = df.select(index_col, *[c for c in df.columns if c != index_col])
     return df
@@ -41,7 +56,7 @@ def csv_sink(df: DataFrame, path: str, index_col: str | None = None) -> str:
     """Write the frame (index column first) as CSV part files with a header, replacing ``path``."""
     if index_col:
         df = df.select(index_col, *[c for c in df.columns if c != index_col])
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(**_CSV).option("emptyValue", '""').option("nullValue", "").csv(path)
     return path
 
 
@@ -124,36 +139,57 @@ def assert_unique(df: DataFrame, key: str = "chunk_id") -> None:
         raise ValueError(f"key {key} is not unique, e.g. {dup[0][key]!r} occurs {dup[0]['n']} times")
 
 
-def index_write(df: DataFrame, path: str, check_unique: bool = True) -> str:
+def assert_dimension(df: DataFrame, column: str = "text_vector", dim: int | None = None) -> None:
+    """All vectors have ``dim`` components (or, without it, as many as each other); null vectors pass."""
+    r = df.agg(F.min(F.when(F.col(column).isNotNull(), F.size(column))).alias("lo"), F.max(F.size(column)).alias("hi")).first()
+    if r["lo"] is not None and (r["lo"] != r["hi"] or dim not in (None, r["lo"])):
+        raise ValueError(f"vectors of {r['lo']} to {r['hi']} components" + (f", declared {dim}" if dim else ""))
+
+
+def swap_folder(spark: SparkSession, staged: str, path: str) -> None:
+    """Put the finished folder ``staged`` in the place of ``path``; what was there is removed last."""
+    jvm = spark._jvm
+    new, old, gone = (jvm.org.apache.hadoop.fs.Path(p) for p in (staged, path, f"{path}.replaced-{uuid.uuid4().hex[:8]}"))
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    had = fs.exists(old)
+    if had and not fs.rename(old, gone):
+        raise OSError(f"cannot move {path}")
+    if not fs.rename(new, old):
+        if had:
+            fs.rename(gone, old)
+        raise OSError(f"cannot move {staged} to {path}")
+    if had:
+        fs.delete(gone, True)
+
+
+def index_write(df: DataFrame, path: str, check_unique: bool = True, dim: int | None = None) -> str:
     """Materialise the chunk index as Parquet with the declared schema.
 
-    The index is computed once, by the write.  The key is then checked for uniqueness on
-    the written files, reading the ``chunk_id`` column only (one distributed aggregate);
-    a duplicate raises.  Rows are clustered by ``parent_id`` within files so that a
-    document's chunks sit together.
+    The index is computed once, by a write beside ``path``.  The written files are then checked, reading
+    two columns: ``chunk_id`` is unique, and all vectors have one length (``dim`` when given).  Only
+    then do they take the place of ``path``, so a failed check leaves the old index as it was.  Rows are
+    clustered by ``parent_id`` within files so that a document's chunks sit together.
     """
     idx = conform_index(df)
-    idx.sortWithinPartitions("parent_id", "chunk_id").write.mode("overwrite").parquet(path)
+    spark = idx.sparkSession
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex[:8]}"
+    idx.sortWithinPartitions("parent_id", "chunk_id").write.mode("overwrite").parquet(staged)
+    written = spark.read.parquet(staged)
     if check_unique:
-        assert_unique(idx.sparkSession.read.parquet(path).select("chunk_id"), "chunk_id")
+        assert_unique(written.select("chunk_id"), "chunk_id")
+    assert_dimension(written, "text_vector", dim)
+    swap_folder(spark, staged, path.rstrip("/"))
     return path
 
 
-# Update batches with at most this many distinct keys are broadcast to the anti join.
-UPSERT_BROADCAST_KEYS = 5_000_000
-
-
 def index_upsert(current: DataFrame, updates: DataFrame, key: str = "parent_id") -> DataFrame:
     """Create-or-replace by key: every row of ``current`` whose ``key`` appears in ``updates`` is
     replaced by the rows of ``updates``.  With ``key='parent_id'`` a changed document replaces
     all of its old chunks, so chunks of a shortened document do not linger.
 
-    An update batch is usually small next to the index: when a count proves its distinct keys
-    small they are broadcast, so the index streams through the anti join without a shuffle.
-    Otherwise both sides shuffle on ``key`` and AQE splits a hot key.
+    The update batch is computed once, by a write to the scratch folder; its keys are read back from
+    there.  Whether they are broadcast is left to the planner, which sees their size in bytes.
     """
-    keys = updates.select(key).distinct()
-    if keys.count() <= UPSERT_BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    kept = current.join(keys, key, "left_anti")
+    updates = materialize(updates, "upsert-updates")
+    kept = current.join(updates.select(key).distinct(), key, "left_anti")
     return kept.unionByName(updates.select(*current.columns))

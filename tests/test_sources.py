@@ -72,13 +72,46 @@ def test_dim_check_and_mismatch_side_table(spark):
     assert bad == [(1, 1, 3)]
 
 
-def test_extract_locations_join_path_matches_inline(spark, monkeypatch):
-    chunks = spark.createDataFrame([("c1", "The Ice Sheet near Sea Surface"), ("c2", "nothing"), ("c3", "sea surface sea")], "chunk_id string, chunk string")
-    gaz = spark.createDataFrame([("ice sheet", "Ice Sheet"), ("sea surface", "Sea Surface"), ("sea", "Sea")], "term string, canonical string")
-    inline = {r["chunk_id"]: r["locations"] for r in enrich.extract_locations(chunks, gaz).collect()}
-    monkeypatch.setattr(enrich, "INLINE_GAZETTEER_LIMIT", 0)
-    joined = {r["chunk_id"]: r["locations"] for r in enrich.extract_locations(chunks, gaz).collect()}
-    assert inline == joined == {"c1": ["Ice Sheet", "Sea", "Sea Surface"], "c2": [], "c3": ["Sea", "Sea Surface"]}
+def test_extract_locations(spark):
+    chunks = spark.createDataFrame(
+        [("c1", "The Ice Sheet near Sea Surface"), ("c2", "nothing"), ("c3", "sea surface sea"), ("c4", "New York-City hall is open"), ("c5", None), ("c6", "PARIS, paris")],
+        "chunk_id string, chunk string",
+    )
+    gaz = spark.createDataFrame(
+        [("ice sheet", "Ice Sheet"), ("sea surface", "Sea Surface"), ("sea", "Sea"), ("new york city hall", "City Hall"), ("Paris", "Paris (France)"), ("paris", "Paris (Texas)"), ("", "none"), (None, "none")],
+        "term string, canonical string",
+    )
+    got = {r["chunk_id"]: r["locations"] for r in enrich.extract_locations(chunks, gaz).collect()}
+    assert got == {
+        "c1": ["Ice Sheet", "Sea", "Sea Surface"], "c2": [], "c3": ["Sea", "Sea Surface"], "c4": ["City Hall"], "c5": [],
+        "c6": ["Paris (France)", "Paris (Texas)"],  # both names, terms and texts in any case
+    }
+    none = enrich.extract_locations(chunks, gaz.limit(0)).collect()
+    assert len(none) == 6 and all(r["locations"] == [] for r in none)
+
+
+def test_csv_round_trip_of_hard_texts(spark):
+    texts = ["two\nlines", "", "  pad ", None, 'say "hi"', '"', "back\\slash", "\\", 'x\\"y', "a,b", "\r\n", "\t", "'", "NULL", "ü\u2028x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, s string")
+    path = io.csv_sink(df, tempfile.mkdtemp(prefix="kestrel-csv-") + "/out", index_col="id")
+    back = {r["id"]: r["s"] for r in io.csv_scan(spark, path, schema="id int, s string").collect()}
+    assert back == dict(enumerate(texts))
+
+
+def test_a_failed_index_write_leaves_the_old_index(spark):
+    d = tempfile.mkdtemp(prefix="kestrel-idx-")
+    row = ("p", "t", "u", "f", ["x"], "k1", "c", [0.5, 0.5])
+    schema = "parent_id string, title string, source_url string, source_file_name string, locations array<string>, chunk_id string, chunk string, text_vector array<double>"
+    io.index_write(spark.createDataFrame([row], schema), d + "/i", dim=2)
+    twice = spark.createDataFrame([row, row], schema)
+    uneven = spark.createDataFrame([row, row[:5] + ("k2", "c", [0.5])], schema)
+    three = spark.createDataFrame([row[:7] + ([1.0, 2.0, 3.0],)], schema)
+    for bad in (twice, uneven, three):
+        with pytest.raises(ValueError):
+            io.index_write(bad, d + "/i", dim=2)
+        assert [r["chunk_id"] for r in spark.read.parquet(d + "/i").collect()] == ["k1"]
+    io.index_write(spark.createDataFrame([row[:5] + ("k9",) + row[6:]], schema), d + "/i", dim=2)
+    assert [r["chunk_id"] for r in spark.read.parquet(d + "/i").collect()] == ["k9"]
 
 
 def test_file_manifest_glob_and_recursion(spark):

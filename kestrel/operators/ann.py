@@ -1,12 +1,12 @@
 """Approximate nearest neighbours with an inverted-file (IVF) index built from Spark ML KMeans.
 
-* Lists: KMeans centroids over the unit vectors; each vector belongs to its nearest centroid.
-* Probing: every query visits its ``n_probe`` nearest lists.
-* Scoring: index rows and query probes meet in blocks ``(list, index block, query block)``
-  through ``cogroup`` + ``applyInPandas``.  Block counts come from per-list sizes, so a list
-  holding a third of the index is split into many bounded blocks (and so is a popular list's
-  query side): no task ever holds more than ``max_block`` vectors or ``max_query_block``
-  queries, and only a local top-k per query leaves a block, never the pairs.
+* Lists: KMeans centroids, fitted on a bounded sample of the unit vectors; every vector belongs to its
+  nearest centroid.
+* Probing: a query visits its nearest lists, in order, until they hold ``probe_share`` of all vectors, and
+  always until they hold more than ``k``; so no query gets fewer than ``k`` rows where ``k`` exist.
+* Scoring: index rows and probes meet in blocks ``(list, index block, query block)`` whose numbers come from
+  the list sizes and loads, so a list that holds a third of the index is many bounded blocks; scores are
+  computed in tiles of a fixed number of bytes and only the best of each query leave a block.
 * Final ranking: top-k per query over the block results (``WindowGroupLimit``).
 """
 
@@ -22,14 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kestrel.operators.retrieve import SCORE_DECIMALS, rank_within
+from kestrel.operators.blocks import SCORE_DECIMALS, top_of_cells
+from kestrel.operators.retrieve import rank_within, unit_rows
 from kestrel.session import materialize
 
-
-def unit(arr: Column) -> Column:
-    """L2-normalised copy of a numeric array (double)."""
-    norm = F.sqrt(F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double")))
-    return F.transform(arr, lambda v: v.cast("double") / norm)
+#: Vectors per list that the centroids are fitted on (a documented sample; every vector is indexed).
+FIT_PER_LIST = 256
+MAX_LISTS = 4096
 
 
 def knn_ann(
@@ -40,90 +39,74 @@ def knn_ann(
     vec_col: str = "embedding",
     qvec_col: str = "query_vector",
     n_lists: int | None = None,
-    n_probe: int = 4,
+    probe_share: float = 0.7,
     exclude_self: bool = False,
-    max_block: int = 20000,
-    max_query_block: int = 4096,
+    max_block: int = 8192,
+    max_query_block: int = 1024,
     seed: int = 42,
-    max_iter: int = 20,
+    max_iter: int = 10,
 ) -> DataFrame:
-    """Approximate top-``k`` by cosine: ``(query_id, key, score, rank)``."""
-    vecs = index.select(key_col, unit(F.col(vec_col)).alias("u")).where(F.aggregate("u", F.lit(True), lambda a, v: a & ~F.isnan(v)))
+    """Approximate top-``k`` by cosine: ``(query_id, key, score, rank)``.
+
+    ``probe_share`` is the share of the index a query reads: small where vectors form clusters, large where
+    they are spread evenly (as random vectors are).  With 1.0 all lists are probed and the result is exact.
+    Null, zero and non-finite vectors take no part.
+    """
+    vecs = materialize(unit_rows(index, key_col, vec_col), "ivf-vectors")
     n = vecs.count()
-    lists = n_lists or max(1, int(math.sqrt(n)))
+    if n == 0:
+        none = index.select(F.lit(0).cast("long").alias("query_id"), key_col, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+        return none.where(F.lit(False))
+    lists = min(MAX_LISTS, n_lists or max(1, int(math.sqrt(n))))
+    fit_on = vecs if n <= lists * FIT_PER_LIST else vecs.where(F.pmod(F.xxhash64(key_col), F.lit(n)) < lists * FIT_PER_LIST)
     km = KMeans(k=lists, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="list_id")
-    model = km.fit(vecs.select(array_to_vector("u").alias("features")))
-    centers = np.array([c for c in model.clusterCenters()], dtype=np.float64)
+    model = km.fit(fit_on.select(array_to_vector("u").alias("features")))
+    centers = np.array(model.clusterCenters(), dtype=np.float64)
     cnorm = np.linalg.norm(centers, axis=1)
-    centers = centers / np.where(cnorm > 0, cnorm, 1.0)[:, None]
-    probe = min(n_probe, len(centers))
-
-    # The IVF index itself (list of every vector) and the query probes are each read twice below
-    # (sizes / loads and the blocks), so both are written once to the shared scratch folder.
+    unit_centers = centers / np.where(cnorm > 0, cnorm, 1.0)[:, None]
     assigned = materialize(model.transform(vecs.withColumn("features", array_to_vector("u"))).select(key_col, "u", "list_id"), "ivf-lists")
+    sizes = np.zeros(len(centers))
+    for r in assigned.groupBy("list_id").count().collect():  # one row per list
+        sizes[r["list_id"]] = r["count"]
+    wanted = max(float(k + 1), probe_share * n)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def nearest_lists(v: pd.Series) -> pd.Series:
         if len(v) == 0:
             return pd.Series([], dtype=object)
-        m = np.stack(v.to_numpy()).astype(np.float64)
-        sims = m @ centers.T
-        top = np.argsort(-sims, axis=1, kind="stable")[:, :probe]
-        return pd.Series(list(top.astype(np.int32)))
+        order = np.argsort(-(np.stack(v.to_numpy()) @ unit_centers.T), axis=1, kind="stable")
+        before = np.cumsum(sizes[order], axis=1) - sizes[order]
+        return pd.Series([row[: max(1, int((b < wanted).sum()))].astype(np.int32) for row, b in zip(order, before)])
 
-    qv = queries.select("query_id", unit(F.col(qvec_col)).alias("q"))
-    probes = materialize(qv.select("query_id", "q", F.explode(nearest_lists("q")).alias("list_id")), "ivf-probes")
+    asked = unit_rows(queries, "query_id", qvec_col).withColumnRenamed("u", "q")
+    probes = materialize(asked.select("query_id", "q", F.explode(nearest_lists("q")).alias("list_id")), "ivf-probes")
 
     # Block counts per list from the list sizes and probe counts (one small aggregate each).
-    sizes = assigned.groupBy("list_id").agg(F.count(F.lit(1)).alias("n_items"))
+    items_of = assigned.groupBy("list_id").agg(F.count(F.lit(1)).alias("n_items"))
     loads = probes.groupBy("list_id").agg(F.count(F.lit(1)).alias("n_probes"))
-    plan = sizes.join(loads, "list_id", "full_outer").select(
+    plan = items_of.join(loads, "list_id", "full_outer").select(
         "list_id",
         F.greatest(F.lit(1), F.ceil(F.coalesce("n_items", F.lit(0)) / F.lit(max_block))).cast("int").alias("n_sub"),
         F.greatest(F.lit(1), F.ceil(F.coalesce("n_probes", F.lit(0)) / F.lit(max_query_block))).cast("int").alias("n_qsub"),
     )
-    plan = F.broadcast(plan)  # one row per list: bounded by the number of lists
-    items = assigned.join(plan, "list_id").select(
-        "list_id",
-        F.pmod(F.xxhash64(key_col), F.col("n_sub")).cast("int").alias("sub"),
-        F.explode(F.sequence(F.lit(0), F.col("n_qsub") - 1)).alias("qsub"),
-        key_col,
-        "u",
-    )
-    qblocks = probes.join(plan, "list_id").select(
-        "list_id",
-        F.explode(F.sequence(F.lit(0), F.col("n_sub") - 1)).alias("sub"),
-        F.pmod(F.xxhash64("query_id"), F.col("n_qsub")).cast("int").alias("qsub"),
-        "query_id",
-        "q",
-    )
-    key_type = index.schema[key_col].dataType
-    out_schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField(key_col, key_type), T.StructField("score", T.DoubleType())])
-
-    key_dtype = "int64" if isinstance(key_type, (T.LongType, T.IntegerType)) else object
-
-    def score_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), key_col: pd.Series([], dtype=key_dtype), "score": pd.Series([], dtype="float64")})
-        keys = left[key_col].to_numpy()
-        mat = np.stack(left["u"].to_numpy()).astype(np.float64)
-        qids = right["query_id"].to_numpy(dtype=np.int64)
-        qmat = np.stack(right["q"].to_numpy()).astype(np.float64)
-        sims = mat @ qmat.T
+    plan = F.broadcast(plan)  # one row per list: at most MAX_LISTS
+
+    def cells(df: DataFrame, sub: Column, qsub: Column) -> DataFrame:
+        with_cell = df.join(plan, "list_id").withColumn("sub", sub).withColumn("block_j", qsub)
+        return with_cell.withColumn("block_i", F.concat_ws("-", F.col("list_id").cast("string"), F.col("sub").cast("string")))
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    left = cells(assigned, dealt(key_col, "n_sub"), every("n_qsub")).select(key_col, "u", "block_i", "block_j")
+    right = cells(probes, every("n_sub"), dealt("query_id", "n_qsub")).select("query_id", "q", "block_i", "block_j")
+
+    def score_tile(qs: pd.DataFrame, part: pd.DataFrame) -> np.ndarray:
+        s = np.stack(qs["q"].to_numpy()) @ np.stack(part["u"].to_numpy()).T
         if exclude_self:
-            sims[keys[:, None] == qids[None, :]] = -np.inf
-        kk = min(k, sims.shape[0])
-        idx = np.argpartition(-sims, kk - 1, axis=0)[:kk]  # kk best rows per query column
-        cols = np.broadcast_to(np.arange(sims.shape[1]), idx.shape)
-        s = sims[idx, cols].ravel()
-        fin = np.isfinite(s)
-        return pd.DataFrame({"query_id": qids[cols.ravel()][fin], key_col: keys[idx.ravel()][fin], "score": s[fin]})
-
-    cands = (
-        items.groupBy("list_id", "sub", "qsub")
-        .cogroup(qblocks.groupBy("list_id", "sub", "qsub"))
-        .applyInPandas(score_block, out_schema)
-    )
+            s[qs["query_id"].to_numpy()[:, None] == part[key_col].to_numpy()[None, :]] = -np.inf
+        return s
+
+    cands = top_of_cells(left, right, key_col, k, score_tile, lambda part: 24 * len(part))
     top = rank_within(cands, "query_id", key_col, "score", k)
     return top.select("query_id", key_col, F.round("score", SCORE_DECIMALS).alias("score"), "rank")
 

@@ -1,9 +1,9 @@
-"""Retrieval as a named SQL function: ``search_knowledge_base(query)`` -> top hits.
+"""Retrieval as a named SQL function: ``search_knowledge_base(query)`` -> the best passages.
 
-The function is a Spark SQL table function over a stored inverted index (postings, document
-frequencies and collection statistics written as Parquet under the shared scratch folder).
-It is called per row with ``LATERAL``, which Catalyst decorrelates into one join over the
-distinct query texts, so a whole table of queries is answered by one distributed plan.
+The function is a Spark SQL table function over a stored inverted index: postings with the passage length, a
+weight per term, and the passages (text, title, source URL), written as Parquet under the shared scratch
+folder.  Called with ``LATERAL`` for a table of queries, it becomes one distributed plan.  Its ``LIMIT``
+becomes a limit per query, which Spark applies in every task before the shuffle by query.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.functions.text import tokens
-from kestrel.session import scratch_path
+from kestrel.session import materialize, scratch_path
 
 
 def build_postings(index: DataFrame, key_col: str = "chunk_id", text_col: str = "chunk") -> DataFrame:
@@ -28,58 +28,56 @@ def build_postings(index: DataFrame, key_col: str = "chunk_id", text_col: str =
     return exploded.groupBy(key_col, "dl", "term").agg(F.count("term").alias("tf"))
 
 
-def store_inverted_index(spark: SparkSession, postings: DataFrame, key_col: str = "chunk_id") -> dict[str, str]:
-    """Write the postings once (clustered by term within files), then derive document frequencies
-    ``(term, df)`` and the one-row statistics ``(n, avgdl)`` from the written table, and register
-    the three as temp views.  The chunk text is tokenised only once."""
+def store_inverted_index(spark: SparkSession, index: DataFrame, key_col: str = "chunk_id", text_col: str = "chunk", passage_cols: tuple[str, ...] = ("chunk", "title", "source_url"),
+                         k1: float = 1.2, b: float = 0.75) -> dict[str, str]:
+    """Write the postings once (the text is tokenised only here), derive the weight of every posting from the
+    written table, store them with the passages, and register both as temp views."""
     tag = uuid.uuid4().hex[:8]
-    path = scratch_path(spark, "kb-postings")
-    postings.sortWithinPartitions("term").write.mode("overwrite").parquet(path)
-    stored = spark.read.parquet(path)
-    parts = {
-        "postings": stored.where(F.col("term").isNotNull()),
-        "df": stored.where(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("df")),
-        "stats": stored.groupBy(key_col, "dl").agg(F.lit(1).alias("one")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")),
-    }
-    views = {}
-    for name, df in parts.items():
-        if name != "postings":
-            p = scratch_path(spark, f"kb-{name}")
-            df.write.mode("overwrite").parquet(p)
-            df = spark.read.parquet(p)
-        view = f"kb_{name}_{tag}"
-        df.createOrReplaceTempView(view)
-        views[name] = view
+    stored = materialize(build_postings(index, key_col, text_col), "kb-postings")
+    stats = stored.groupBy(key_col, "dl").agg(F.lit(1).alias("one")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()  # one row
+    n, avgdl = stats["n"], float(stats["avgdl"] or 0.0)
+    terms = stored.where(F.col("term").isNotNull())
+    dfreq = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    tf = F.col("tf").cast("double")
+    idf = F.log(1.0 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * tf * F.lit(k1 + 1.0) / (tf + F.lit(k1) * (1.0 - F.lit(b) + F.lit(b) * F.col("dl") / F.lit(avgdl)))
+    weighted = terms.join(dfreq, "term").select(F.col(key_col).alias("chunk_id"), "term", weight.alias("weight"))
+    path = scratch_path(spark, "kb-weights")
+    weighted.repartition(F.xxhash64("chunk_id")).sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+    passages = materialize(index.select(F.col(key_col).alias("chunk_id"), *passage_cols), "kb-passages")
+    views = {"postings": f"kb_postings_{tag}", "passages": f"kb_passages_{tag}"}
+    spark.read.parquet(path).createOrReplaceTempView(views["postings"])
+    passages.createOrReplaceTempView(views["passages"])
     return views
 
 
-def register_search_function(spark: SparkSession, views: dict[str, str], name: str = "search_knowledge_base", top: int = 5, k1: float = 1.2, b: float = 0.75) -> str:
-    """Create ``name(query STRING) RETURNS TABLE(chunk_id, score, rank)``: BM25 over the stored index,
-    ranked by rounded score then chunk id, first ``top``."""
-    p, d, s = views["postings"], views["df"], views["stats"]
+def search_with_function(spark: SparkSession, queries: DataFrame, function: str) -> DataFrame:
+    """Call the table function for every row of ``queries (query_id, query_text)``."""
+    view = f"kb_queries_{uuid.uuid4().hex[:8]}"
+    queries.select("query_id", "query_text").createOrReplaceTempView(view)
+    return spark.sql(f"SELECT q.query_id, k.chunk_id, k.passage, k.title, k.source_url, k.score, k.rank FROM {view} q, LATERAL {function}(q.query_text) k")
+
+
+def register_search_function(spark: SparkSession, views: dict[str, str], name: str | None = None, top: int = 5) -> str:
+    """Create ``name(query STRING) RETURNS TABLE(chunk_id, passage, title, source_url, score, rank)``: BM25 over
+    the stored index, ranked by rounded score then chunk id, first ``top``.  Each index gets a function
+    of its own (the default name ends with the index's tag), so several can be in use."""
+    name = name or "search_knowledge_base_" + views["postings"].rsplit("_", 1)[1]
     split = r"'[^\\p{L}\\p{N}]+'"
     spark.sql(
         f"""
 CREATE OR REPLACE TEMPORARY FUNCTION {name}(query STRING)
-RETURNS TABLE(chunk_id STRING, score DOUBLE, rank INT)
+RETURNS TABLE(chunk_id STRING, passage STRING, title STRING, source_url STRING, score DOUBLE, rank INT)
 RETURN
-SELECT chunk_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (
+SELECT r.chunk_id, d.chunk, d.title, d.source_url, round(r.score, 6), CAST(r.rank AS INT) FROM (
   SELECT chunk_id, score, row_number() OVER (ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM (
-    SELECT p.chunk_id,
-           sum(ln(1.0D + ((SELECT n FROM {s}) - d.df + 0.5D) / (d.df + 0.5D)) * CAST(p.tf AS DOUBLE) * {k1 + 1.0}D
-               / (CAST(p.tf AS DOUBLE) + {k1}D * (1.0D - {b}D + {b}D * p.dl / (SELECT avgdl FROM {s})))) AS score
-    FROM (SELECT explode(array_distinct(filter(split(lower(query), {split}), t -> t <> ''))) AS term) qt
-    JOIN {p} p ON p.term = qt.term
-    JOIN {d} d ON d.term = qt.term
-    GROUP BY p.chunk_id))
-WHERE rank <= {top}
+    SELECT chunk_id, score FROM (
+      SELECT p.chunk_id, sum(p.weight) AS score
+      FROM (SELECT explode(array_distinct(filter(split(lower(query), {split}), t -> t <> ''))) AS term) qt
+      JOIN {views["postings"]} p ON p.term = qt.term
+      GROUP BY p.chunk_id)
+    ORDER BY round(score, 6) DESC, chunk_id LIMIT {top})) r
+JOIN {views["passages"]} d ON d.chunk_id = r.chunk_id
 """
     )
     return name
-
-
-def search_with_function(spark: SparkSession, queries: DataFrame, function: str = "search_knowledge_base") -> DataFrame:
-    """Call the table function for every row of ``queries (query_id, query_text)``."""
-    view = f"kb_queries_{uuid.uuid4().hex[:8]}"
-    queries.select("query_id", "query_text").createOrReplaceTempView(view)
-    return spark.sql(f"SELECT q.query_id, k.chunk_id, k.score, k.rank FROM {view} q, LATERAL {function}(q.query_text) k")

@@ -17,22 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.text import hashed_embedding, tokens
-
-SCORE_DECIMALS = 6
-# Sides joined by hint are counted first; these bounds keep what is broadcast small.
-BROADCAST_ROWS = 2_000_000
-QUERY_MATRIX_BYTES = 256 * 1024 * 1024
-
-
-def _maybe_broadcast(df: DataFrame, limit_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast-hint ``df`` only when a count proves it small; otherwise leave it to the planner."""
-    return F.broadcast(df) if df.count() <= limit_rows else df
-
-
-def broadcast_if_bounded(df: DataFrame, row_bound: int, limit_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast-hint ``df`` when an upper bound on its rows is proven small (for top-k hit sets the
-    bound is ``n_queries * k``, known without computing the hits)."""
-    return F.broadcast(df) if row_bound <= limit_rows else df
+from kestrel.operators.blocks import SCORE_DECIMALS, grid, top_of_cells
+from kestrel.session import materialize
 
 
 def rank_within(df: DataFrame, group: str, key: str, score: str, k: int | None, *extra_order: Column) -> DataFrame:
@@ -44,56 +30,66 @@ def rank_within(df: DataFrame, group: str, key: str, score: str, k: int | None,
 
 # --------------------------------------------------------------------------- keyword (BM25)
 
-def keyword_scores(
-    index: DataFrame,
-    queries: DataFrame,
-    key_col: str = "chunk_id",
-    text_col: str = "chunk",
-    k1: float = 1.2,
-    b: float = 0.75,
-) -> DataFrame:
-    """BM25 score of every (query, chunk) pair that shares at least one term.
-
-    ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``; query terms are distinct.
-
-    Plan shape: the chunk rows are hash-partitioned by key once (text moves, not exploded
-    tokens); tokenising, term counting per (chunk, term), the join with the per-query term
-    weights and the sum per (query, chunk) then all reuse that partitioning, so the only
-    other exchanges are the small document-frequency aggregate (vocabulary terms only) and
-    the bounded top-k per query downstream.  Only terms that occur in some query are
-    counted (semi-join right after tokenising).  The query side is broadcast when a count
-    proves it small; a hot term never concentrates work because nothing is keyed by term
-    on the large side.  ``N`` and the average length come from one global aggregate (one row to the driver).
-    """
-    # Hash partitioning by key (AQE may coalesce the partitions of small inputs).
-    docs = index.select(key_col, text_col).repartition(key_col).select(key_col, tokens(F.col(text_col)).alias("toks"))
-    # Collection statistics: one global aggregate, returned as one row and folded in as literals.
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl")).first()
-    n_docs, avgdl = F.lit(stats["n"]), F.lit(stats["avgdl"] if stats["avgdl"] is not None else 0.0)
-
-    qterms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term"))
-    small = qterms.count() <= BROADCAST_ROWS  # the vocabulary and the weighted query terms are no larger
-    hint = F.broadcast if small else (lambda d: d)
-    vocab = hint(qterms.select("term").distinct())
-    postings = (
-        docs.select(key_col, F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
-        .join(vocab, "term", "left_semi")
-        .groupBy(key_col, "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+def tokenised(index: DataFrame, key_col: str = "chunk_id", text_col: str = "chunk") -> DataFrame:
+    """``(key, toks)`` of the index, written once: statistics, document frequencies and scores read it."""
+    return materialize(index.select(key_col, tokens(F.col(text_col)).alias("toks")), "chunk-tokens")
+
+
+def weighted_terms(docs: DataFrame, queries: DataFrame, n_docs: int) -> DataFrame:
+    """``(query_id, terms, idf)``: the distinct terms of each query that occur in the index, with weights
+    ``ln(1 + (N - df + 0.5) / (df + 0.5))``.  A query without such a term has no row."""
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term"))
+    seen = docs.select(F.explode(F.array_distinct("toks")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    dfreq = seen.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1.0 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = asked.join(dfreq, "term").select("query_id", F.struct("term", idf.alias("idf")).alias("t"))
+    return weighted.groupBy("query_id").agg(F.array_sort(F.collect_list("t")).alias("t")).select(
+        "query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf")
     )
-    dfreq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1.0 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    qidf = hint(qterms.join(dfreq, "term").select("query_id", "term", idf.alias("idf")))
-    tf = F.col("tf").cast("double")
-    norm = tf + F.lit(k1) * (1.0 - F.lit(b) + F.lit(b) * F.col("dl") / avgdl)
-    contrib = postings.join(qidf, "term").select("query_id", key_col, (F.col("idf") * tf * F.lit(k1 + 1.0) / norm).alias("s"))
-    return contrib.groupBy("query_id", key_col).agg(F.sum("s").alias("score"))
+
+
+def keyword_candidates(index: DataFrame, queries: DataFrame, k: int, key_col: str = "chunk_id", text_col: str = "chunk", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """BM25 scores of the chunks that can be among the best ``k`` of a query: at most a few times ``k``
+    rows per query and index block leave a block.
+
+    The index is tokenised once.  A block turns its chunks into a matrix of term weights over the vocabulary of
+    its queries and multiplies it with the queries' weights, so a term in a third of all chunks
+    costs a column, not rows.
+    """
+    docs = tokenised(index, key_col, text_col)
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl")).first()  # one row
+    n_docs, avgdl = stats["n"], float(stats["avgdl"] or 0.0)
+    asked = materialize(weighted_terms(docs, queries, n_docs), "query-terms")
+
+    def score_tile(qs: pd.DataFrame, rows: pd.DataFrame) -> np.ndarray:
+        q_len = qs["terms"].map(len).to_numpy()
+        flat = np.concatenate([np.asarray(t, dtype=object) for t in qs["terms"]])
+        codes, vocab = pd.factorize(flat)
+        weights = np.zeros((len(qs), len(vocab)))
+        weights[np.repeat(np.arange(len(qs)), q_len), codes] = np.concatenate(qs["idf"].to_list())
+        lengths = rows["toks"].map(len).to_numpy()
+        out = np.full((len(qs), len(rows)), -np.inf)
+        places = pd.Index(vocab)
+        step = max(1, (32 << 20) // (8 * max(1, len(vocab))))  # rows of a term matrix of 32 MB
+        for a in range(0, len(rows), step):
+            part, dl = rows["toks"].iloc[a : a + step], lengths[a : a + step].astype(float)
+            if not dl.sum():
+                continue
+            at = places.get_indexer(np.concatenate([np.asarray(t, dtype=object) for t in part if len(t)]))
+            row = np.repeat(np.arange(len(part)), lengths[a : a + step])[at >= 0]
+            tf = np.bincount(row * len(vocab) + at[at >= 0], minlength=len(part) * len(vocab)).reshape(len(part), len(vocab)).astype(float)
+            norm = tf + k1 * (1.0 - b + b * dl / avgdl)[:, None]
+            s = weights @ (tf * (k1 + 1.0) / norm).T
+            out[:, a : a + step] = np.where(s > 0, s, -np.inf)
+        return out
+
+    left, right = grid(docs, asked, key_col, index_rows=2048, query_rows=512)
+    return top_of_cells(left, right, key_col, k, score_tile, lambda rows: 24 * len(rows))
 
 
 def keyword_search(index: DataFrame, queries: DataFrame, k: int = 5, key_col: str = "chunk_id", text_col: str = "chunk") -> DataFrame:
     """Top-``k`` chunks per query by BM25 (k1=1.2, b=0.75)."""
-    scores = keyword_scores(index, queries, key_col, text_col)
-    top = rank_within(scores, "query_id", key_col, "score", k)
+    top = rank_within(keyword_candidates(index, queries, k, key_col, text_col), "query_id", key_col, "score", k)
     return top.select("query_id", key_col, F.round("score", SCORE_DECIMALS).alias("score"), "rank")
 
 
@@ -104,60 +100,12 @@ def vectorize_query(queries: DataFrame, dims: int, text_col: str = "query_text",
     return queries.withColumn(out_col, hashed_embedding(F.col(text_col), dims))
 
 
-def _select_candidates(q: np.ndarray, keys: np.ndarray, s: np.ndarray, k: int, band: float):
-    """Per query id ``q``: keep scores >= the k-th best score - ``band`` (ties at the cut survive)."""
-    if len(s) == 0:
-        return q, keys, s
-    order = np.lexsort((-s, q))
-    q, keys, s = q[order], keys[order], s[order]
-    starts = np.r_[0, np.flatnonzero(np.diff(q)) + 1]
-    sizes = np.diff(np.r_[starts, len(q)])
-    group = np.repeat(np.arange(len(starts)), sizes)
-    pos = np.arange(len(q)) - starts[group]
-    kth = np.full(len(starts), -np.inf)
-    at_k = pos == k - 1
-    kth[group[at_k]] = s[at_k]
-    keep = s >= kth[group] - band
-    return q[keep], keys[keep], s[keep]
-
-
-def _knn_partition_fn(qids: np.ndarray, qmat: np.ndarray, k: int, key_col: str, vec_col: str, exclude_self: bool, key_type):
-    band = 2.0 * 10.0 ** (-SCORE_DECIMALS)
-
-    def run(batches):
-        acc_q = np.zeros(0, dtype=np.int64)
-        acc_k = np.zeros(0, dtype=key_type)
-        acc_s = np.zeros(0, dtype=np.float64)
-        for pdf in batches:
-            pdf = pdf[pdf[vec_col].notna()]
-            if pdf.empty:
-                continue
-            keys = pdf[key_col].to_numpy()
-            mat = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            norms = np.linalg.norm(mat, axis=1)
-            ok = norms > 0
-            mat, keys, norms = mat[ok], keys[ok], norms[ok]
-            if len(keys) == 0:
-                continue
-            sims = (mat / norms[:, None]) @ qmat.T  # rows: chunks of this batch, cols: queries
-            if exclude_self:
-                sims[keys[:, None] == qids[None, :]] = -np.inf
-            m = sims.shape[0]
-            if m > k:
-                kth = np.partition(sims, m - k, axis=0)[m - k]
-                rows, cols = np.nonzero(sims >= kth[None, :] - band)
-            else:
-                rows, cols = np.nonzero(np.isfinite(sims))
-            s = sims[rows, cols]
-            fin = np.isfinite(s)
-            acc_q = np.concatenate([acc_q, cols[fin].astype(np.int64)])
-            acc_k = np.concatenate([acc_k, keys[rows[fin]]])
-            acc_s = np.concatenate([acc_s, s[fin]])
-            acc_q, acc_k, acc_s = _select_candidates(acc_q, acc_k, acc_s, k, band)
-        if len(acc_s):
-            yield pd.DataFrame({"query_id": qids[acc_q], key_col: acc_k, "score": acc_s})
-
-    return run
+def unit_rows(df: DataFrame, key_col: str, vec_col: str) -> DataFrame:
+    """``(key, u)``: vectors scaled to length one; null, empty, zero and non-finite vectors are left out."""
+    norm = F.sqrt(F.aggregate(F.col(vec_col), F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double")))
+    with_norm = df.select(key_col, F.col(vec_col).cast("array<double>").alias("u"), norm.alias("vector_norm"))
+    kept = with_norm.where(F.col("u").isNotNull() & (F.col("vector_norm") > 0) & (F.col("vector_norm") < float("inf")))
+    return kept.select(key_col, F.transform("u", lambda v: v / F.col("vector_norm")).alias("u"))
 
 
 def vector_scores(
@@ -169,51 +117,22 @@ def vector_scores(
     qvec_col: str = "query_vector",
     exclude_self: bool = False,
 ) -> DataFrame:
-    """Exact cosine candidates: for each query, a superset of its top-``k`` from every index partition.
+    """Exact cosine candidates: for each query, a superset of its top-``k`` from every index block.
 
-    The query matrix is broadcast (its size is checked: ``n_queries * dims * 8`` bytes) and
-    every index partition multiplies its vectors against it in Arrow batches (BLAS), keeping
-    only the ``k`` best per query (plus ties at the cut).  So the index is scanned once,
-    never shuffled, and no query x chunk pair is materialised as a row.  Query sets above
-    the bound are processed in bounded slices whose results are unioned.
+    Vectors are scaled to unit length where they are stored, so a cell is one matrix product in tiles of a fixed
+    number of bytes.  A query or row without a direction (null or zero vector) takes no part.
     """
-    spark = index.sparkSession
-    qpdf_iter = _query_slices(queries, qvec_col)
-    key_field = index.schema[key_col]
-    out_schema = f"query_id long, {key_col} {key_field.dataType.simpleString()}, score double"
-    parts = []
-    for qids, qmat in qpdf_iter:
-        fn = _knn_partition_fn(qids, qmat, k, key_col, vec_col, exclude_self, object if key_field.dataType.simpleString() == "string" else np.int64)
-        parts.append(index.select(key_col, vec_col).mapInPandas(fn, out_schema))
-    if not parts:
-        return spark.createDataFrame([], out_schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _query_slices(queries: DataFrame, qvec_col: str):
-    """Yield ``(query ids, unit query matrix)`` slices, each within ``QUERY_MATRIX_BYTES``."""
-    n = queries.count()
-    if n == 0:
-        return
-    first = queries.select(F.size(qvec_col).alias("d")).where(F.col("d").isNotNull()).limit(1).collect()
-    dims = first[0]["d"] if first else 1
-    per_slice = max(1, QUERY_MATRIX_BYTES // (8 * max(dims, 1)))
-    n_slices = -(-n // per_slice)
-    sliced = queries.select("query_id", qvec_col)
-    if n_slices > 1:
-        sliced = sliced.withColumn("_slice", F.pmod(F.xxhash64("query_id"), F.lit(n_slices)))
-    for i in range(n_slices):
-        part = sliced.where(F.col("_slice") == i) if n_slices > 1 else sliced
-        pdf = part.where(F.col(qvec_col).isNotNull()).select("query_id", qvec_col).toPandas()
-        if pdf.empty:
-            continue
-        qmat = np.stack(pdf[qvec_col].to_numpy()).astype(np.float64)
-        norms = np.linalg.norm(qmat, axis=1)
-        qmat = qmat / np.where(norms > 0, norms, 1.0)[:, None]
-        yield pdf["query_id"].to_numpy(dtype=np.int64), qmat
+    rows = unit_rows(index, key_col, vec_col)
+    asked = unit_rows(queries, "query_id", qvec_col).withColumnRenamed("u", "q")
+
+    def score_tile(qs: pd.DataFrame, part: pd.DataFrame) -> np.ndarray:
+        s = np.stack(qs["q"].to_numpy()) @ np.stack(part["u"].to_numpy()).T
+        if exclude_self:
+            s[qs["query_id"].to_numpy()[:, None] == part[key_col].to_numpy()[None, :]] = -np.inf
+        return s
+
+    left, right = grid(rows, asked, key_col)
+    return top_of_cells(left, right, key_col, k, score_tile, lambda part: 24 * len(part))
 
 
 def knn_search(
@@ -319,8 +238,7 @@ def rerank_candidates(cands: DataFrame, index: DataFrame, queries: DataFrame, de
     ``cands``: ``(query_id, chunk_id, score)``.  Only ``depth`` rows per query reach the
     joins with the index fields and the query text.
     """
-    n_queries = queries.count()
-    first = broadcast_if_bounded(rank_within(cands, "query_id", key_col, "score", depth).drop("rank"), n_queries * depth)
+    first = rank_within(cands, "query_id", key_col, "score", depth).drop("rank")
     fields = index.select(key_col, "title", "locations", "chunk")
     joined = first.join(fields, key_col).join(queries.select("query_id", "query_text"), "query_id")
     return joined.select(
@@ -353,7 +271,6 @@ def boosted_candidates(index: DataFrame, queries: DataFrame, tags: Column | None
     fused = hybrid_candidates(index, queries, k_each, key_col=key_col)
     if tags is None:
         return fused
-    fused = broadcast_if_bounded(fused, queries.count() * 2 * k_each)  # at most k_each per ranking and query
     return tag_boost(fused.join(index.select(key_col, "locations"), key_col), tags, boost).drop("locations")
 
 

@@ -28,30 +28,29 @@ VERDICT_EMPTY = "error_empty"
 VERDICT_READY = "ready"
 
 
-def ingest_gate(runs: DataFrame, run_cols: list[str], state_col: str, done_when_in_progress_below: int = 2) -> DataFrame:
+def ingest_gate(runs: DataFrame, run_cols: list[str], state_col: str, status_col: str, order_cols: list[str]) -> DataFrame:
     """Counts of ``completed`` / ``failed`` / ``in_progress`` per run and a verdict tested in order:
     run not completed -> processing; any failure -> error with counts; nothing completed -> error;
-    else ready.  A run is completed when it has fewer than ``done_when_in_progress_below`` rows in
-    progress."""
+    else ready.  The run's status is the one recorded in ``status_col`` of its newest row (by ``order_cols``)."""
     st = F.col(state_col)
     agg = runs.groupBy(*run_cols).agg(
+        F.max_by(F.col(status_col), F.struct(*order_cols)).alias("status"),
         F.count_if(st == "completed").alias("completed"),
         F.count_if(st == "failed").alias("failed"),
         F.count_if(st == "in_progress").alias("in_progress"),
     )
-    status = F.when(F.col("in_progress") < done_when_in_progress_below, F.lit("completed")).otherwise(F.lit("in_progress"))
     counts = F.concat(
         F.lit("completed="), F.col("completed").cast("string"),
         F.lit(", failed="), F.col("failed").cast("string"),
         F.lit(", in_progress="), F.col("in_progress").cast("string"),
     )
     verdict = (
-        F.when(F.col("status") != "completed", F.lit(VERDICT_PROCESSING))
+        F.when(~F.col("status").eqNullSafe("completed"), F.lit(VERDICT_PROCESSING))
         .when(F.col("failed") > 0, F.lit(VERDICT_FAILED))
         .when(F.col("completed") == 0, F.lit(VERDICT_EMPTY))
         .otherwise(F.lit(VERDICT_READY))
     )
-    return agg.withColumn("status", status).withColumn("verdict", verdict).withColumn("detail", counts)
+    return agg.withColumn("verdict", verdict).withColumn("detail", counts)
 
 
 def latest_status(records: DataFrame, group_col: str, status_col: str, order_cols: list[str], keys: DataFrame | None = None, key_col: str | None = None, missing: str = "NotFound") -> DataFrame:
@@ -69,11 +68,11 @@ def latest_status(records: DataFrame, group_col: str, status_col: str, order_col
 
 
 def content_hash(item: Column, referred: Column | None = None) -> Column:
-    """SHA-256 of the item, combined with the SHA-256 of what it refers to when there is one."""
+    """SHA-256 of the item; with what it refers to, both hashes joined by a colon."""
     h = F.sha2(item, 256)
     if referred is None:
         return h
-    return F.when(referred.isNull(), h).otherwise(F.sha2(F.concat_ws(":", h, F.sha2(referred, 256)), 256))
+    return F.when(referred.isNull(), h).otherwise(F.concat_ws(":", h, F.sha2(referred, 256)))
 
 
 def content_hash_change(current: DataFrame, previous: DataFrame, key: str, hash_col: str = "hash", version_col: str = "version") -> DataFrame:
@@ -87,15 +86,27 @@ def content_hash_change(current: DataFrame, previous: DataFrame, key: str, hash_
     return j.select(key, hash_col, action.alias("action"), version.cast("int").alias(version_col))
 
 
+def flatten_levels(df: DataFrame, keep: list[str], levels: list[str]) -> DataFrame:
+    """Explode a chain of nested arrays: each level is an array of structs whose fields become columns,
+    the next level's array among them.  An empty or null array at any level yields no row."""
+    out = df.select(*keep, levels[0])
+    for i, level in enumerate(levels):
+        rest = [c for c in out.columns if c != level]
+        out = out.select(*rest, F.explode(level).alias("level_item")).select(*rest, "level_item.*")
+        if i + 1 < len(levels) and levels[i + 1] not in out.columns:
+            raise ValueError(f"items of {level} have no field {levels[i + 1]}")
+    return out
+
+
 def nested_dedupe_flatten(
-    resources: DataFrame, res_key: str, items_col: str, pair: tuple[str, str], order_cols: list[str], list_col: str, sep: str = ","
+    resources: DataFrame, res_key: str, levels: list[str], pair: tuple[str, str], order_cols: list[str], list_col: str, sep: str = ","
 ) -> DataFrame:
-    """resource -> nested items -> one row per ``pair`` value; the first by ``order_cols`` (resource key
-    and/or item fields) wins, ties broken by the joined list so the pick is total.  The pick is a
-    ``min`` over a struct (combinable), so a pair repeated across a third of the resources costs
-    one partial row per task.  Output: ``pair, order_cols, list_col`` (list joined with ``sep``)."""
+    """resource -> items, through any number of nested ``levels`` -> one row per ``pair`` value; the first
+    by ``order_cols`` (fields of any level) wins, ties broken by the joined list so the pick is total.  The
+    pick is a ``min`` over a struct (combinable), so a pair repeated across a third of the resources
+    costs one partial row per task.  Output: ``pair, order_cols, list_col`` (list joined with ``sep``)."""
     a, b = pair
-    flat = resources.select(res_key, F.explode(items_col).alias("it")).select(res_key, "it.*")
+    flat = flatten_levels(resources, [res_key], levels)
     joined = F.array_join(F.col(list_col), sep)
     first = flat.groupBy(a, b).agg(F.min(F.struct(*[F.col(c) for c in order_cols], joined.alias("__l"))).alias("w"))
     return first.select(a, b, *[F.col(f"w.{c}").alias(c) for c in order_cols], F.col("w.__l").alias(list_col))

@@ -31,7 +31,10 @@ _GATE_SQL = """WITH r AS (
          count(*) FILTER (WHERE event_type = 'error') AS failed,
          count(*) FILTER (WHERE event_type NOT IN ('purchase', 'error')) AS in_progress
   FROM events GROUP BY user_id, strftime(ts, '%Y-%m-%d')),
-s AS (SELECT *, CASE WHEN in_progress < 2 THEN 'completed' ELSE 'in_progress' END AS status FROM r)
+l AS (SELECT user_id, day, CASE WHEN value IS NULL OR value < 20 THEN 'in_progress' ELSE 'completed' END AS status FROM (
+  SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, value,
+         row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1),
+s AS (SELECT r.*, l.status FROM r JOIN l USING (user_id, day))
 SELECT user_id, day, completed, failed, in_progress, status,
   CASE WHEN status <> 'completed' THEN 'processing' WHEN failed > 0 THEN 'error_failed' WHEN completed = 0 THEN 'error_empty' ELSE 'ready' END AS verdict,
   'completed=' || completed || ', failed=' || failed || ', in_progress=' || in_progress AS detail
@@ -40,11 +43,14 @@ FROM s"""
 
 @query("ingest_gate", _GATE_SQL)
 def ingest_gate(spark, sf_dir):
-    """Runs are (user, day); ``error`` rows failed, ``purchase`` rows completed, others in progress."""
+    """Runs are (user, day); ``error`` rows failed, ``purchase`` rows completed, others in progress.  The
+    status recorded with an event is ``completed`` when its value is 20 or more."""
     ev = read_table(spark, sf_dir, "events")
     state = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "completed").otherwise("in_progress")
-    runs = ev.select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), state.alias("state"))
-    return S.ingest_gate(runs, ["user_id", "day"], "state")
+    status = F.when(F.col("value") >= 20, "completed").otherwise("in_progress")
+    runs = ev.select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), state.alias("state"), status.alias("run_status"), "ts", "event_id")
+    gate = S.ingest_gate(runs, ["user_id", "day"], "state", "run_status", ["ts", "event_id"])
+    return gate.select("user_id", "day", "completed", "failed", "in_progress", "status", "verdict", "detail")
 
 
 @query(
@@ -63,7 +69,7 @@ def latest_status(spark, sf_dir):
     "content_hash_change",
     """WITH cur AS (
   SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN sha256(d.text)
-         ELSE sha256(sha256(d.text) || ':' || sha256(CAST(l.quality AS VARCHAR) || ':' || CAST(l.toxic AS VARCHAR))) END AS hash
+         ELSE sha256(d.text) || ':' || sha256(CAST(l.quality AS VARCHAR) || ':' || CAST(l.toxic AS VARCHAR)) END AS hash
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
 prev AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN sha256(hash || 'old') ELSE upper(hash) END AS prev_hash, 1 AS prev_version
          FROM cur WHERE doc_id % 10 <> 0)
@@ -91,23 +97,34 @@ def content_hash_change(spark, sf_dir):
 @query(
     "nested_dedupe_flatten",
     """WITH f AS (SELECT l_suppkey AS nic_id, l_partkey AS ip, l_orderkey, l_linenumber,
-        'o' || l_orderkey || '-' || l_linenumber || '.example.net' || ',' || lower(l_returnflag) || lower(l_linestatus) || '.example.net' AS fqdns
-      FROM lineitem),
-w AS (SELECT *, row_number() OVER (PARTITION BY nic_id, ip ORDER BY l_orderkey, l_linenumber, fqdns) AS rn FROM f)
-SELECT nic_id, ip, l_orderkey, l_linenumber, fqdns FROM w WHERE rn = 1""",
+        'o' || l_orderkey || '-' || l_linenumber || '.example.net' || ',' || lower(l_returnflag) || lower(l_linestatus) || '.example.net' AS fqdns,
+        0 AS config FROM lineitem
+      UNION ALL
+      SELECT l_suppkey, l_partkey + 1000000, l_orderkey, l_linenumber, 'q' || CAST(l_quantity AS BIGINT) || '.example.net', 1 FROM lineitem WHERE l_quantity > 10),
+w AS (SELECT *, row_number() OVER (PARTITION BY nic_id, ip ORDER BY l_orderkey, l_linenumber, config, fqdns) AS rn FROM f)
+SELECT nic_id, ip, l_orderkey, l_linenumber, CAST(config AS INTEGER) AS config, fqdns FROM w WHERE rn = 1""",
 )
 def nested_dedupe_flatten(spark, sf_dir):
-    """Line items as resources (keyed by their order) holding one connection each, nested in the
-    row itself (no grouping, so no order is ever gathered into one task); ``(supplier, part)`` as
-    ``(NIC, IP)``; the first by (order key, line number) per pair wins; its FQDNs joined with ','."""
+    """Orders as resources with a chain of nested levels: connections (their line items), each with one NIC
+    (the supplier) of one or two IP configurations (the part; for quantities over 10 a second one).  An
+    order has at most seven lines, so the nesting is bounded.  The first by (order, line, configuration) per
+    (NIC, IP) wins; its FQDNs are joined with ','."""
     li = read_table(spark, sf_dir, "lineitem")
     fq = F.array(
         F.concat(F.lit("o"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"), F.lit(".example.net")),
         F.concat(F.lower("l_returnflag"), F.lower("l_linestatus"), F.lit(".example.net")),
     )
-    item = F.struct(F.col("l_suppkey").alias("nic_id"), F.col("l_partkey").alias("ip"), "l_linenumber", fq.alias("fqdns"))
-    resources = li.select("l_orderkey", F.array(item).alias("items"))
-    return S.nested_dedupe_flatten(resources, "l_orderkey", "items", ("nic_id", "ip"), ["l_orderkey", "l_linenumber"], "fqdns")
+    second = F.array(F.concat(F.lit("q"), F.col("l_quantity").cast("long").cast("string"), F.lit(".example.net")))
+    configs = F.array(
+        F.struct(F.col("l_partkey").alias("ip"), F.lit(0).alias("config"), fq.alias("fqdns")),
+        F.when(F.col("l_quantity") > 10, F.struct((F.col("l_partkey") + 1000000).alias("ip"), F.lit(1).alias("config"), second.alias("fqdns"))),
+    )
+    nics = F.array(F.struct(F.col("l_suppkey").alias("nic_id"), F.filter(configs, lambda c: c.isNotNull()).alias("configs")))
+    connection = F.struct("l_linenumber", nics.alias("nics"))
+    resources = li.groupBy("l_orderkey").agg(F.collect_list(connection).alias("connections"))
+    return S.nested_dedupe_flatten(
+        resources, "l_orderkey", ["connections", "nics", "configs"], ("nic_id", "ip"), ["l_orderkey", "l_linenumber", "config"], "fqdns"
+    )
 
 
 @query(

@@ -14,41 +14,41 @@ ROUTES = {"click": "delta", "view": "delta", "purchase": "completed", "error": "
 RESPONSE_ID_BASE = 1_000_000
 
 
-def _events_stream(spark, sf_dir):
-    schema = read_table(spark, sf_dir, "events").schema
-    return E.table_stream(spark, sf_dir, "events.parquet", schema)
-
-
 @query(
     "stream_event_router",
     """SELECT CASE event_type WHEN 'click' THEN 'delta' WHEN 'view' THEN 'delta' WHEN 'purchase' THEN 'completed'
                  WHEN 'error' THEN 'error' ELSE 'other' END AS branch, event_id, user_id, event_type FROM events""",
 )
 def stream_event_router(spark, sf_dir):
-    """The events table as a stream, split by type into branches; one write per micro-batch covers
-    all branches (branch = partition folder)."""
-    routed = E.route_events(_events_stream(spark, sf_dir), "event_type", ROUTES).select("branch", "event_id", "user_id", "event_type")
+    """The events table, rewritten as a folder of part files as large tables are, as a stream split by type
+    into branches; one write per micro-batch covers all branches (branch = partition folder)."""
+    path = scratch_path(spark, "events-folder")
+    events = read_table(spark, sf_dir, "events")
+    events.repartition(4).write.parquet(path)
+    routed = E.route_events(E.table_stream(spark, path, events.schema, files_per_batch=3), "event_type", ROUTES).select("branch", "event_id", "user_id", "event_type")
     out = E.run_to_completion(routed, "router", partition_by=["branch"])
     return out.select("branch", "event_id", "user_id", "event_type")
 
 
 @query(
     "stream_delta_concat",
-    """WITH g AS (SELECT user_id, CAST(ts AS DATE) AS d, count(*) AS n_deltas, string_agg(event_type, '' ORDER BY ts, event_id) AS text
-           FROM events GROUP BY user_id, CAST(ts AS DATE))
-SELECT user_id, CAST(d AS VARCHAR) AS day, n_deltas, text FROM g
-WHERE CAST(d AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+    f"""SELECT conv_id * {RESPONSE_ID_BASE} + turn AS response_id, CAST(ceil(length(text) / 40) AS BIGINT) AS n_deltas, text
+FROM conversations WHERE text IS NOT NULL AND length(text) > 0""",
 )
 def stream_delta_concat(spark, sf_dir):
-    """Deltas = event types per user, ordered by (ts, event_id), concatenated per 1-day window;
-    watermark 1 hour, append mode (the newest day is still open and not emitted)."""
-    agg = E.delta_concat(_events_stream(spark, sf_dir), "user_id", "ts", "event_id", "event_type", "1 day", "1 hour")
-
-    def finish(df):
-        day = F.date_from_unix_date(F.floor(F.unix_seconds("window_start") / 86400).cast("int")).cast("string")
-        return df.select("user_id", day.alias("day"), "n_deltas", "text")
-
-    return E.run_to_completion(agg, "delta-concat", output_mode="append", transform=finish)
+    """Every conversation turn is a response: its text in deltas of 40 characters, an item event among them,
+    and a completed event.  The events lie in hash order over several micro-batches, so deltas arrive out of
+    order and partly after the completed event."""
+    turns = read_table(spark, sf_dir, "conversations").where(F.length("text") > 0)
+    n = F.ceil(F.length("text") / 40).cast("int")
+    one = lambda kind, seq, delta: F.struct(F.lit(kind).alias("type"), seq.cast("long").alias("seq"), delta.cast("string").alias("delta"))
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: one(E.EVENT_TEXT_DELTA, i, F.col("text").substr(i * 40 + 1, F.lit(40))))
+    closing = F.array(one(E.EVENT_ITEM_DONE, F.lit(0), F.lit(None)), one(E.EVENT_COMPLETED, n, F.lit(None)))
+    ev = turns.select((F.col("conv_id") * RESPONSE_ID_BASE + F.col("turn")).alias("response_id"), F.explode(F.concat(parts, closing)).alias("e"))
+    path = scratch_path(spark, "delta-events")
+    ev.select("response_id", "e.*").repartition(6, F.xxhash64("response_id", "seq", "type")).write.parquet(path)
+    stream = E.table_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=2)
+    return E.run_to_completion(E.response_text(stream, "response_id", "seq"), "response-text")
 
 
 def _write_json_events(df, spark, name):
@@ -97,20 +97,24 @@ def stream_url_citations(spark, sf_dir):
 @query(
     "stream_pending_calls",
     f"""SELECT conv_id * {RESPONSE_ID_BASE} + turn AS response_id, 'call_' || conv_id || '_' || turn AS call_id,
-  CASE WHEN (conv_id + turn) % 4 = 3 THEN 'web_search' ELSE 'search_knowledge_base' END AS name,
-  CASE WHEN (conv_id + turn) % 4 = 3 THEN NULL ELSE text END AS query,
-  CASE WHEN (conv_id + turn) % 4 = 3 THEN '{{"error":"unknown tool web_search"}}' END AS error
+  CASE WHEN (conv_id + turn) % 6 = 3 THEN 'web_search' ELSE 'search_knowledge_base' END AS name,
+  CASE (conv_id + turn) % 6 WHEN 1 THEN '' WHEN 2 THEN '{{"q": "x"}}' WHEN 4 THEN '{{"query": nul' WHEN 5 THEN '{{"query": null}}'
+       ELSE CAST(to_json({{'query': text}}) AS VARCHAR) END AS arguments,
+  CASE WHEN (conv_id + turn) % 6 IN (0, 1, 2) THEN text END AS query,
+  CASE (conv_id + turn) % 6 WHEN 3 THEN '{{"error":"unknown tool web_search"}}' WHEN 4 THEN '{{"error":"arguments are not a JSON object"}}' END AS error
 FROM conversations WHERE role = 'user'""",
 )
 def stream_pending_calls(spark, sf_dir):
     """User turns become finished function-call items (other turns are message items).  By rule on
-    ``(conv_id + turn) % 4``: 0 query argument, 1 empty arguments, 2 arguments without a query
-    (both fall back to the user input), 3 an unknown tool."""
+    ``(conv_id + turn) % 6``: 0 query argument, 1 empty arguments, 2 arguments without a query (both fall
+    back to the user input), 3 an unknown tool, 4 arguments that are no JSON, 5 a null query."""
     conv = read_table(spark, sf_dir, "conversations")
-    sel = (F.col("conv_id") + F.col("turn")) % 4
+    sel = (F.col("conv_id") + F.col("turn")) % 6
     args = (
         F.when(sel == 1, F.lit(""))
         .when(sel == 2, F.lit('{"q": "x"}'))
+        .when(sel == 4, F.lit('{"query": nul'))
+        .when(sel == 5, F.lit('{"query": null}'))
         .otherwise(F.to_json(F.struct(F.col("text").alias("query"))))
     )
     is_user = F.col("role") == "user"
@@ -132,4 +136,4 @@ def stream_pending_calls(spark, sf_dir):
     )
     src = _write_json_events(ev, spark, "function-call-events")
     calls = E.pending_calls(E.json_event_stream(spark, src))
-    return E.run_to_completion(calls, "pending-calls").select("response_id", "call_id", "name", "query", "error")
+    return E.run_to_completion(calls, "pending-calls").select("response_id", "call_id", "name", "arguments", "query", "error")

@@ -7,9 +7,8 @@ failure replaces its output instead of duplicating it.
 
 * ``route_events``: split by event type; one write per micro-batch covers every branch
   (the branch is a partition column).
-* ``delta_concat``: ordered concatenation of deltas per key and event-time window, with a
-  watermark bounding the state; ``append`` mode emits a window once the watermark passes
-  its end (so the newest, still-open window is not emitted).
+* ``response_text``: the deltas of a response joined in order when the response is completed; the state
+  of a response is dropped then.
 * ``url_citations`` / ``pending_calls``: stateless parsing of finished output items.
 """
 
@@ -17,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,16 +79,23 @@ def run_to_completion(
     if q.exception() is not None:
         raise q.exception()
     schema = transform(stream).schema if transform else stream.schema
-    try:
-        done = spark.read.option("basePath", out).parquet(out)
-    except Exception:  # no micro-batch produced output
+    root = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):  # no micro-batch was written
         return spark.createDataFrame([], schema)
+    done = spark.read.schema(schema).option("basePath", out).option("recursiveFileLookup", not partition_by).parquet(out)
     return done.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
 
 
-def table_stream(spark: SparkSession, folder: str, file_name: str, schema) -> DataFrame:
-    """A file stream over one Parquet table file of a folder."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", file_name).parquet(folder)
+def table_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """A file stream over a Parquet table: a folder of part files, or a single file (whose folder is watched
+    for files of that name).  A path that does not exist raises."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
+        return reader.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
+    return reader.parquet(path)
 
 
 def json_event_stream(spark: SparkSession, folder: str, schema: str = EVENT_SCHEMA) -> DataFrame:
@@ -105,18 +112,41 @@ def route_events(events: DataFrame, type_col: str, routes: dict[str, str], defau
     return events.withColumn("branch", branch)
 
 
-def delta_concat(events: DataFrame, key: str, time_col: str, order_col: str, delta_col: str, window: str = "1 day", delay: str = "1 hour", sep: str = "") -> DataFrame:
-    """Per key and event-time window: the deltas concatenated in ``(time, order)`` order."""
-    t = ntz_to_event_time(F.col(time_col)) if dict(events.dtypes)[time_col] == "timestamp_ntz" else F.col(time_col)
-    ev = events.select(key, t.alias("event_time"), order_col, delta_col).withWatermark("event_time", delay)
-    agg = ev.groupBy(F.window("event_time", window).alias("w"), key).agg(
-        F.collect_list(F.struct("event_time", order_col, delta_col)).alias("parts"), F.count(F.lit(1)).alias("n_deltas")
+def response_text(events: DataFrame, key: str, seq_col: str, type_col: str = "type", delta_col: str = "delta") -> DataFrame:
+    """Per response: ``key, n_deltas, text``, once its ``response.completed`` event has come.
+
+    Text deltas are joined by their sequence number, in whatever order and micro-batch they arrive; events of
+    other types, and a delta that comes twice, change nothing.  The completed event's sequence number
+    tells how many come before it, so a late delta is waited for.  State is kept per response, as its deltas so
+    far, and dropped when the response is emitted; a response is one generation, which bounds it.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    key_type = events.schema[key].dataType.simpleString()
+    slim = events.where(F.col(type_col).isin(EVENT_TEXT_DELTA, EVENT_COMPLETED)).select(
+        F.col(key).alias("key"), F.col(seq_col).cast("long").alias("seq"), (F.col(type_col) == EVENT_COMPLETED).alias("completed"), F.col(delta_col).alias("delta")
     )
-    return agg.select(
-        key,
-        F.col("w.start").alias("window_start"),
-        "n_deltas",
-        F.array_join(F.transform(F.array_sort("parts"), lambda p: p[delta_col]), sep).alias("text"),
+
+    def gather(group, batches, state: GroupState):
+        parts, total = ({}, None)
+        if state.exists:
+            seqs, texts, total = state.get
+            parts = dict(zip(seqs, texts))
+        for b in batches:
+            for seq, completed, delta in zip(b["seq"], b["completed"], b["delta"]):
+                if completed:
+                    total = int(seq)
+                else:
+                    parts[int(seq)] = delta or ""
+        if total is not None and len(parts) >= total:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({key: [group[0]], "n_deltas": [len(parts)], "text": ["".join(parts[i] for i in sorted(parts))]})
+        else:
+            state.update((list(parts), list(parts.values()), total))
+
+    return slim.groupBy("key").applyInPandasWithState(
+        gather, f"{key} {key_type}, n_deltas long, text string", "seqs array<long>, texts array<string>, total long", "append", GroupStateTimeout.NoTimeout
     )
 
 
@@ -132,20 +162,24 @@ def url_citations(events: DataFrame) -> DataFrame:
 
 
 def pending_calls(events: DataFrame, tool_name: str = SEARCH_TOOL) -> DataFrame:
-    """Finished ``function_call`` items -> ``(call_id, name, arguments, query, error)``.
+    """Finished ``function_call`` items -> ``(response_id, call_id, name, arguments, query, error)``.
 
-    The query is the ``query`` argument, falling back to the user input when the arguments are
-    empty or lack it; a call to another tool gets an error JSON instead of a query.
+    The query is the ``query`` argument, null if that is null; the user input stands in when the arguments are
+    empty or hold no such key.  A call to another tool, or arguments that are not a JSON object, give an
+    error JSON instead of a query.
     """
     calls = events.where((F.col("type") == EVENT_ITEM_DONE) & (F.col("item.type") == ITEM_FUNCTION_CALL))
-    args = F.col("item.arguments")
-    q = F.coalesce(F.get_json_object(F.when(args != "", args), "$.query"), F.col("user_input"))
-    known = F.col("item.name") == tool_name
-    err = F.to_json(F.struct(F.concat(F.lit("unknown tool "), F.col("item.name")).alias("error")))
+    args = F.coalesce(F.col("item.arguments"), F.lit(""))
+    keys = F.json_object_keys(args)  # null for anything but a JSON object
+    known, blank = F.col("item.name").eqNullSafe(tool_name), F.trim(args) == ""
+    bad = ~blank & (keys.isNull() | F.try_parse_json(args).isNull())
+    q = F.when(blank | ~F.coalesce(F.array_contains(keys, "query"), F.lit(False)), F.col("user_input")).otherwise(F.get_json_object(args, "$.query"))
+    message = F.when(~known, F.concat(F.lit("unknown tool "), F.coalesce(F.col("item.name"), F.lit("null")))).when(bad, F.lit("arguments are not a JSON object"))
     return calls.select(
         "response_id",
         F.col("item.call_id").alias("call_id"),
         F.col("item.name").alias("name"),
-        F.when(known, q).alias("query"),
-        F.when(~known, err).alias("error"),
+        F.col("item.arguments").alias("arguments"),
+        F.when(message.isNull(), q).alias("query"),
+        F.when(message.isNotNull(), F.to_json(F.struct(message.alias("error")))).alias("error"),
     )

@@ -106,34 +106,47 @@ def hashed_embedding(text, dims: int) -> Column:
     return _bucket_counter(dims)(token_buckets(text, dims))
 
 
-def cosine(a, b) -> Column:
-    """Cosine similarity of two float arrays in double arithmetic (column expression)."""
-    a, b = _c(a), _c(b)
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
-    na = F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double")))
-    nb = F.sqrt(F.aggregate(b, F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double")))
-    return dot / (na * nb)
-
-
-# The HTML entities decoded after tags are removed.
-HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+# The named HTML entities that are decoded (``&amp;`` last, so that nothing is decoded twice).
+HTML_ENTITIES = [
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&mdash;", "\u2014"), ("&ndash;", "\u2013"),
+    ("&hellip;", "\u2026"), ("&lsquo;", "\u2018"), ("&rsquo;", "\u2019"), ("&ldquo;", "\u201c"), ("&rdquo;", "\u201d"),
+    ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&reg;", "\u00ae"), ("&trade;", "\u2122"), ("&euro;", "\u20ac"), ("&amp;", "&"),
+]
+_NUMERIC = r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+
+def _code_point(ref: Column) -> Column:
+    """Character of a numeric reference such as ``8217`` or ``x2019``, from its UTF-16 code units."""
+    n = F.when(F.lower(F.substring(ref, 1, 1)) == "x", F.conv(F.substring(ref, 2, 6), 16, 10)).otherwise(ref).cast("long")
+    unit = lambda v: F.unhex(F.lpad(F.hex(v), 4, "0"))
+    over = n - 65536
+    pair = F.concat(unit(F.lit(55296) + F.shiftright(over, 10)), unit(F.lit(56320) + over.bitwiseAND(1023)))
+    fine = (n > 0) & (n < 1114112) & ~n.between(55296, 57343)
+    units = F.when(fine & (n < 65536), unit(n)).when(fine, pair).otherwise(unit(F.lit(65533)))
+    return F.decode(units, "UTF-16BE")
 
 
 def decode_entities(col) -> Column:
+    """Numeric references and the named entities above, each decoded once."""
     out = _c(col)
-    for ent, ch in HTML_ENTITIES:
+    for ent, ch in HTML_ENTITIES[:-1]:
         out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    # The text between references, and the references, in turn.
+    between = F.split(out, _NUMERIC)
+    refs = F.regexp_extract_all(out, F.lit(_NUMERIC), 1)
+    pieces = F.transform(between, lambda s, i: F.concat(s, F.coalesce(F.when(i < F.size(refs), _code_point(F.get(refs, i))), F.lit(""))))
+    out = F.when(F.contains(out, F.lit("&#")), F.array_join(pieces, "")).otherwise(out)
+    return F.replace(out, F.lit("&amp;"), F.lit("&"))
 
 
 def html_title(html) -> Column:
-    return F.trim(decode_entities(F.regexp_extract(_c(html), r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    return F.trim(decode_entities(F.regexp_extract(F.regexp_replace(_c(html), r"(?s)<!--.*?-->", " "), r"(?is)<title[^>]*>(.*?)</title>", 1)))
 
 
 def html_text(html) -> Column:
-    """Visible text of an HTML page: drop script/style/head blocks and tags, decode entities,
+    """Visible text of an HTML page: drop comments, script/style/head blocks and tags, decode entities,
     collapse whitespace."""
-    h = _c(html)
+    h = F.regexp_replace(_c(html), r"(?s)<!--.*?-->", " ")
     h = F.regexp_replace(h, r"(?is)<script[^>]*>.*?</script>", " ")
     h = F.regexp_replace(h, r"(?is)<style[^>]*>.*?</style>", " ")
     h = F.regexp_replace(h, r"(?is)<head[^>]*>.*?</head>", " ")

@@ -44,7 +44,27 @@ def document_scan(spark, sf_dir):
     return fx.documents(spark, sf_dir).select("doc_id", "content", "file_name", "source_url", "lang")
 
 
-_HTML_ENT = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")]
+@query(
+    "document_container_scan",
+    "SELECT content, file_name, len(string_split(content, chr(10))) AS n_lines FROM (SELECT string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS content, "
+    "'group-' || CAST(doc_id // 3 AS VARCHAR) || '.txt' AS file_name FROM documents WHERE text IS NOT NULL GROUP BY doc_id // 3)",
+)
+def document_container_scan(spark, sf_dir):
+    """``documents`` written as a container of text files, three documents to a file at most, and scanned back:
+    one row per file with its whole content and name."""
+    from kestrel.session import read_table, scratch_path
+    from kestrel.sources.io import scan_text_files
+
+    path = scratch_path(spark, "container")
+    docs = read_table(spark, sf_dir, "documents").where("text is not null")
+    groups = docs.groupBy(F.expr("doc_id div 3").alias("g")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("d"))  # at most three each
+    groups.select(F.concat(F.lit("group-"), F.col("g").cast("string")).alias("name"), F.array_join("d.text", "\n").alias("value")).write.partitionBy("name").text(path)
+    rows = scan_text_files(spark, path)
+    name = F.concat(F.regexp_extract("source_url", "name=([^/]+)/", 1), F.lit(".txt"))
+    return rows.select("content", name.alias("file_name"), F.size(F.split("content", "\n")).cast("long").alias("n_lines"))
+
+
+_HTML_ENT = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&nbsp;", " "), ("&#39;", "''"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")]
 
 
 def _sql_entities(x: str) -> str:
@@ -54,6 +74,7 @@ def _sql_entities(x: str) -> str:
 
 
 def _sql_html_text(h: str) -> str:
+    h = f"regexp_replace({h}, '(?s)<!--.*?-->', ' ', 'g')"
     h = f"regexp_replace({h}, '(?is)<script[^>]*>.*?</script>', ' ', 'g')"
     h = f"regexp_replace({h}, '(?is)<style[^>]*>.*?</style>', ' ', 'g')"
     h = f"regexp_replace({h}, '(?is)<head[^>]*>.*?</head>', ' ', 'g')"

@@ -81,3 +81,16 @@ def test_html_text_and_title(spark):
     r = io.page_text_extract(spark.createDataFrame([(1, html)], "page_id long, html string")).first()
     assert r["title"] == "A & B"
     assert r["content"] == "Hi there x < y"
+
+
+def test_html_comments_and_entities(spark):
+    cases = {
+        "<!-- x > y --><p>a</p>": "a",
+        "a &mdash; b &#8217; c &#x2019; d &apos; e": "a \u2014 b \u2019 c \u2019 d ' e",
+        "&#128512;|&#x1F600;|&#0;|&#55296;": "\U0001f600|\U0001f600|\ufffd|\ufffd",
+        "&amp;lt; &amp;#39;": "&lt; &#39;",
+        "no &unknown; one, 5 &# 6": "no &unknown; one, 5 &# 6",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "h string")
+    got = {r["h"]: r["t"] for r in df.select("h", TX.html_text(F.col("h")).alias("t")).collect()}
+    assert got == cases

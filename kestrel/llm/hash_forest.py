@@ -57,24 +57,21 @@ class PrefixForest:
     def candidates(self, q: np.ndarray, wanted: int):
         """For each query the rows met by descending to the longest shared prefixes and ascending all trees
         in step until at least ``wanted`` different rows (or all) are met."""
-        n, trees = self.order.shape[1], len(self.order)
+        n = self.order.shape[1]
         met = np.zeros((len(q), n), bool)
-        count = np.zeros(len(q), np.int64)
         todo = np.arange(len(q))
-        old_lo = old_hi = None
         for level in range(BITS, -1, -1):
             lo, hi = self.ranges(q[todo], level)
-            if old_lo is None:
-                old_lo = old_hi = lo
-            grown = (hi - lo) > (old_hi - old_lo)
-            for row in np.flatnonzero(grown.any(axis=1)):
-                mine = met[todo[row]]
-                for t in np.flatnonzero(grown[row]):  # only what the shorter prefix adds, on either side
-                    mine[self.order[t, lo[row, t] : old_lo[row, t]]] = True
-                    mine[self.order[t, old_hi[row, t] : hi[row, t]]] = True
-                count[todo[row]] = np.count_nonzero(mine)
-            open_ = count[todo] < min(wanted, n)
-            todo, old_lo, old_hi = todo[open_], lo[open_], hi[open_]
+            # The trees' runs together bound the number of different rows: below it nothing can end.
+            at = np.flatnonzero((hi - lo).sum(axis=1) >= min(wanted, n))
+            if not len(at):
+                continue
+            for t, order in enumerate(self.order):
+                size = hi[at, t] - lo[at, t]
+                first = np.repeat(lo[at, t] - (np.cumsum(size) - size), size)
+                met[np.repeat(todo[at], size), order[first + np.arange(len(first))]] = True
+            ended = at[np.count_nonzero(met[todo[at]], axis=1) >= min(wanted, n)]
+            todo = np.delete(todo, ended)
             if not len(todo):
                 break
         return met
@@ -86,13 +83,15 @@ def search_cell(x: np.ndarray, ids: np.ndarray, strings: np.ndarray, q: np.ndarr
     out_q, out_v, out_s = [], [], []
     for a in range(0, len(q), 512):
         met = forest.candidates(q_strings[a : a + 512], max(4 * k, int(np.ceil(share * len(x)))))
+        # Where the batch's queries have met most rows, one matrix product costs less than gathering them.
+        product = q[a : a + 512] @ x.T if met.mean() > 0.25 else None
         for row, mask in enumerate(met):
             query, own = q[a + row], q_ids[a + row]
             at = np.flatnonzero(mask)
             at = at[ids[at] != own]
             if not len(at):
                 continue
-            s = np.einsum("ij,j->i", x[at], query)
+            s = x[at] @ query if product is None else product[row, at]
             if len(at) > k:
                 least = np.partition(s, len(s) - k)[len(s) - k]
                 near = s >= least - 1e-9 * max(1.0, abs(least))

@@ -8,6 +8,8 @@ texts that are entirely a licence match.  DataFrame functions only.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,8 @@ EQUIVALENT = (
     ("cc by-nc", "creative commons attribution noncommercial"), ("cc by-sa", "creative commons attribution sharealike"),
     ("gnu gpl", "gnu general public license"), (" v2", " version 2"), (" v3", " version 3"), ("’", "'"),
 )
-_COPYRIGHT = r"(?m)^[ \t]*(copyright|\(c\)|\x{A9}).*$"
+_COPYRIGHT = r"^[ \t]*(copyright|\(c\)|\x{A9})"
+_COPYRIGHT_LINE = f"(?m){_COPYRIGHT}.*$"
 _OTHER = r"[^\p{L}\p{N}]+"
 
 # Texts and usual short notices of public licences.
@@ -70,38 +73,59 @@ KNOWN: tuple[tuple[str, str], ...] = (
 
 
 def canonical(c: Column) -> Column:
-    """Canonical form of a unit of text."""
-    c = F.lower(F.regexp_replace(F.lower(c), _COPYRIGHT, ""))
+    """Canonical form of a unit of text (lines end with a line feed)."""
+    c = F.regexp_replace(F.lower(c), "(?d)" + _COPYRIGHT_LINE, "")
     for a, b in EQUIVALENT:
         c = F.replace(c, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(c, _OTHER, " "))
 
 
+def first_words(known=KNOWN) -> str:
+    """Pattern of the first words with which a unit can be a known licence.
+
+    Unifying spellings can change a unit's first word only if that holds a word of an equivalent spelling; any
+    other must itself be the first word of a known text.  So a unit that fails the pattern cannot match.
+    """
+    first = sorted({re.split(r"[^a-z0-9]+", body.lower().strip())[0] for _, body in known})
+    parts = sorted({w for a, _ in EQUIVALENT for w in re.split(r"[^a-z0-9]+", a) if w})
+    return f"^({'|'.join(first)})$|{'|'.join(parts)}"
+
+
 def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
     """(digest, license) of the fixed list: one row per text, a bound that does not grow with the data."""
-    rows = spark.createDataFrame(list(known), "license string, body string")
+    texts = F.array(*[F.struct(F.lit(n).alias("license"), F.lit(b).alias("body")) for n, b in known])
+    rows = spark.range(1).select(F.explode(texts).alias("k")).select("k.*")
     return rows.select(F.md5(canonical(F.col("body")).cast("binary")).alias("digest"), "license").distinct()
 
 
 def scan_licenses(docs: DataFrame, known=KNOWN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, license, whole_text (the whole text is the licence), n_lines (lines that are entirely it).
 
-    One row per document id and licence found.  Null and empty texts, and units with no letter or digit, match
+    The first word of a unit, copyright lines left out, tells most units apart from every licence; only the
+    others are brought to canonical form.  One row per document id and licence found.  Null and empty texts, and units with no letter or digit, match
     nothing; rows of one id (or of a null id) are counted together; other columns are ignored; an empty
     table gives an empty result.  Whole texts and all lines are scanned in one narrow pass; only matches
     are shuffled.
     """
-    units = F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))),
-                     F.transform(F.split("text", "\r?\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))))
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.length("text") > 0)
-    each = slim.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.whole", canonical(F.col("u.unit")).alias("body")).filter("body != ''")
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.octet_length("text") > 0)
+    lines = slim.withColumn("lines", F.split("text", "\n"))
+    begins = first_words(known)
+
+    def may_match(line: Column) -> Column:
+        return F.lower(F.regexp_extract(line, r"^[^\p{L}\p{N}]*+([\p{L}\p{N}]+)", 1)).rlike(begins)
+
+    lead = F.get(F.filter("lines", lambda x: x.rlike(r"[\p{L}\p{N}]") & ~F.substring(F.ltrim(x), 1, 16).rlike("(?i)" + _COPYRIGHT)), F.lit(0))
+    whole = F.when(may_match(lead), F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))))
+    single = F.transform(F.filter("lines", may_match), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit")))
+    units = F.concat(F.coalesce(whole, F.array().cast("array<struct<whole:boolean,unit:string>>")), single)
+    each = lines.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.whole", canonical(F.col("u.unit")).alias("body")).filter("body != ''")
     found = each.select("doc_id", "whole", F.md5(F.col("body").cast("binary")).alias("digest")).join(F.broadcast(known_digests(docs.sparkSession, known)), "digest")
     out = found.groupBy("doc_id", "license").agg(F.max("whole").alias("whole_text"), F.count(F.when(~F.col("whole"), 1)).alias("n_lines"))
     return out.select("doc_id", "license", "whole_text", "n_lines")
 
 
 def _sql_canonical(c: str) -> str:
-    c = f"regexp_replace(lower({c}), '{_COPYRIGHT}', '', 'g')"
+    c = f"regexp_replace(lower({c}), '{_COPYRIGHT_LINE}', '', 'g')"
     for a, b in EQUIVALENT:
         a, b = a.replace("'", "''"), b.replace("'", "''")
         c = f"replace({c}, '{a}', '{b}')"
@@ -115,7 +139,7 @@ WITH known AS (SELECT DISTINCT license, md5({_sql_canonical('body')}) AS digest
 units AS (
   SELECT doc_id, true AS whole, text AS unit FROM documents WHERE length(text) > 0
   UNION ALL
-  SELECT doc_id, false, unnest(regexp_split_to_array(text, '\\r?\\n')) FROM documents WHERE length(text) > 0
+  SELECT doc_id, false, unnest(string_split(text, chr(10))) FROM documents WHERE length(text) > 0
 ), each_unit AS (SELECT doc_id, whole, {_sql_canonical('unit')} AS body FROM units)
 SELECT doc_id, license, bool_or(whole) AS whole_text, count(*) FILTER (WHERE NOT whole) AS n_lines
 FROM (SELECT doc_id, whole, md5(body) AS digest FROM each_unit WHERE body != '') JOIN known USING (digest)

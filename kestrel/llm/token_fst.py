@@ -19,9 +19,32 @@ trie nodes and the last token before each of them, which is what a state holds.
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 
 import numpy as np
 
+# ---------------------------------------------------------------- long texts
+
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
+def safe_slices(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """A text in slices of about ``size`` characters whose tokens, one after the other, are the text's.
+
+    A slice ends before a single blank between two other characters: a word always starts there, whatever stands
+    before, so the words of the slices are those of the text.  A text without such a place stays whole.
+    """
+    at = 0
+    while len(text) - at > 2 * size:
+        cut = _CUT.search(text, at + size)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 # ---------------------------------------------------------------- vocabulary
 
 
@@ -406,13 +429,13 @@ class TokenCounter:
         for i, text in enumerate(texts):
             parts, extra = self._pieces(text or "")
             out[i] += extra
-            for p in parts:
+            for p in (x for part in parts for x in safe_slices(part)):
                 pieces.append(p)
                 owner.append(i)
                 size += len(p)
-            if size >= self.batch_bytes:
-                self._count(pieces, owner, out)
-                pieces, owner, size = [], [], 0
+                if size >= self.batch_bytes:
+                    self._count(pieces, owner, out)
+                    pieces, owner, size = [], [], 0
         self._count(pieces, owner, out)
         return out
 

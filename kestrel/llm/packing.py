@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.llm.common import materialize
+from kestrel.llm.token_fst import safe_slices
 
 # ---------------------------------------------------------------- encoding
 
@@ -52,7 +53,12 @@ class Encoder:
             self.fast = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if self.fast is not None and not _OTHER.search(text) and not any(s in text for s in self.special):
+        if any(s in text for s in self.special):
+            return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.concatenate([self._encode(part) for part in safe_slices(text)])
+
+    def _encode(self, text: str) -> np.ndarray:
+        if self.fast is not None and not _OTHER.search(text):
             return np.array(self.fast.encode_ordinary(text), np.uint32)
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -200,8 +206,9 @@ def best_fit_decreasing(hist: dict[int, int], capacity: int) -> list[Pattern]:
 # ---------------------------------------------------------------- placing
 
 
-def place(items: DataFrame, plan, capacity: int, bucket_rows: int = 20_000) -> DataFrame:
-    """``items`` (a stored table with doc_id, piece, start and length) with sequence_id and offset.
+def place(items: DataFrame, plan, capacity: int, bucket_rows: int = 2_000) -> tuple[DataFrame, int]:
+    """``items`` (a stored table with doc_id, piece, start and length) with sequence_id and offset; and the
+    number of sequences, whose ids run from 0.
 
     Ranks within a length: rows are dealt to hash buckets whose number grows with the table, counted
     per (length, bucket), and numbered within each; so a length that holds a third of all pieces
@@ -234,7 +241,7 @@ def place(items: DataFrame, plan, capacity: int, bucket_rows: int = 20_000) -> D
         *items.columns,
         (F.col("first_sequence") + F.floor(nth / F.col("copies"))).cast("long").alias("sequence_id"),
         (F.col("first_offset") + (nth % F.col("copies")) * F.col("length")).cast("long").alias("offset"),
-    )
+    ), sequence
 
 
 # ---------------------------------------------------------------- operators
@@ -252,7 +259,7 @@ def pack_tightly(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
     cut = pieces(docs.withColumn(doc_id, F.col(doc_id).cast("long")), capacity, encoded(text, path, ranks_path, pattern, end_id, 4), 4, doc_id)
     cut = cut.withColumn("ids_crc32", F.crc32("ids"))
     stored = materialize(cut if with_ids else cut.drop("ids"), "pack-pieces")
-    return place(stored, minimum_bin_slack, capacity)
+    return place(stored, minimum_bin_slack, capacity)[0]
 
 
 def packed_matrix(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, pad_id: int = 0, width: int = 2,
@@ -263,6 +270,8 @@ def packed_matrix(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
     bytes, little-endian, padded with ``pad_id``), cu_seqlens (0, then the end of every segment),
     position_ids (binary, unsigned 16-bit: counts from 0 again at each segment; padding 0), and
     doc_ids, pieces (array, by segment).  Joining a document's pieces in order gives its ids back.
+    Pieces that fill a sequence are rows as they stand: best fit would give each a bin of its own, so
+    their ids are not shuffled.  Sequence ids are unique, those of full pieces not consecutive.
     A null text is empty: the end id alone.  Null ids and repeated rows are packed one to one; other
     columns are ignored; an empty table gives an empty result.
     """
@@ -271,9 +280,13 @@ def packed_matrix(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
     ramp = np.arange(capacity, dtype="<u2").tobytes()
     pad = np.full(capacity, pad_id, {2: "<u2", 4: "<u4"}[width]).tobytes()
     cut = pieces(docs.withColumn(doc_id, F.col(doc_id).cast("long")), capacity, encoded(text, path, ranks_path, pattern, end_id, width), width, doc_id)
-    placed = place(materialize(cut, "matrix-pieces"), best_fit_decreasing, capacity)
+    # The row number is written with the pieces, so it stays the same however often they are read.
+    stored = materialize(cut.withColumn("row_number", F.monotonically_increasing_id()), "matrix-pieces")
+    placed, bins = place(stored.filter(F.col("length") < capacity).drop("row_number"), best_fit_decreasing, capacity)
     segment = F.struct("offset", "length", "doc_id", "piece", "ids")
     rows = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(segment)).alias("s"))  # at most ``capacity`` segments
+    full = stored.filter(F.col("length") == capacity).withColumn("offset", F.lit(0).cast("long"))
+    rows = rows.unionByName(full.select((F.col("row_number") + bins).alias("sequence_id"), F.array(segment).alias("s")))
     rows = rows.withColumn("n_tokens", F.expr("cast(aggregate(s, 0L, (n, x) -> n + x.length) as int)"))
     position = F.aggregate("s", F.lit(b""), lambda acc, x: F.concat(acc, F.substring(F.lit(ramp), F.lit(1), (x["length"] * 2).cast("int"))))
     joined = F.aggregate("s", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"]))

@@ -71,8 +71,8 @@ def hash_bucket(token: Column, dims: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint"), F.lit(dims))
 
 
-def token_buckets(text, dims: int) -> Column:
-    return F.transform(tokens(text), lambda t: hash_bucket(t, dims))
+def token_buckets(toks: Column, dims: int) -> Column:
+    return F.transform(toks, lambda t: hash_bucket(t, dims))
 
 
 def _bucket_counter(dims: int):
@@ -103,7 +103,12 @@ def hashed_embedding(text, dims: int) -> Column:
     Tokens and bucket ids are computed JVM-side; counting and normalising happen in one
     Arrow batch at a time.  A text without tokens maps to the zero vector.
     """
-    return _bucket_counter(dims)(token_buckets(text, dims))
+    return hashed_tokens(tokens(text), dims)
+
+
+def hashed_tokens(toks: Column, dims: int) -> Column:
+    """``hashed_embedding`` of a text whose tokens are at hand."""
+    return _bucket_counter(dims)(token_buckets(toks, dims))
 
 
 # The named HTML entities that are decoded (``&amp;`` last, so that nothing is decoded twice).

@@ -18,6 +18,7 @@ from kestrel.functions.text import (
     chunk_key,
     hash_bucket,
     hashed_embedding,
+    hashed_tokens,
     page_windows,
     tokens,
 )
@@ -58,9 +59,10 @@ def index_projection(docs: DataFrame, size: int = PAGE_LENGTH, overlap: int = PA
     )
 
 
-def embed_text(df: DataFrame, text_col: str = "chunk", out_col: str = "text_vector", dims: int = 1024) -> DataFrame:
-    """Append a unit-length hashed term-count vector of ``dims`` float32 values."""
-    return df.withColumn(out_col, hashed_embedding(F.col(text_col), dims))
+def embed_text(df: DataFrame, text_col: str = "chunk", out_col: str = "text_vector", dims: int = 1024, toks_col: str | None = None) -> DataFrame:
+    """Append a unit-length hashed term-count vector of ``dims`` float32 values (from the tokens in
+    ``toks_col`` where they are at hand)."""
+    return df.withColumn(out_col, hashed_tokens(F.col(toks_col), dims) if toks_col else hashed_embedding(F.col(text_col), dims))
 
 
 def derive_gazetteer(docs: DataFrame, min_share: float = 0.02, min_len: int = 5, text_col: str = "text") -> DataFrame:
@@ -81,12 +83,14 @@ def ngrams(toks: Column, n: int) -> Column:
     """All runs of ``n`` tokens, space-joined (empty when there are fewer tokens)."""
     if n == 1:
         return toks
-    starts = F.sequence(F.lit(1), F.greatest(F.size(toks) - (n - 1), F.lit(1)))
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(toks, i, n), " "))
+    starts = F.sequence(F.lit(0), F.greatest(F.size(toks) - n, F.lit(0)))
+    runs = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(toks, i + k) for k in range(n)]))
     return F.when(F.size(toks) >= n, runs).otherwise(F.array().cast("array<string>"))
 
 
-def extract_locations(chunks: DataFrame, gazetteer: DataFrame, text_col: str = "chunk", key_col: str = "chunk_id", out_col: str = "locations") -> DataFrame:
+def extract_locations(
+    chunks: DataFrame, gazetteer: DataFrame, text_col: str = "chunk", key_col: str = "chunk_id", out_col: str = "locations", toks_col: str | None = None
+) -> DataFrame:
     """Tag each chunk with the sorted distinct canonical names of the gazetteer terms it contains.
 
     Terms are read like texts (lower case, split at anything but letters and digits), so a term of any number
@@ -102,7 +106,7 @@ def extract_locations(chunks: DataFrame, gazetteer: DataFrame, text_col: str = "
     lengths = sorted(r["n"] for r in gaz.select("n").distinct().collect())  # different lengths of terms: a handful
     if not lengths:
         return chunks.withColumn(out_col, F.array().cast("array<string>"))
-    toks = chunks.select(key_col, tokens(F.col(text_col)).alias("toks"))
+    toks = chunks.select(key_col, (F.col(toks_col) if toks_col else tokens(F.col(text_col))).alias("toks"))
     grams = F.array_distinct(F.concat(*[ngrams(F.col("toks"), n) for n in lengths]))
     found = toks.select(key_col, F.explode(grams).alias("term")).join(gaz.select("term", "canonical"), "term")
     tags = found.groupBy(key_col).agg(F.array_sort(F.collect_set("canonical")).alias("tag_names"))

@@ -310,6 +310,22 @@ def multi_intent_retrieve(
     return _rank_reranked(per_req, "request_id", key_col, top)
 
 
+def retrieve_per_source(
+    index: DataFrame, requests: DataFrame, source_col: str, sources: list[str], top: int = 3, key_col: str = "chunk_id",
+    reference_cols: tuple[str, ...] = ("title", "source_url"),
+) -> DataFrame:
+    """Requests ``(query_id, query_text, sources array)`` that name the knowledge sources to search: the best
+    ``top`` chunks of each, with reference data.  ``sources`` lists the sources that exist; every one is an index
+    of its own (its own term statistics), so a result does not depend on the others.  A request that
+    names no existing source, or none at all, has no rows."""
+    found = None
+    for name in sources:
+        asked = requests.where(F.array_contains("sources", name)).select("query_id", "query_text")
+        hits = keyword_search(index.where(F.col(source_col) == name), asked, top, key_col).withColumn(source_col, F.lit(name))
+        found = hits if found is None else found.unionByName(hits)
+    return found.join(index.select(key_col, *reference_cols), key_col).select("query_id", source_col, "rank", key_col, *reference_cols, "score")
+
+
 def facet_counts(hits: DataFrame, facet: str) -> DataFrame:
     """Number of hits per value of ``facet``."""
     return hits.groupBy(facet).agg(F.count(F.lit(1)).alias("count"))

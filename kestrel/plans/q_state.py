@@ -106,8 +106,8 @@ SELECT nic_id, ip, l_orderkey, l_linenumber, CAST(config AS INTEGER) AS config,
 )
 def nested_dedupe_flatten(spark, sf_dir):
     """Orders as resources with a chain of nested levels: connections (their line items), each with one NIC
-    (the supplier) of one or two IP configurations (the part; for quantities over 10 a second one).  An
-    order has at most seven lines, so the nesting is bounded.  The first by (order, line, configuration) per
+    (the supplier) of one or two IP configurations (the part; for quantities over 10 a second one).  The
+    lines of an order are few (17 at most in these tables).  The first by (order, line, configuration) per
     (NIC, IP) wins; its FQDNs are joined with ','."""
     li = read_table(spark, sf_dir, "lineitem")
     fq = F.array(

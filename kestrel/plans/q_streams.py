@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kestrel.functions.text import html_title
+from kestrel.operators.ground import citation_ref
+from kestrel.plans import oracle_sql as O
 from kestrel.plans.registry import query
 from kestrel.session import read_table, scratch_path
 from kestrel.streaming import events as E
@@ -94,6 +96,30 @@ def stream_url_citations(spark, sf_dir):
     return E.run_to_completion(cites, "url-citations")
 
 
+@query(
+    "stream_cited_pages",
+    f"""SELECT page_id AS response_id, CAST(i AS INTEGER) AS pos, u AS url,
+       CASE i WHEN 1 THEN url WHEN 2 THEN url END AS source_url, CASE i WHEN 1 THEN CAST(page_id AS VARCHAR) END AS page
+FROM (SELECT page_id, url, unnest([1, 2, 3]) AS i,
+             unnest(['mcp://searchindex/' || substring(sha256(url), 1, 12) || '_' || {O.b64url('url')} || '_pages_' || CAST(page_id AS VARCHAR), url, 'see ' || url]) AS u
+      FROM pages)""",
+)
+def stream_cited_pages(spark, sf_dir):
+    """A finished message per page that cites it three times: by citation reference (decoded to address and page),
+    by address, and by a text that is neither."""
+    url = F.col("url")
+    cite = lambda u: F.struct(F.lit(E.ANNOTATION_URL).alias("type"), u.alias("url"))
+    notes = F.array(F.struct(F.lit("file_citation").alias("type"), F.lit(None).cast("string").alias("url")),
+                    cite(citation_ref(url, F.col("page_id"))), cite(url), cite(F.concat(F.lit("see "), url)))
+    part = F.struct(F.lit(E.PART_OUTPUT_TEXT).alias("type"), F.lit("").alias("text"), notes.alias("annotations"))
+    done = read_table(spark, sf_dir, "pages").select(
+        F.lit(E.EVENT_ITEM_DONE).alias("type"), F.col("page_id").alias("response_id"),
+        F.struct(F.lit(E.ITEM_MESSAGE).alias("type"), F.array(part).alias("content")).alias("item"),
+    )
+    src = _write_json_events(done, spark, "cited-page-events")
+    return E.run_to_completion(E.cited_pages(E.json_event_stream(spark, src)), "cited-pages")
+
+
 @query(
     "stream_pending_calls",
     f"""SELECT conv_id * {RESPONSE_ID_BASE} + turn AS response_id, 'call_' || conv_id || '_' || turn AS call_id,

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kestrel.operators.ground import decode_citation_ref
 from kestrel.session import scratch_path
 
 # Event and item type names of the response stream.
@@ -161,6 +162,15 @@ def url_citations(events: DataFrame) -> DataFrame:
     )
 
 
+def cited_pages(events: DataFrame) -> DataFrame:
+    """URL citations of finished messages with what a citation reference stands for: ``source_url`` and ``page``
+    of a reference, the URL itself (and no page) of an ordinary address, null for anything else."""
+    cites = url_citations(events)
+    source, page = decode_citation_ref(F.col("url"))
+    plain = F.when(F.col("url").rlike("^https?://"), F.col("url"))
+    return cites.select("response_id", "pos", "url", F.coalesce(source, plain).alias("source_url"), page.alias("page"))
+
+
 def pending_calls(events: DataFrame, tool_name: str = SEARCH_TOOL) -> DataFrame:
     """Finished ``function_call`` items -> ``(response_id, call_id, name, arguments, query, error)``.
 

@@ -5,7 +5,6 @@ import os
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from kestrel.operators import enrich
 from kestrel.sources import io

@@ -13,9 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import free_name
+from kestrel.llm.common import free_name, materialize
 
 BISECTIONS = 50
+#: Up to so many sources (some 100 bytes each) their table is broadcast; beyond, the planner chooses the join.
+BROADCAST_SOURCES = 100_000
 
 
 @dataclass(frozen=True)
@@ -69,13 +71,25 @@ def quotas(sizes: DataFrame, m: Mixture) -> DataFrame:
     ))
     row = row.withColumn("mass", F.expr("aggregate(transform(sizes, t -> pow(t / biggest, exponent)), 0D, (s, p) -> s + p)"))
     budget = F.expr("array_max(transform(sizes, t -> t / (pow(t / biggest, exponent) / mass)))") if m.budget_tokens is None else F.lit(float(m.budget_tokens))
-    row = row.select("biggest", "exponent", "mass", budget.alias("budget"))
-    out = sizes.join(F.broadcast(row))  # one row
+    found = row.select(F.struct("biggest", "exponent", "mass", budget.alias("budget"))).scalar()  # one row
+    out = sizes.withColumn("found", found).select("source_key", "tokens", "found.*")
     out = out.withColumn("weight", F.expr("pow(tokens / biggest, exponent) / mass")).withColumn("quota", F.round(F.col("budget") * F.col("weight")).cast("long"))
     return out.select("source_key", "tokens", "exponent", "weight", "quota", F.expr("quota div tokens").alias("full"), F.expr("quota % tokens").alias("rest"))
 
 
-def permuted(docs: DataFrame, m: Mixture, doc_id: str, text: str, source: str) -> DataFrame:
+def source_plan(docs: DataFrame, m: Mixture, text: str, source: str) -> DataFrame:
+    """``quotas`` of the sources of ``docs``, stored once."""
+    sizes = docs.select(_key(source).alias("source_key"), n_tokens(text).alias("n_tokens")).groupBy("source_key").agg(F.sum("n_tokens").alias("tokens"))
+    return materialize(quotas(sizes, m), "mixing-plan")
+
+
+def _small(per_source: DataFrame) -> DataFrame:
+    """Broadcast a table of one row per source when a count shows that it is small, so that documents stay where
+    they are and a large source is not gathered in one task."""
+    return F.broadcast(per_source) if per_source.count() <= BROADCAST_SOURCES else per_source
+
+
+def permuted(docs: DataFrame, plan: DataFrame, m: Mixture, doc_id: str, text: str, source: str) -> DataFrame:
     """Every copy that the budgets take: source_key, doc_id, n_tokens, epoch, shuffle_key, position, quota, exponent.
 
     A source's documents are dealt to blocks by the first digits of a hash of pass and id, so a source that
@@ -83,8 +97,7 @@ def permuted(docs: DataFrame, m: Mixture, doc_id: str, text: str, source: str) -
     running sums are taken inside blocks only.
     """
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _key(source).alias("source_key"), n_tokens(text).alias("n_tokens"))
-    plan = quotas(slim.groupBy("source_key").agg(F.sum("n_tokens").alias("tokens")), m)
-    copies = slim.join(plan, "source_key").withColumn("epoch", F.explode(F.expr("sequence(0, cast(full as int))")))
+    copies = slim.join(_small(plan), "source_key").withColumn("epoch", F.explode(F.expr("sequence(0, cast(full as int))")))
     copies = copies.filter("epoch < full or rest > 0")
     copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
     copies = copies.withColumn("block", F.substring("shuffle_key", 1, m.block_digits))
@@ -106,7 +119,7 @@ def mix_sources(docs: DataFrame, mixture: Mixture = Mixture(), doc_id: str = "do
     mark); rows with one id (or a null id) share a place in the permutation and are taken together;
     repeated rows count each; other columns are ignored; an empty table gives an empty result.
     """
-    out = permuted(docs, mixture, doc_id, text, source)
+    out = permuted(docs, source_plan(docs, mixture, text, source), mixture, doc_id, text, source)
     return out.select(
         "doc_id", F.expr("if(source_key = 'n', null, substring(source_key, 2))").alias("source"), "epoch", "n_tokens", "position",
         (F.col("position") / F.col("quota")).alias("mix_key"),
@@ -120,11 +133,10 @@ def mixed_rows(docs: DataFrame, mixture: Mixture = Mixture(), doc_id: str = "doc
     row per source tells how often a row is taken.
     """
     key, end, full, last = (free_name(docs, n) for n in ("mix_source", "mix_end", "mix_full", "mix_last"))
-    slim = docs.select(_key(source).alias("source_key"), n_tokens(text).alias("n_tokens"))
-    plan = quotas(slim.groupBy("source_key").agg(F.sum("n_tokens").alias("tokens")), mixture)
-    part = permuted(docs, mixture, doc_id, text, source).filter("epoch = full").groupBy("source_key").agg(F.max("shuffle_key").alias("last_key"))
+    plan = source_plan(docs, mixture, text, source)
+    part = permuted(docs, plan, mixture, doc_id, text, source).filter("epoch = full").groupBy("source_key").agg(F.max("shuffle_key").alias("last_key"))
     ends = plan.join(part, "source_key", "left").select(F.col("source_key").alias(key), F.col("full").alias(full), F.col("last_key").alias(last))
-    wide = docs.withColumn(key, _key(source)).join(ends, key)
+    wide = docs.withColumn(key, _key(source)).join(_small(materialize(ends, "mixing-ends")), key)
     own = F.md5(F.concat_ws(":", F.col(full).cast("string"), F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit(""))).cast("binary"))
     times = F.col(full) + F.when(own <= F.col(last), 1).otherwise(0)
     wide = wide.withColumn(end, F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1)).cast("int")))).filter(F.col(end) <= times)

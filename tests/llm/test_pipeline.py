@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kestrel.llm import language_id, line_quality, simhash, source_mixing
+from kestrel.llm import language_id, line_quality, source_mixing
 from kestrel.llm.common import materialize
 from tests.conftest import SF_CHECK
 from tests.llm.test_packing import check_pieces

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kestrel.session import materialize, scratch_path, table_path  # noqa: F401  (re-exported general helpers)
+from kestrel.session import materialize, table_path
 
 #: Rows of an Arrow batch handed to Python.  Whole texts travel in these batches, so Spark's default of
 #: 10,000 rows would be gigabytes for long documents.
-ARROW_ROWS = 1000
+ARROW_ROWS = 256
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -38,6 +38,20 @@ def crc32_mod(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(modulus)
 
 
+def hash_sample(rows: DataFrame, group: str, doc_id: str, per_group: int) -> DataFrame:
+    """At most ``per_group`` rows (doc_id, group) of each group, those with the smallest id hashes.
+
+    Counts per group, a combinable aggregate, give each group a hash threshold that lets about 1.5 times
+    the bound through, so the window that cuts at the bound never holds a whole large group.  The counts, one
+    row per group, are broadcast: the caller takes ``per_group`` rows of each group to one place anyway.
+    """
+    u = F.pmod(F.xxhash64(doc_id), F.lit(1 << 40)) / float(1 << 40)
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("group_size"))
+    near = rows.join(F.broadcast(sizes), group).filter(u * F.col("group_size") <= 1.5 * per_group + 50)
+    order = Window.partitionBy(group).orderBy(u, doc_id)
+    return near.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_group).select(doc_id, group)
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label) for every node of ``edges`` (columns a, b, long): label is the smallest node reachable.
 

@@ -13,10 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import crc32_mod
+from kestrel.llm.common import crc32_mod, hash_sample
 
 BUCKETS = 1 << 14  # hashed n-grams
 ORDERS = (1, 2, 3)
@@ -51,14 +51,14 @@ class LanguageModel:
     temperature: float
 
     def features(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.idf
+        x = counts * self.idf
         return (x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)).astype(np.float64)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, score = ["und"] * len(texts), np.zeros(len(texts))
         known = [i for i, t in enumerate(texts) if t and self.labels and LETTER.search(t)]
-        for a in range(0, len(known), 128):
-            block = known[a : a + 128]
+        for a in range(0, len(known), 32):
+            block = known[a : a + 32]
             x = self.features(np.stack([ngram_counts(texts[i]) for i in block]))
             p = _softmax((x @ self.weights[:-1] + self.weights[-1]) / self.temperature)
             for row, i in enumerate(block):
@@ -142,9 +142,8 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     learn = slim.filter((crc32_mod("doc_id", folds) != fold) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, n_docs = document_frequencies(learn, "text")
     idf = np.log((1.0 + n_docs) / (1.0 + df)) + 1.0
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = learn.select("doc_id", "lang").distinct().withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_language)
-    sample = learn.join(F.broadcast(picked.select("doc_id", "lang")), ["doc_id", "lang"])  # at most per_language ids a language
+    picked = hash_sample(learn.select("doc_id", "lang").distinct(), "lang", "doc_id", per_language)
+    sample = learn.join(F.broadcast(picked), ["doc_id", "lang"])  # at most per_language ids a language
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -153,7 +152,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
             yield pd.DataFrame({
                 "key": b["doc_id"].astype(str), "lang": b["lang"],
                 "at": [a.astype("<u2").tobytes() for a in at],
-                "n": [np.minimum(c[a], 65535).astype("<u2").tobytes() for c, a in zip(counts, at)],
+                "n": [c[a].astype("<u4").tobytes() for c, a in zip(counts, at)],
             })
 
     rows = sample.mapInPandas(vectors, "key string, lang string, at binary, n binary").dropDuplicates(["key", "lang"]).toPandas()
@@ -165,7 +164,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     x = []
     for a, c in zip(rows["at"], rows["n"]):
         at = np.frombuffer(a, "<u2").astype(np.int64)
-        v = np.log1p(np.frombuffer(c, "<u2").astype(float)) * idf[at]
+        v = np.frombuffer(c, "<u4").astype(float) * idf[at]
         x.append((np.append(at, BUCKETS), np.append(v / max(np.sqrt((v * v).sum()), 1e-12), 1.0)))
     held = np.arange(len(x)) % 5 == 0  # for the temperature
     fit = np.flatnonzero(~held) if (~held).any() else np.arange(len(x))

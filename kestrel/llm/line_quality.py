@@ -12,16 +12,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import crc32_mod
+from kestrel.llm.common import crc32_mod, hash_sample
 
 N_OWN = 11  # features of a line itself
 N_FEATURES = 3 * N_OWN + 3  # own, previous, next; first, last, bias
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so its powers can be undone modulo 2^64
 _UNDO = np.uint64(pow(int(_STEP), -1, 1 << 64))
-SLICE = 1 << 22  # bytes of a text whose features are computed at once (cut at line ends)
+SLICE = 1 << 19  # bytes of a text whose features are computed at once (cut at line ends)
 
 
 def _class_table() -> np.ndarray:
@@ -93,13 +93,20 @@ def line_features(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_lines(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Features of the lines of a whole text, with their neighbours', and line lengths."""
+    """Features of the lines of a whole text, with their neighbours', and line lengths.
+
+    A text is read in slices of whole lines; a line of more than two slices counts as several lines.
+    """
     data = (text or "").encode("utf-8", "surrogatepass").replace(b"\r\n", b"\n")
     data += b"\n"
     own, length, at = [], [], 0
     while at < len(data):
         end = len(data) if at + SLICE >= len(data) else data.find(b"\n", at + SLICE) + 1
-        f, n = line_features(np.frombuffer(data, np.uint8, end - at, at))
+        if end - at > 2 * SLICE:
+            end = at + SLICE
+            f, n = line_features(np.frombuffer(data[at:end] + b"\n", np.uint8))
+        else:
+            f, n = line_features(np.frombuffer(data, np.uint8, end - at, at))
         own.append(f)
         length.append(n)
         at = end
@@ -228,11 +235,11 @@ def fit(lines: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", fold: int = 0, folds: int = 5,
-          per_class: int = 1500, max_lines: int = 400) -> QualityModel:
+          per_class: int = 1500, max_bytes: int = 20_000, max_lines: int = 400) -> QualityModel:
     """Fit on labelled rows whose crc32(doc_id as text) mod ``folds`` is not ``fold``.
 
-    The sample is bounded: ``per_class`` rows of each label with the smallest id hashes among those
-    of at most ``max_lines`` lines (texts are never shortened).  A doc_id with contradicting
+    The sample is bounded: ``per_class`` rows of each label with the smallest id hashes among texts of at most
+    ``max_bytes``, and of those the ones of at most ``max_lines`` lines (texts are never shortened).  A doc_id with contradicting
     labels is left out.
     """
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1))
@@ -240,10 +247,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = known.filter(F.col("y") == F.col("top")).select("doc_id", "y")
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     lines = F.length("text") - F.length(F.translate("text", "\n", ""))
-    usable = slim.filter(F.col("text").isNotNull() & (lines < max_lines)).select("doc_id").distinct()
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.join(usable, "doc_id", "left_semi").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_class)
-    sample = slim.filter(lines < max_lines).join(F.broadcast(picked.select("doc_id", "y")), "doc_id")  # at most two classes of per_class ids
+    short = slim.filter(F.octet_length("text") <= max_bytes)
+    picked = hash_sample(known.join(short.select("doc_id").distinct(), "doc_id", "left_semi"), "y", "doc_id", per_class)
+    sample = short.join(F.broadcast(picked), "doc_id").filter(lines < max_lines)  # at most two classes of per_class ids
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

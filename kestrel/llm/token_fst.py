@@ -222,7 +222,7 @@ class WordSplitter:
 
 # ---------------------------------------------------------------- token counting
 
-WIDE = 48  # subtrees of more tokens keep the last token itself instead of the tokens it allows
+WIDE = 4  # subtrees of more tokens keep the last token itself instead of the tokens it allows
 
 
 class CountTransducer:
@@ -232,7 +232,7 @@ class CountTransducer:
     as needed (the counts never depend on it).
     """
 
-    def __init__(self, bpe: Bpe, max_states: int = 200_000):
+    def __init__(self, bpe: Bpe, max_states: int = 120_000):
         self.bpe, self.max_states = bpe, max_states
         self.child: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
@@ -402,7 +402,7 @@ class CountTransducer:
 class TokenCounter:
     """Token counts of whole texts, by the two transducers."""
 
-    def __init__(self, path: str, batch_bytes: int = 4 << 20):
+    def __init__(self, path: str, batch_bytes: int = 1 << 20):
         from tokenizers import Tokenizer
 
         lib = Tokenizer.from_file(path)

@@ -116,7 +116,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id"
     queries are answered once.  Other columns are ignored; empty tables give an empty result.
     """
     rows = materialize(vectors(index, vec_id, vector, False).dropDuplicates(["vec_id", "v"]), "forest-rows")
-    asked = vectors(queries, vec_id, vector, False).dropDuplicates(["vec_id"])
+    asked = materialize(vectors(queries, vec_id, vector, False).dropDuplicates(["vec_id"]), "forest-queries")
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     longest = rows.agg(F.max(norm).alias("m")).first()["m"] or 0.0
 
@@ -131,7 +131,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id"
     kind = "vec_id long, v array<double>, dim int, h binary"
     hashed = rows.mapInPandas(strings, kind)
     hashed_q = asked.withColumn("own", F.lit(1)).mapInPandas(strings, kind)
-    left, right = grid(hashed, hashed_q)
+    left, right = grid(hashed, hashed_q, counts=(rows.count(), asked.count()))
 
     def cell(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if l.empty or r.empty:

@@ -27,14 +27,17 @@ def vectors(df: DataFrame, vec_id: str, vector: str, allow_zero: bool) -> DataFr
     return kept.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).withColumn("dim", F.size("v"))
 
 
-def grid(index: DataFrame, queries: DataFrame, index_rows: int = INDEX_ROWS, query_rows: int = QUERY_ROWS) -> tuple[DataFrame, DataFrame]:
+def grid(
+    index: DataFrame, queries: DataFrame, index_rows: int = INDEX_ROWS, query_rows: int = QUERY_ROWS, counts: tuple[int, int] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Both sides with cell columns i (index block), j (query block).
 
     Index rows are hashed to blocks of about ``index_rows`` and copied to each query block, queries the other
-    way round, so each cell holds a bounded number of rows of either side.
+    way round, so each cell holds a bounded number of rows of either side.  ``counts`` gives the numbers of
+    rows where they are known.
     """
-    n_i = max(1, -(-index.count() // index_rows))
-    n_j = max(1, -(-queries.count() // query_rows))
+    n_index, n_queries = counts or (index.count(), queries.count())
+    n_i, n_j = max(1, -(-n_index // index_rows)), max(1, -(-n_queries // query_rows))
     i = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_i)).cast("int").alias("i")
     j = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(n_j)).cast("int").alias("j")
     left = index.select("*", i, F.explode(F.sequence(F.lit(0), F.lit(n_j - 1))).alias("j"))

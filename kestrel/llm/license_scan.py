@@ -83,11 +83,12 @@ def canonical(c: Column) -> Column:
 def first_words(known=KNOWN) -> str:
     """Pattern of the first words with which a unit can be a known licence.
 
-    Unifying spellings can change a unit's first word only if that holds a word of an equivalent spelling; any
-    other must itself be the first word of a known text.  So a unit that fails the pattern cannot match.
+    Unifying spellings can change a unit's first word only where an equivalent spelling begins in it, and then it
+    holds that spelling's first word; any other must itself be the first word of a known text.  So a unit
+    that fails the pattern cannot match.
     """
     first = sorted({re.split(r"[^a-z0-9]+", body.lower().strip())[0] for _, body in known})
-    parts = sorted({w for a, _ in EQUIVALENT for w in re.split(r"[^a-z0-9]+", a) if w})
+    parts = sorted({w[0] for w in (re.findall(r"[a-z0-9]+", a) for a, _ in EQUIVALENT) if w})
     return f"^({'|'.join(first)})$|{'|'.join(parts)}"
 
 
@@ -102,10 +103,10 @@ def scan_licenses(docs: DataFrame, known=KNOWN, doc_id: str = "doc_id", text: st
     """doc_id, license, whole_text (the whole text is the licence), n_lines (lines that are entirely it).
 
     The first word of a unit, copyright lines left out, tells most units apart from every licence; only the
-    others are brought to canonical form.  One row per document id and licence found.  Null and empty texts, and units with no letter or digit, match
-    nothing; rows of one id (or of a null id) are counted together; other columns are ignored; an empty
-    table gives an empty result.  Whole texts and all lines are scanned in one narrow pass; only matches
-    are shuffled.
+    others are brought to canonical form.  One row per document id and licence found.  Null and empty texts, and
+    units with no letter or digit, match nothing; rows of one id (or of a null id) are counted together;
+    other columns are ignored; an empty table gives an empty result.  Whole texts and all lines are
+    scanned in one narrow pass; only matches are shuffled.
     """
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.octet_length("text") > 0)
     lines = slim.withColumn("lines", F.split("text", "\n"))
@@ -114,7 +115,7 @@ def scan_licenses(docs: DataFrame, known=KNOWN, doc_id: str = "doc_id", text: st
     def may_match(line: Column) -> Column:
         return F.lower(F.regexp_extract(line, r"^[^\p{L}\p{N}]*+([\p{L}\p{N}]+)", 1)).rlike(begins)
 
-    lead = F.get(F.filter("lines", lambda x: x.rlike(r"[\p{L}\p{N}]") & ~F.substring(F.ltrim(x), 1, 16).rlike("(?i)" + _COPYRIGHT)), F.lit(0))
+    lead = F.get(F.filter("lines", lambda x: x.rlike(r"[\p{L}\p{N}]") & ~x.rlike("(?i)" + _COPYRIGHT)), F.lit(0))
     whole = F.when(may_match(lead), F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))))
     single = F.transform(F.filter("lines", may_match), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit")))
     units = F.concat(F.coalesce(whole, F.array().cast("array<struct<whole:boolean,unit:string>>")), single)

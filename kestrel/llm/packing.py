@@ -10,9 +10,9 @@ the driver, and the plan is the one a sequential run over all pieces would make.
 
 from __future__ import annotations
 
-import re
+import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,10 +24,17 @@ from kestrel.llm.token_fst import safe_slices
 
 # ---------------------------------------------------------------- encoding
 
-#: Both libraries split and merge alike below this code point (checked by a test, one by one);
-#: texts with other characters, or with a special string, go to the slower library.
-PLAIN_BELOW = 0x250
-_OTHER = re.compile(f"[^\\x00-{chr(PLAIN_BELOW - 1)}]|\\s{{400}}|\\S{{4000}}")
+#: Both libraries split and merge alike for the characters of this encoding (checked by a test, one by
+#: one); texts with other characters, or with a special string, go to the slower library.
+PLAIN = "latin-1"
+
+
+def _plain(text: str) -> bool:
+    try:
+        text.encode(PLAIN)
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class Encoder:
@@ -37,11 +44,9 @@ class Encoder:
     """
 
     def __init__(self, path: str, ranks_path: str | None, pattern: str | None):
-        from tokenizers import Tokenizer
-
-        self.lib = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.vocab = self.lib.get_vocab_size()
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
         self.fast = None
         if ranks_path:
             import base64
@@ -52,13 +57,20 @@ class Encoder:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def lib(self):
+        """The tokenizers library's own tokenizer, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
             return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.concatenate([self._encode(part) for part in safe_slices(text)])
 
     def _encode(self, text: str) -> np.ndarray:
-        if self.fast is not None and not _OTHER.search(text):
+        if self.fast is not None and _plain(text):
             return np.array(self.fast.encode_ordinary(text), np.uint32)
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
 

@@ -37,65 +37,72 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id",
     smaller id.
 
     Rows with a null id or a vector that is null, empty, or has null or non-finite components take no part
-    (zero vectors do).  Only vectors of equal length meet.  Repeated rows of ``index`` are candidates
-    once; repeated queries are answered once.  Scores are 64-bit integers (values beyond wrap).
+    (zero vectors do).  Only vectors of equal length meet.  An id with several vectors, in ``index`` or in
+    ``queries``, is one candidate or one query: its score is the best of any of its vectors.  Scores are
+    64-bit integers (values beyond wrap).
     Other columns are ignored; empty tables give an empty result.
     """
     whole = lambda df: df.withColumn("v", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("double")))
     rows = materialize(whole(vectors(index, vec_id, vector, True)).dropDuplicates(["vec_id", "v"]), "topk-rows")
-    asked = materialize(whole(vectors(queries, vec_id, vector, True)).dropDuplicates(["vec_id"]), "topk-queries")
+    # Each vector of a query id is searched on its own (number q): the best k ids over all of them are among the best k of each.
+    asked = whole(vectors(queries, vec_id, vector, True)).dropDuplicates(["vec_id", "v"])
+    asked = materialize(asked.withColumn("q", F.monotonically_increasing_id()), "topk-queries")
     size = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     far = rows.groupBy("dim").agg(F.sqrt(F.max(size)).alias("far"))  # scores lie within |q| * far
     reach = F.least(F.sqrt(size) * F.col("far") * 1.000001 + 2, F.lit(float(1 << 61))).cast("long")
-    state = asked.join(far, "dim").select("vec_id", "v", "dim", (-reach).alias("lo"), (2 * reach + 1).alias("width"))
+    state = asked.join(far, "dim").select("q", "vec_id", "v", "dim", (-reach).alias("lo"), (2 * reach + 1).alias("width"))
     keys = ["dim", "i", "j"]
 
     def scores(l: pd.DataFrame, r: pd.DataFrame):
+        l = l.sort_values("vec_id")
         x, q = matrix(l["v"]), matrix(r["v"])
-        ids, own = l["vec_id"].to_numpy(np.int64), r["vec_id"].to_numpy(np.int64)
+        own = r["vec_id"].to_numpy(np.int64)
+        ids, starts = np.unique(l["vec_id"].to_numpy(np.int64), return_index=True)
         for a in range(0, len(q), 64):
             s = score_matrix(x, q[a : a + 64])
+            if len(ids) < len(x):  # all rows of an id lie in one block: it is counted once, by its best score
+                s = np.maximum.reduceat(s, starts, axis=1)
             for row in range(len(s)):
-                yield a + row, own[a + row], s[row][ids != own[a + row]], ids[ids != own[a + row]]
+                yield a + row, s[row][ids != own[a + row]], ids[ids != own[a + row]]
 
     def histogram(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out = []
         if not l.empty and not r.empty:
-            lo, width = r["lo"].to_numpy(np.int64), r["width"].to_numpy(np.int64)
-            for at, own, s, _ in scores(l, r):
+            lo, width, number = r["lo"].to_numpy(np.int64), r["width"].to_numpy(np.int64), r["q"].to_numpy(np.int64)
+            for at, s, _ in scores(l, r):
                 step = -(-int(width[at]) // BINS)
                 above = s >= lo[at]  # at or over the end of the range: bins past the last, all of them kept
                 count = np.bincount(np.minimum((s[above] - lo[at]) // step, BINS), minlength=BINS + 1)
                 some = np.flatnonzero(count)[::-1]
                 need = int(np.searchsorted(np.cumsum(count[some]), k)) + 1
-                out.extend((own, int(b), int(count[b])) for b in some[:need])
-        return pd.DataFrame(out, columns=["query_id", "bin", "n"]).astype("int64")
+                out.extend((number[at], int(b), int(count[b])) for b in some[:need])
+        return pd.DataFrame(out, columns=["q", "bin", "n"]).astype("int64")
 
     def filtered(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out = []
         if not l.empty and not r.empty:
-            lo = r["lo"].to_numpy(np.int64)
-            for at, own, s, ids in scores(l, r):
+            lo, own = r["lo"].to_numpy(np.int64), r["vec_id"].to_numpy(np.int64)
+            for at, s, ids in scores(l, r):
                 keep = s >= lo[at]
                 s, ids = s[keep], ids[keep]
                 best = np.lexsort((ids, -s))[:k]
-                out.extend(zip([own] * len(best), ids[best].tolist(), s[best].tolist()))
+                out.extend(zip([own[at]] * len(best), ids[best].tolist(), s[best].tolist()))
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     widest = state.agg(F.max("width").alias("w")).first()["w"] or 1
     while widest > 1:
         left, right = grid(rows, state)
-        seen = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(histogram, "query_id long, bin long, n long")
-        total = seen.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-        down = Window.partitionBy("query_id").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        seen = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(histogram, "q long, bin long, n long")
+        total = seen.groupBy("q", "bin").agg(F.sum("n").alias("n"))
+        down = Window.partitionBy("q").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
         held = total.withColumn("upto", F.sum("n").over(down)).filter(F.col("upto") >= k)
-        kth = held.groupBy("query_id").agg(F.max("bin").alias("bin"))
+        kth = held.groupBy("q").agg(F.max("bin").alias("bin"))
         step = F.expr(f"cast(ceil(width / {BINS}D) as long)")
-        narrowed = state.join(kth, state["vec_id"] == kth["query_id"], "left")
+        narrowed = state.join(kth, "q", "left")
         # A query with fewer than k candidates keeps them all: its range ends at the lowest score.
         state = materialize(
             narrowed.select(
-                "vec_id", "v", "dim",
+                "q", "vec_id", "v", "dim",
                 F.when(F.col("bin").isNull(), F.col("lo")).otherwise(F.col("lo") + F.col("bin") * step).alias("lo"),
                 F.when(F.col("bin").isNull(), F.lit(1)).otherwise(step).cast("long").alias("width"),
             ), "topk-state")

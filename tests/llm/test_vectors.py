@@ -110,3 +110,37 @@ def test_ascent_meets_longest_prefixes_first():
         shared = np.array([[32 - int(int(a) ^ int(b)).bit_length() for a, b in zip(h[row], h[j])] for j in range(300)]).max(axis=1)
         level = max(v for v in range(33) if (shared >= v).sum() >= 40)
         assert (met[row] == (shared >= level)).all()
+
+
+def several_vectors(seed=9):
+    """Ids with many different vectors, more than k of them above all others; one of them is a query."""
+    rng = np.random.default_rng(seed)
+    rows = [(i, rng.standard_normal(6).tolist()) for i in range(1, 121)]
+    rows += [(200, (rng.standard_normal(6) + 4).tolist()) for _ in range(300)]
+    rows += [(20, (rng.standard_normal(6) - 2).tolist()) for _ in range(40)]
+    rows += [(20, rng.standard_normal(3).tolist()), (7, rng.standard_normal(3).tolist()), (40, [3.0] * 6), (60, [-3.0] * 6)]
+    return [(i, [float(np.float32(c)) for c in v]) for i, v in rows]
+
+
+def best_pairs(rows, asked, k, of=lambda v: np.asarray(v)):
+    want = {}
+    for q in asked:
+        best = {}
+        for i, v in rows:
+            for j, w in rows:
+                if j == q != i and len(v) == len(w):
+                    best[i] = max(best.get(i, -np.inf), (of(v) * of(w)).sum())
+        want[q] = [(r + 1, i, best[i]) for r, i in enumerate(sorted(best, key=lambda i: (-best[i], i))[:k])]
+    return want
+
+
+def test_histogram_counts_an_id_with_different_vectors_once(spark, monkeypatch):
+    from kestrel.llm import vector_grid
+
+    data = several_vectors()
+    want = best_pairs(data, (20, 40, 60), 5, lambda v: np.floor(np.asarray(v) * 256).astype(np.int64))
+    rows, grid = table(spark, data), vector_grid.grid
+    asked = rows.filter("vec_id in (20, 40, 60)")
+    assert rows_of(histogram_topk.top_k(rows, asked, 5)) == want
+    monkeypatch.setattr(histogram_topk, "grid", lambda a, b: grid(a, b, index_rows=50, query_rows=7))
+    assert rows_of(histogram_topk.top_k(rows, asked, 5)) == want

@@ -9,10 +9,13 @@ texts that are entirely a licence match.  DataFrame functions only.
 from __future__ import annotations
 
 import re
+import textwrap
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kestrel.llm.license_texts import HEADINGS, LEFT_OUT, SPDX, STARTS, TEXTS
+
 # Equivalent spellings (left is read as right).
 EQUIVALENT = (
     ("licence", "license"), ("licensor's", "licensors"), ("https:", "http:"), ("non-commercial", "noncommercial"),
@@ -43,7 +46,7 @@ _APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you
 obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software
 distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the
 License for the specific language governing permissions and limitations under the License."""
-KNOWN: tuple[tuple[str, str], ...] = (
+_NOTICES: tuple[tuple[str, str], ...] = (
     ("MIT", _MIT),
     ("MIT", "MIT License " + _MIT),
     ("MIT", "The MIT License (MIT) " + _MIT),
@@ -72,6 +75,38 @@ KNOWN: tuple[tuple[str, str], ...] = (
 )
 
 
+def _layouts(body: str) -> set[str]:
+    """A text on one line, without the lines that read as copyright lines in its usual layouts: as published,
+    a line a paragraph and all on one line; a short text also wrapped at 60 to 100 columns."""
+    paragraphs = [" ".join(p.split()) for p in re.split(r"\n[ \t]*\n", body)]
+    layouts = [body.split("\n"), paragraphs, [" ".join(body.split())]]
+    if len(body) < 2500:
+        layouts += [[line for p in paragraphs for line in textwrap.wrap(p, w, break_on_hyphens=False)] for w in range(60, 101)]
+    kept = ([x for x in lines if not re.match(r"[ \t]*(copyright|\(c\)|\u00a9)", x, re.IGNORECASE)] for lines in layouts)
+    return {" ".join(" ".join(lines).split()) for lines in kept}
+
+
+def _full_texts() -> list[tuple[str, str]]:
+    """Every text of ``TEXTS`` with and without the parts that copies leave out, under its headings, in its layouts."""
+    out = set()
+    for name, text in TEXTS.items():
+        bodies = [text, *(text[: text.rindex(part)] for part in LEFT_OUT.get(name, ()))]
+        if name in STARTS:
+            bodies += [b[b.index(STARTS[name]) :] for b in bodies]
+        if name.startswith("BSD"):
+            bodies += [re.sub(r"(?m)^\d\. ", "* ", b) for b in bodies]
+            bodies += ["All rights reserved.\n\n" + b for b in bodies]
+        bodies = [f"{h}\n\n{b}" if h else b for b in bodies for h in HEADINGS.get(name, ("",))]
+        out.update((name, one) for b in bodies for one in _layouts(b))
+    return sorted(out)
+
+
+#: Notices, full texts and SPDX lines: a list that does not grow with the data.
+KNOWN: tuple[tuple[str, str], ...] = (
+    *_NOTICES, *_full_texts(), *((name, f"SPDX-License-Identifier: {i}") for name, ids in SPDX.items() for i in ids),
+)
+
+
 def canonical(c: Column) -> Column:
     """Canonical form of a unit of text (lines end with a line feed)."""
     c = F.regexp_replace(F.lower(c), "(?d)" + _COPYRIGHT_LINE, "")

@@ -107,3 +107,40 @@ def test_license_spellings_and_edges(spark, no_docs):
         (10, "CC-BY-NC-4.0"): (True, 1), (11, "GPL-3.0"): (True, 1),
     }
     assert license_scan.scan_licenses(no_docs).count() == 0
+
+
+def test_full_texts_and_spdx_lines(spark):
+    from kestrel.llm import license_texts
+
+    docs, want = [], {}
+
+    def plant(name, text, whole, lines):
+        docs.append((len(docs), text))
+        want[len(docs) - 1] = (name, whole, lines)
+
+    for name, text in license_texts.TEXTS.items():
+        plant(name, text, True, 0)
+        plant(name, "Copyright (c) 2021, A. Person\n\n" + text.upper().replace("\n", "\r\n"), True, 0)
+        plant(name, "\n\n".join(" ".join(p.split()) for p in text.split("\n\n")), True, 0)
+        plant(name, " ".join(text.split()), True, 1)
+    bsd = license_texts.TEXTS["BSD-3-Clause"]
+    plant("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright 2020 X\nAll rights reserved.\n\n" + bsd.replace("1. ", "- ").replace("2. ", "- ").replace("3. ", "- "), True, 0)
+    plant("Apache-2.0", license_texts.TEXTS["Apache-2.0"].split("APPENDIX: How")[0], True, 0)
+    for i, name in {"GPL-2.0-only": "GPL-2.0", "GPL-3.0-or-later": "GPL-3.0", "BSD-2-Clause": "BSD-2-Clause", "LGPL-2.1-only": "LGPL-2.1", "MPL-2.0": "MPL-2.0",
+                    "CC0-1.0": "CC0-1.0", "AGPL-3.0-or-later": "AGPL-3.0", "CC-BY-NC-4.0": "CC-BY-NC-4.0", "MIT": "MIT"}.items():
+        plant(name, f"# SPDX-License-Identifier: {i}\nimport os", False, 1)
+    docs += [(-1, license_texts.TEXTS["GPL-3.0"][:-300]), (-2, bsd + "and more"), (-3, "SPDX-License-Identifier: Some-1.0")]
+    rows = license_scan.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["doc_id"], []).append((r["license"], r["whole_text"], r["n_lines"]))
+    for i, (name, whole, lines) in want.items():
+        found = [x for x in got.get(i, []) if x[0] == name]
+        assert [(w, n if lines else 0) for _, w, n in found] == [(whole, lines)], (i, name, got.get(i))
+        assert len(got[i]) == 1 or not lines, (i, got[i])
+    assert not {-1, -2, -3} & set(got)
+
+
+def test_each_known_digest_is_one_license(spark):
+    rows = license_scan.known_digests(spark).collect()
+    assert len({r["digest"] for r in rows}) == len(rows) > 100

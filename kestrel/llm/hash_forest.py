@@ -54,23 +54,28 @@ class PrefixForest:
         hi = np.stack([np.searchsorted(s, top[:, t], "right") for t, s in enumerate(self.sorted)], axis=1)
         return lo, hi
 
-    def candidates(self, q: np.ndarray, wanted: int):
+    def candidates(self, q: np.ndarray, wanted: int, starts: np.ndarray | None = None):
         """For each query the rows met by descending to the longest shared prefixes and ascending all trees
-        in step until at least ``wanted`` different rows (or all) are met."""
+        in step until at least ``wanted`` different rows (or all) are met.  ``starts`` gives the first row of
+        each id where rows of one id stand together: then different ids are counted instead."""
         n = self.order.shape[1]
+        wanted = min(wanted, n if starts is None else len(starts))
         met = np.zeros((len(q), n), bool)
         todo = np.arange(len(q))
         for level in range(BITS, -1, -1):
             lo, hi = self.ranges(q[todo], level)
             # The trees' runs together bound the number of different rows: below it nothing can end.
-            at = np.flatnonzero((hi - lo).sum(axis=1) >= min(wanted, n))
+            at = np.flatnonzero((hi - lo).sum(axis=1) >= wanted)
             if not len(at):
                 continue
             for t, order in enumerate(self.order):
                 size = hi[at, t] - lo[at, t]
                 first = np.repeat(lo[at, t] - (np.cumsum(size) - size), size)
                 met[np.repeat(todo[at], size), order[first + np.arange(len(first))]] = True
-            ended = at[np.count_nonzero(met[todo[at]], axis=1) >= min(wanted, n)]
+            reached = met[todo[at]]
+            if starts is not None:
+                reached = np.logical_or.reduceat(reached, starts, axis=1)
+            ended = at[np.count_nonzero(reached, axis=1) >= wanted]
             todo = np.delete(todo, ended)
             if not len(todo):
                 break
@@ -78,11 +83,17 @@ class PrefixForest:
 
 
 def search_cell(x: np.ndarray, ids: np.ndarray, strings: np.ndarray, q: np.ndarray, q_ids: np.ndarray, q_strings: np.ndarray, k: int, share: float) -> pd.DataFrame:
-    """Best k of a block's candidates for each query, with exact scores."""
+    """Best k ids of a block's candidates for each query, with exact scores: an id counts by its best row."""
+    same, starts, group = np.unique(ids, return_index=True, return_inverse=True)
+    repeated = len(same) < len(ids)
+    if repeated:
+        order = np.argsort(ids, kind="stable")
+        x, ids, strings, group = x[order], ids[order], strings[order], group[order]
+        starts = np.searchsorted(ids, same)
     forest = PrefixForest(strings)
     out_q, out_v, out_s = [], [], []
     for a in range(0, len(q), 512):
-        met = forest.candidates(q_strings[a : a + 512], max(4 * k, int(np.ceil(share * len(x)))))
+        met = forest.candidates(q_strings[a : a + 512], max(4 * k, int(np.ceil(share * len(same)))), starts if repeated else None)
         # Where the batch's queries have met most rows, one matrix product costs less than gathering them.
         product = q[a : a + 512] @ x.T if met.mean() > 0.25 else None
         for row, mask in enumerate(met):
@@ -92,12 +103,18 @@ def search_cell(x: np.ndarray, ids: np.ndarray, strings: np.ndarray, q: np.ndarr
             if not len(at):
                 continue
             s = x[at] @ query if product is None else product[row, at]
-            if len(at) > k:
-                least = np.partition(s, len(s) - k)[len(s) - k]
+            best = s
+            if repeated:
+                best = np.maximum.reduceat(s, np.flatnonzero(np.diff(group[at], prepend=-1)))
+            if len(best) > k:
+                least = np.partition(best, len(best) - k)[len(best) - k]
                 near = s >= least - 1e-9 * max(1.0, abs(least))
                 at, s = at[near], s[near]
             s = (x[at] * query).sum(axis=1)  # summed alike wherever a row lies, so equal vectors tie
-            top = np.lexsort((ids[at], -s))[:k]
+            top = np.lexsort((ids[at], -s))
+            if repeated:  # the first place of each id
+                top = top[np.sort(np.unique(ids[at[top]], return_index=True)[1])]
+            top = top[:k]
             out_q.append(np.full(len(top), own))
             out_v.append(ids[at[top]])
             out_s.append(s[top])
@@ -112,11 +129,11 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id"
     product among those the forest meets, never the row with the query's own id; ties to the smaller id.
 
     Rows with a null id or a vector that is null, empty, zero, or has null or non-finite components take no
-    part.  Only vectors of equal length meet.  Repeated rows of ``index`` are candidates once; repeated
-    queries are answered once.  Other columns are ignored; empty tables give an empty result.
+    part.  Only vectors of equal length meet.  An id with several vectors, in ``index`` or in ``queries``, is
+    one candidate or one query: its score is the best of any of its vectors.  Other columns are ignored; empty tables give an empty result.
     """
     rows = materialize(vectors(index, vec_id, vector, False).dropDuplicates(["vec_id", "v"]), "forest-rows")
-    asked = materialize(vectors(queries, vec_id, vector, False).dropDuplicates(["vec_id"]), "forest-queries")
+    asked = materialize(vectors(queries, vec_id, vector, False).dropDuplicates(["vec_id", "v"]), "forest-queries")
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     longest = rows.agg(F.max(norm).alias("m")).first()["m"] or 0.0
 
@@ -144,6 +161,6 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id"
 
     keys = ["dim", "i", "j"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, "query_id long, vec_id long, score double")
-    # Rows of different vectors under one id are candidates of their own; the id counts once, by its best score.
+    # A cell gives k ids for each vector of a query; over its vectors (and dims) an id counts by its best score.
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return best_per_query(found, k)

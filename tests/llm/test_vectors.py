@@ -144,3 +144,15 @@ def test_histogram_counts_an_id_with_different_vectors_once(spark, monkeypatch):
     assert rows_of(histogram_topk.top_k(rows, asked, 5)) == want
     monkeypatch.setattr(histogram_topk, "grid", lambda a, b: grid(a, b, index_rows=50, query_rows=7))
     assert rows_of(histogram_topk.top_k(rows, asked, 5)) == want
+
+
+def test_forest_counts_an_id_with_different_vectors_once(spark):
+    data = several_vectors()
+    rows = table(spark, data)
+    got = rows_of(hash_forest.nearest(rows, rows.filter("vec_id in (20, 40, 60)"), 20, share=1.0))
+    want = best_pairs(data, (20, 40, 60), 20)
+    assert {q: [(r, i) for r, i, _ in x] for q, x in got.items()} == {q: [(r, i) for r, i, _ in x] for q, x in want.items()}
+    assert all(s == pytest.approx(t, abs=1e-9) for q in want for (_, _, s), (_, _, t) in zip(got[q], want[q]))
+    # The ascent asks for different ids: one id that fills most of the block does not end it.
+    got = rows_of(hash_forest.nearest(rows, rows.filter("vec_id in (20, 40, 60)"), 20, share=0.3))
+    assert all(len(got[q]) == 20 for q in (20, 40, 60))

@@ -189,18 +189,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, doc_id
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate component: that of the smallest doc_id (of a
-    component without ids, any one row).  All columns are kept."""
+    """``docs`` with one row of each near-duplicate component: that of the smallest doc_id, then of the
+    smallest fingerprint (rows without an id come last).  All columns are kept.
+
+    A component is kept by its label, not by its id: one doc_id on rows of different texts names several
+    components, and each keeps a row.  Rows are stored once with their fingerprint and a number, so equal
+    rows are told apart and the same one stays whenever a part is computed again.
+    """
     spark = docs.sparkSession
-    prints = materialize(
-        docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(text, shingle).alias("fp")), "simhash-prints"
-    )
-    classes = _classes(spark, prints, max_bits)
-    keep = classes.filter("component_id is not null").select(F.col("component_id").alias(doc_id)).distinct()
-    named = docs.filter(F.col(doc_id).isNotNull()).join(keep, doc_id, "left_semi").dropDuplicates([doc_id])
-    label = free_name(docs, "label_of_group")
-    fp = free_name(docs, "fp_of_row")
-    nameless = docs.filter(F.col(doc_id).isNull()).withColumn(fp, fingerprint_column(text, shingle))
-    orphan = classes.filter("component_id is null").select(F.col("fp").alias(fp), F.col("label").alias(label))
-    nameless = nameless.join(orphan, fp).dropDuplicates([label])
-    return named.select(*docs.columns).unionByName(nameless.select(*docs.columns))
+    fp, row = free_name(docs, "fp_of_row"), free_name(docs, "number_of_row")
+    rows = docs.withColumn(fp, fingerprint_column(text, shingle)).withColumn(row, F.monotonically_increasing_id())
+    rows = materialize(rows, "simhash-rows")
+    classes = _classes(spark, rows.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp")), max_bits)
+    place = F.struct(F.col(doc_id).isNull().alias("nameless"), F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    # Combinable minima, first per fingerprint: a large group of copies is one row before it meets its label.
+    first = rows.groupBy(F.col(fp).alias("fp")).agg(F.min(place).alias("place"))
+    first = first.join(classes.select("fp", "label"), "fp").groupBy("label").agg(F.min("place").alias("place"))
+    return rows.join(first.select(F.col("place.row").alias(row)), row, "left_semi").select(*docs.columns)

@@ -110,3 +110,12 @@ def test_edges(edge_docs, no_docs):
     assert sorted(i for i, _ in got if i is not None) == [1, 2, 5, 6, 8, 9]
     assert [t for i, t in got if i is None] == ["A document without an id, but with words."]
     assert simhash.keep_one(no_docs).count() == 0
+
+
+def test_keep_one_keeps_each_group_where_ids_repeat(spark):
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(40)) for w in "abcd")
+    rows = [(5, a), (5, b), (5, a), (3, c), (5, c), (5, d), (9, d), (None, a), (None, "x y z w"), (None, "x y z w")]
+    rows += [(4, f"{' '.join(f't{n}u{i}' for i in range(30))}") for n in range(30)]
+    got = [(r["doc_id"], r["text"]) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    want = [(5, a), (5, b), (3, c), (5, d), (None, "x y z w"), *rows[10:]]
+    assert sorted(got, key=repr) == sorted(want, key=repr)

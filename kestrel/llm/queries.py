@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrel.llm import hash_forest, histogram_topk, language_id, license_scan, line_quality, packing, simhash, source_mixing, token_counts
+from kestrel.llm import (
+    hash_forest, histogram_topk, language_id, license_scan, line_quality, merkle_manifest, packing, piece_codec, simhash, source_mixing, token_alignment,
+    token_counts,
+)
 from kestrel.llm.common import bounded_batches, read
 
 MAX_TOKENS = 2048
@@ -65,9 +68,31 @@ def op10_packed_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_matrix(read(spark, sf_dir, "documents"), capacity=MAX_TOKENS, end_id=0, pad_id=0, width=2, **tokenizer())
 
 
+def pieces_model() -> str:
+    """Place of the SentencePiece BPE model."""
+    import public_tokenizers as public
+
+    return public.path("piece_bpe_32k.model")
+
+
+def op11_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return piece_codec.digests(piece_codec.encode_and_decode(read(spark, sf_dir, "documents"), pieces_model(), add_end=True))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(read(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"])
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return token_alignment.align_tokenizers(read(spark, sf_dir, "documents"), tokenizer()["path"], pieces_model())
+
+
 QUERIES = {f.__name__: f for f in (
     op1_hash_prefix_forest, op2_token_counts, op3_simhash_near_dedup, op4_histogram_topk, op5_language_id, op6_bin_slack_packing,
     op7_temperature_mixing, op8_crf_quality, op9_license_scan, op10_packed_matrix,
+    op11_sentencepiece_codec, op12_merkle_manifest, op13_token_alignment,
 )}
 
 ORACLES = {
@@ -86,4 +111,5 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,
     "op7_temperature_mixing": source_mixing.ORACLE_SQL,
     "op9_license_scan": license_scan.oracle_sql(),
+    "op12_merkle_manifest": merkle_manifest.ORACLE_SQL,
 }

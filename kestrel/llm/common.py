@@ -52,28 +52,37 @@ def hash_sample(rows: DataFrame, group: str, doc_id: str, per_group: int) -> Dat
     return near.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_group).select(doc_id, group)
 
 
-def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (columns a, b, long): label is the smallest node reachable.
 
-    Each round takes the smallest label among a node's neighbours (a combinable ``min``, so a node
-    with very many links is pre-aggregated) and then follows the label's own label (pointer jumping),
-    so the rounds grow with the logarithm of the longest chain.  Every round is written to the shared
-    scratch folder, which cuts the lineage and survives lost executors.
+    Contraction by a random order.  In each round every node points to the node of its closed neighbourhood
+    that comes first in an order drawn anew by hashing; nodes that point to the same one become one, and the
+    links between what is left are taken on.  Whatever the shape of the graph and the numbers of its nodes, a
+    round is expected to remove at least a quarter of the nodes that still have links (a third or more on chains),
+    so the rounds grow with the logarithm of the number of nodes and all rounds together cost a few times the
+    first.  The smallest neighbour is a combinable ``min``: a node with very many links is pre-aggregated.
+    Every round is written to the shared scratch folder, which cuts the lineage and survives lost executors.
     """
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "cc-edges")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-    labels = materialize(labels.select("node", F.least("node", "m").alias("label"), F.lit(True).alias("moved")), "cc-labels")
-    for _ in range(max_rounds):
-        near = (
-            both.join(labels.select(F.col("node").alias("a"), "label"), "a")
-            .groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
-        )
-        hooked = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels = materialize(
-            hooked.join(jump, "label").select("node", F.least("label", "next").alias("label"), (F.least("label", "next") != F.col("old")).alias("moved")),
-            "cc-labels",
-        )
-        if labels.filter("moved").isEmpty():
-            return labels.select("node", "label")
-    raise RuntimeError(f"connected components did not settle in {max_rounds} rounds")
+    links = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    links = materialize(links, "cc-links")
+    rounds: list[DataFrame] = []
+    while not links.isEmpty():
+        seed = F.lit(len(rounds))
+        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = both.groupBy(F.col("a").alias("node")).agg(F.min(F.struct(F.xxhash64("b", seed).alias("h"), F.col("b").alias("n"))).alias("near"))
+        own = F.struct(F.xxhash64("node", seed).alias("h"), F.col("node").alias("n"))
+        to = materialize(first.select("node", F.least("near", own)["n"].alias("to")), "cc-round")
+        rounds.append(to)
+        a, b = (to.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}")) for c in ("a", "b"))
+        moved = links.join(a, "a").join(b, "b").filter("to_a <> to_b")
+        links = materialize(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "cc-links")
+    if not rounds:
+        return nodes.select("node", F.col("node").alias("label"))
+    ends = rounds[-1]
+    for to in reversed(rounds[:-1]):  # where a node's target went in the later rounds
+        later = ends.select(F.col("node").alias("to"), F.col("to").alias("end"))
+        ends = materialize(to.join(later, "to", "left").select("node", F.coalesce("end", "to").alias("to")), "cc-ends")
+    smallest = ends.groupBy("to").agg(F.min("node").alias("label"))
+    named = ends.join(smallest, "to").select("node", "label")
+    return nodes.join(named, "node", "left").select("node", F.coalesce("label", "node").alias("label"))

@@ -181,10 +181,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, doc_id
     repeated rows are kept one to one; other columns are ignored; an empty table gives an
     empty result.
     """
-    spark = docs.sparkSession
     prints = docs.select(F.col(doc_id).cast("long").alias("doc_id"), fingerprint_column(text, shingle).alias("fp"))
+    return near_duplicates_of_fingerprints(prints, max_bits)
+
+
+def near_duplicates_of_fingerprints(prints: DataFrame, max_bits: int = 2) -> DataFrame:
+    """The same from fingerprints already made: ``prints`` has doc_id (long) and fp (signed 64-bit)."""
     prints = materialize(prints, "simhash-prints")
-    out = prints.join(_classes(spark, prints, max_bits).select("fp", "component_id"), "fp")
+    out = prints.join(_classes(prints.sparkSession, prints, max_bits).select("fp", "component_id"), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -18,9 +18,13 @@ MIN_QUALITY = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a language (null, or no letter) and those of an unsure one."""
+    """Rejects texts without a language (null, or no letter) and those of an unsure one.
+
+    Where no row has a language to learn from, only null texts and those without a letter go."""
     bounded_batches(spark)
     model = language_id.train(docs, fold=2, folds=4)
+    if not model.labels:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     p = free_name(docs, "language")
     sure = (F.col(p)["lang"] != "und") & (F.col(p)["score"] >= MIN_LANGUAGE_SCORE)
     return docs.withColumn(p, language_id.prediction("text", model)).filter(sure).select(*docs.columns)

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import crc32_mod, hash_sample
+from kestrel.llm.common import crc32_mod, hash_sample, tidied
 
 BUCKETS = 1 << 14  # hashed n-grams
 ORDERS = (1, 2, 3)
@@ -116,7 +116,7 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(BUCKETS, np.int64), 0
-        for batch in batches:
+        for batch in tidied(batches):
             for t in batch["t"]:
                 df += ngram_counts(t or "") > 0
                 n += 1
@@ -132,21 +132,26 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fold: int = 2, folds: int = 4,
-          per_language: int = 800) -> LanguageModel:
+          per_language: int = 800, max_languages: int = 200) -> LanguageModel:
     """Fit on rows with text, lang and id whose crc32(doc_id as text) mod ``folds`` is not ``fold``.
 
-    ``per_language`` bounds the sample the weights see (rows of each language with the smallest id
-    hashes); document frequencies cover all such rows.
+    ``per_language`` bounds the sample the weights see (the ids of each language with the smallest hashes, and of
+    an id on several texts the one of the smallest text hash) and ``max_languages`` the languages: those of most
+    rows, ties to the first name, so that dirty values of ``lang`` make neither weights nor sample grow.
+    Document frequencies cover all such rows.
     """
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     learn = slim.filter((crc32_mod("doc_id", folds) != fold) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, n_docs = document_frequencies(learn, "text")
     idf = np.log((1.0 + n_docs) / (1.0 + df)) + 1.0
-    picked = hash_sample(learn.select("doc_id", "lang").distinct(), "lang", "doc_id", per_language)
-    sample = learn.join(F.broadcast(picked), ["doc_id", "lang"])  # at most per_language ids a language
+    known = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(max_languages).select("lang")
+    picked = hash_sample(learn.select("doc_id", "lang").join(F.broadcast(known), "lang").distinct(), "lang", "doc_id", per_language)
+    sample = learn.join(F.broadcast(picked), ["doc_id", "lang"])  # at most max_languages * per_language ids
+    # One text an id and language, by a rule: a combinable minimum, so an id on very many rows is reduced where they lie.
+    sample = sample.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("text"))).alias("t")).select("doc_id", "lang", "t.text")
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in tidied(batches):
             counts = [ngram_counts(t) for t in b["text"]]
             at = [np.flatnonzero(c) for c in counts]
             yield pd.DataFrame({
@@ -155,7 +160,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
                 "n": [c[a].astype("<u4").tobytes() for c, a in zip(counts, at)],
             })
 
-    rows = sample.mapInPandas(vectors, "key string, lang string, at binary, n binary").dropDuplicates(["key", "lang"]).toPandas()
+    rows = sample.mapInPandas(vectors, "key string, lang string, at binary, n binary").toPandas()
     rows = rows.sort_values(["key", "lang"], kind="stable").reset_index(drop=True)
     labels = sorted(rows["lang"].unique())
     if not labels:
@@ -179,7 +184,7 @@ def prediction(text: str, model: LanguageModel) -> Column:
 
     @F.pandas_udf("lang string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in tidied(batches):
             names, score = model.predict([t if isinstance(t, str) else None for t in texts])
             yield pd.DataFrame({"lang": names, "score": score})
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import materialize
+from kestrel.llm.common import materialize, tidied
 from kestrel.llm.token_fst import safe_slices
 
 # ---------------------------------------------------------------- encoding
@@ -87,7 +87,7 @@ def encoded(text: str, path: str, ranks_path: str | None = None, pattern: str |
     @F.pandas_udf("binary")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = _encoder(path, ranks_path, pattern)
-        for texts in batches:
+        for texts in tidied(batches):
             yield pd.Series([np.append(enc.encode(t if isinstance(t, str) else ""), end_id).astype(kind).tobytes() for t in texts])
 
     return ids(F.col(text))
@@ -222,11 +222,15 @@ def place(items: DataFrame, plan, capacity: int, bucket_rows: int = 2_000) -> tu
     """``items`` (a stored table with doc_id, piece, start and length) with sequence_id and offset; and the
     number of sequences, whose ids run from 0.
 
+    Rows have a stored number each (row_number; added and stored where it is missing), so rows of equal ids are told
+    apart, are dealt to different buckets, and keep their places when a lost part is computed again.
     Ranks within a length: rows are dealt to hash buckets whose number grows with the table, counted
     per (length, bucket), and numbered within each; so a length that holds a third of all pieces
     is still numbered by many tasks.
     """
     spark = items.sparkSession
+    if "row_number" not in items.columns:
+        items = materialize(items.withColumn("row_number", F.monotonically_increasing_id()), "pack-rows")
     hist = {int(r["length"]): int(r["count"]) for r in items.groupBy("length").count().collect()}  # at most ``capacity`` rows
     buckets = max(1, sum(hist.values()) // bucket_rows)
     ranges, taken, sequence = [], dict.fromkeys(hist, 0), 0
@@ -238,19 +242,18 @@ def place(items: DataFrame, plan, capacity: int, bucket_rows: int = 2_000) -> tu
             at += n * copies
         sequence += times
     slots = spark.createDataFrame(ranges, "length long, lo long, hi long, copies long, first_sequence long, first_offset long")
-    keyed = items.withColumn("bucket", F.expr(f"cast(pmod(xxhash64(doc_id, piece, start), {buckets}) as int)"))
+    keyed = items.withColumn("bucket", F.expr(f"cast(pmod(xxhash64(row_number), {buckets}) as int)"))
     counts = keyed.groupBy("length", "bucket").count()
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    order = [c for c in keyed.columns if c not in ("length", "bucket", "ids")]
-    inner = Window.partitionBy("length", "bucket").orderBy(*order)
+    inner = Window.partitionBy("length", "bucket").orderBy("row_number")
     ranked = keyed.withColumn("rank", F.row_number().over(inner) - 1).join(base, ["length", "bucket"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("base"))
     # The patterns are bounded by the number of lengths, whatever the table: safe to broadcast.
     placed = ranked.join(F.broadcast(slots), (ranked["length"] == slots["length"]) & (ranked["rank"] >= slots["lo"]) & (ranked["rank"] < slots["hi"])).drop(slots["length"])
     nth = F.col("rank") - F.col("lo")
     return placed.select(
-        *items.columns,
+        *(c for c in items.columns if c != "row_number"),
         (F.col("first_sequence") + F.floor(nth / F.col("copies"))).cast("long").alias("sequence_id"),
         (F.col("first_offset") + (nth % F.col("copies")) * F.col("length")).cast("long").alias("offset"),
     ), sequence
@@ -270,6 +273,7 @@ def pack_tightly(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
     """
     cut = pieces(docs.withColumn(doc_id, F.col(doc_id).cast("long")), capacity, encoded(text, path, ranks_path, pattern, end_id, 4), 4, doc_id)
     cut = cut.withColumn("ids_crc32", F.crc32("ids"))
+    cut = cut.withColumn("row_number", F.monotonically_increasing_id())
     stored = materialize(cut if with_ids else cut.drop("ids"), "pack-pieces")
     return place(stored, minimum_bin_slack, capacity)[0]
 
@@ -294,7 +298,7 @@ def packed_matrix(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
     cut = pieces(docs.withColumn(doc_id, F.col(doc_id).cast("long")), capacity, encoded(text, path, ranks_path, pattern, end_id, width), width, doc_id)
     # The row number is written with the pieces, so it stays the same however often they are read.
     stored = materialize(cut.withColumn("row_number", F.monotonically_increasing_id()), "matrix-pieces")
-    placed, bins = place(stored.filter(F.col("length") < capacity).drop("row_number"), best_fit_decreasing, capacity)
+    placed, bins = place(stored.filter(F.col("length") < capacity), best_fit_decreasing, capacity)
     segment = F.struct("offset", "length", "doc_id", "piece", "ids")
     rows = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(segment)).alias("s"))  # at most ``capacity`` segments
     full = stored.filter(F.col("length") == capacity).withColumn("offset", F.lit(0).cast("long"))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import connected_components, free_name, materialize
+from kestrel.llm.common import connected_components, free_name, materialize, tidied
 
 SEED = 42
 WHITE = re.compile(rb"[\x20\x09-\x0D]")
@@ -77,7 +77,7 @@ def fingerprint_column(text: str, shingle: int) -> Column:
 
     @F.pandas_udf("long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in tidied(batches):
             got = np.array([fingerprint(t if isinstance(t, str) else None, shingle) for t in texts], np.uint64)
             yield pd.Series(got.view(np.int64))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.text import hashed_embedding, tokens
 from kestrel.operators import enrich
+from kestrel.operators.postings import Postings, build_postings
 from kestrel.session import materialize as store
 from kestrel.session import read_table, scratch_path
 from kestrel.sources import io
@@ -101,6 +102,17 @@ def chunk_index(
     return spark.read.parquet(path)
 
 
+_POSTINGS: dict[tuple[str, str], Postings] = {}
+
+
+def postings(spark: SparkSession, sf_dir: str) -> Postings:
+    """The inverted index of the chunks: a stored index, built once per application and data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _POSTINGS:
+        _POSTINGS[key] = build_postings(chunks(spark, sf_dir))
+    return _POSTINGS[key]
+
+
 def benchmark_queries(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFrame:
     q = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     if vectors:

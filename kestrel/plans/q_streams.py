@@ -10,6 +10,7 @@ from kestrel.plans import oracle_sql as O
 from kestrel.plans.registry import query
 from kestrel.session import read_table, scratch_path
 from kestrel.streaming import events as E
+from kestrel.streaming import responses as R
 
 # Fixed values (test design): event type -> branch of the router.
 ROUTES = {"click": "delta", "view": "delta", "purchase": "completed", "error": "error"}
@@ -163,3 +164,62 @@ def stream_pending_calls(spark, sf_dir):
     src = _write_json_events(ev, spark, "function-call-events")
     calls = E.pending_calls(E.json_event_stream(spark, src))
     return E.run_to_completion(calls, "pending-calls").select("response_id", "call_id", "name", "arguments", "query", "error")
+
+
+@query(
+    "stream_response_timeouts",
+    f"""SELECT conv_id * {RESPONSE_ID_BASE} + turn AS response_id,
+  CAST(CASE WHEN (conv_id + turn) % 7 = 3 THEN ceil(length(text) / 40) - 1 ELSE ceil(length(text) / 40) END AS BIGINT) AS n_deltas,
+  CASE WHEN (conv_id + turn) % 7 = 3 THEN substr(text, 41) ELSE text END AS text, (conv_id + turn) % 7 NOT IN (0, 3) AS completed
+FROM conversations WHERE length(text) > 0""",
+)
+def stream_response_timeouts(spark, sf_dir):
+    """Every conversation turn is a response of deltas and a completed event, a second apart; by rule on
+    ``(conv_id + turn) % 7``: 0 is never completed, 3 loses its first delta, 5 has every delta twice.  The events lie
+    in hash order within hours, an hour's events in the next file; idle responses are emitted unfinished by their timers.  Some
+    events long after the others move the watermark on."""
+    turns = read_table(spark, sf_dir, "conversations").where(F.length("text") > 0)
+    n, sel = F.ceil(F.length("text") / 40).cast("int"), (F.col("conv_id") + F.col("turn")) % 7
+    one = lambda kind, seq, delta: F.struct(F.lit(kind).alias("type"), seq.cast("long").alias("seq"), delta.cast("string").alias("delta"))
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: one(E.EVENT_TEXT_DELTA, i, F.col("text").substr(i * 40 + 1, F.lit(40))))
+    parts = F.when(sel == 3, F.filter(parts, lambda p: p["seq"] > 0)).when(sel == 5, F.concat(parts, parts)).otherwise(parts)
+    closing = F.array(one(E.EVENT_COMPLETED, n, F.lit(None)))
+    ev = turns.select((F.col("conv_id") * RESPONSE_ID_BASE + F.col("turn")).alias("response_id"), (F.col("conv_id") % 3).cast("int").alias("hour"), F.explode(F.when(sel == 0, parts).otherwise(F.concat(parts, closing))).alias("e"))
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    ev = ev.select("response_id", "e.*", "hour", (start + F.make_dt_interval(hours=F.col("hour"), mins=F.pmod(F.xxhash64("response_id"), F.lit(30)).cast("int"))).alias("at"))
+    path = scratch_path(spark, "timed-events")
+    for hour in range(3):  # files in the order of their hours, three whatever the table
+        ev.where(F.col("hour") == hour).drop("hour").coalesce(1).write.mode("append").parquet(path)
+    last = spark.range(4).select(F.lit("response.in_progress").alias("type"), (start + F.make_dt_interval(days=F.lit(2), mins=F.col("id").cast("int"))).alias("at"))
+    schema = spark.read.parquet(path).schema
+    for i in range(4):
+        tail = last.where(F.minute("at") == i).select(*[(F.col(f.name) if f.name in ("type", "at") else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+        tail.coalesce(1).write.mode("append").parquet(path)
+    with R.with_rocksdb(spark):
+        stream = E.table_stream(spark, path, schema, files_per_batch=1)
+        return E.run_to_completion(R.response_text_or_timeout(stream, "response_id", "seq", "at", idle="40 minutes"), "response-timeouts")
+
+
+@query(
+    "stream_unanswered_calls",
+    """SELECT 'call_' || conv_id || '_' || turn AS call_id, 'search_knowledge_base' AS name FROM conversations WHERE role = 'user' AND (conv_id + turn) % 5 IN (0, 1)""",
+)
+def stream_unanswered_calls(spark, sf_dir):
+    """Every user turn is a finished function call; by rule on ``(conv_id + turn) % 5``: 0 has no output, 1 has one after
+    the bound of ten minutes, the others are answered in time, 4 twice.  Calls and outputs are two readers of the same files."""
+    conv = read_table(spark, sf_dir, "conversations").where("role = 'user'")
+    sel, start = (F.col("conv_id") + F.col("turn")) % 5, F.lit("2024-01-01 00:00:00").cast("timestamp")
+    called = start + F.make_dt_interval(mins=F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(40)).cast("int"))
+    call_id = F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"))
+    item = lambda kind, name, after: F.struct(F.struct(F.lit(kind).alias("type"), call_id.alias("call_id"), F.lit(name).cast("string").alias("name")).alias("item"), (called + F.make_dt_interval(mins=F.lit(after))).alias("at"))
+    call, soon, late = item(E.ITEM_FUNCTION_CALL, E.SEARCH_TOOL, 0), item(R.ITEM_CALL_OUTPUT, None, 4), item(R.ITEM_CALL_OUTPUT, None, 25)
+    found = F.when(sel == 0, F.array(call)).when(sel == 1, F.array(call, late)).when(sel == 4, F.array(call, soon, soon)).otherwise(F.array(call, soon))
+    ev = conv.select(F.explode(found).alias("e")).select(F.lit(E.EVENT_ITEM_DONE).alias("type"), "e.*")
+    path = scratch_path(spark, "call-events")
+    ev.repartition(4).write.parquet(path)
+    schema = spark.read.parquet(path).schema
+    for i in range(4):
+        spark.range(1).select(F.lit("response.in_progress").alias("type"), F.lit(None).cast(schema["item"].dataType).alias("item"), (start + F.make_dt_interval(days=F.lit(2 + i))).alias("at")).write.mode("append").parquet(path)
+    read = lambda: E.table_stream(spark, path, schema, files_per_batch=1)
+    out = R.unanswered_calls(read(), "at", within="10 minutes", delay="2 hours", answers=read())
+    return E.run_to_completion(out, "unanswered-calls").select("call_id", "name")

@@ -5,6 +5,8 @@ Paths are any Hadoop-FS URI and are passed through unchanged.
 
 from __future__ import annotations
 
+import csv
+import io as io_text
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 
 from kestrel.functions.text import html_text, html_title
 from kestrel.session import materialize
+from kestrel.sources.csv_splits import csv_records
 
 # The declared chunk-index schema (field order as declared).
 INDEX_FIELDS = [
@@ -35,18 +38,57 @@ _EMPTY_MARK = "\ue000empty\ue000"
 _CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
+# Inferred types in order of preference, each with the shape that its values must have.
+_INFERRED = [
+    ("int", r"^[+-]?[0-9]{1,10}$"),
+    ("bigint", r"^[+-]?[0-9]{1,19}$"),
+    ("double", r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"),
+    ("date", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"),
+    ("timestamp", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}"),
+    ("boolean", r"^(?i:true|false)$"),
+]
+
+
+def _parsed(records: DataFrame, schema: T.StructType) -> DataFrame:
+    """Fields of CSV records; an unquoted empty field is null, a quoted one the empty string."""
+    text = T.StructType([T.StructField(f"c{i}", T.StringType() if isinstance(f.dataType, T.StringType) else f.dataType) for i, f in enumerate(schema.fields)])
+    options = {k: str(v) for k, v in _CSV.items() if k != "header"} | {"multiLine": "true", "mode": "PERMISSIVE", "emptyValue": _EMPTY_MARK}
+    row = records.select(F.from_csv("record", text.simpleString()[len("struct<") : -1].replace(":", " "), options).alias("r")).select("r.*")
+    return row.select(*[
+        (F.when(F.col(c) == _EMPTY_MARK, "").otherwise(F.col(c)) if isinstance(f.dataType, T.StringType) else F.col(c)).alias(f.name) for c, f in zip(row.columns, schema.fields)
+    ])
+
+
+def _infer(records: DataFrame, names: list[str]) -> T.StructType:
+    """The first type of ``_INFERRED`` that all values of a column fit, one pass over all records; else a string."""
+    cells = _parsed(records, T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]))
+    fits = [
+        F.coalesce(F.bool_and(F.when(F.col(c).isNotNull(), F.col(c).rlike(shape) & F.expr(f"try_cast({c} AS {kind})").isNotNull())), F.lit(False)).alias(f"{c}_{kind}")
+        for c in cells.columns for kind, shape in _INFERRED
+    ]
+    found = cells.agg(*fits).first()
+    kinds = [next((kind for kind, _ in _INFERRED if found[f"c{i}_{kind}"]), "string") for i in range(len(names))]
+    return T.StructType([T.StructField(n, T._parse_datatype_string(k)) for n, k in zip(names, kinds)])
+
+
 def csv_scan(spark: SparkSession, path: str, schema: T.StructType | str | None = None, index_col: str | None = None) -> DataFrame:
-    """Read CSV with a header.  With ``schema`` the read is single-pass; without it the types are
-    inferred (an extra pass over the data).  ``index_col`` is moved to the front.
+    """Read CSV files with a header record.  ``schema`` gives names and types by position; without it names come from
+    the header and types are inferred (an extra pass).  ``index_col`` is moved to the front.
 
-    Quoted fields may hold line ends, so a file is read by one task; write large tables as many
-    part files, as ``csv_sink`` does.  An unquoted empty field is null, a quoted one the empty string.
+    Large files are read in splits, although quoted fields may hold line ends (see ``csv_splits``): one pass finds
+    the state at every split, the next cuts the records.  An unquoted empty field is null, a quoted one the empty
+    string; a field that does not fit its type is null.
     """
-    reader = spark.read.options(**_CSV).option("multiLine", True).option("mode", "PERMISSIVE").option("emptyValue", _EMPTY_MARK)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    df = reader.csv(path)
-    df = df.select(*[F.when(F.col(f"`{f.name}`") == _EMPTY_MARK, "").otherwise(F.col(f"`{f.name}`")).alias(f.name)
-                     if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema.fields])
+    found = csv_records(spark, path)
+    records = found.where(~F.col("header"))
+    if schema is None:
+        header = found.where("header").select("record").first()
+        if header is None:
+            raise ValueError(f"no header record in {path}")
+        schema = _infer(records, next(csv.reader(io_text.StringIO(header["record"], newline=""))))
+    elif isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    df = _parsed(records, schema)
     if index_col:
         df = df.select(index_col, *[c for c in df.columns if c != index_col])
     return df
@@ -182,14 +224,19 @@ def index_write(df: DataFrame, path: str, check_unique: bool = True, dim: int |
     return path
 
 
-def index_upsert(current: DataFrame, updates: DataFrame, key: str = "parent_id") -> DataFrame:
-    """Create-or-replace by key: every row of ``current`` whose ``key`` appears in ``updates`` is
-    replaced by the rows of ``updates``.  With ``key='parent_id'`` a changed document replaces
-    all of its old chunks, so chunks of a shortened document do not linger.
+def index_upsert(current: DataFrame, updates: DataFrame, key: str = "parent_id", changed: DataFrame | None = None) -> DataFrame:
+    """Create-or-replace by key: every row of ``current`` whose ``key`` is among the changed ones gives way to the
+    rows of ``updates``.  With ``key='parent_id'`` a changed document replaces all of its old chunks, so chunks of a
+    shortened document do not linger.
 
+    ``changed`` holds the keys of every document that was changed or deleted, also of those that have no
+    chunk any more (a blank text, a deleted document); without it the keys are those of ``updates``.
     The update batch is computed once, by a write to the scratch folder; its keys are read back from
     there.  Whether they are broadcast is left to the planner, which sees their size in bytes.
     """
     updates = materialize(updates, "upsert-updates")
-    kept = current.join(updates.select(key).distinct(), key, "left_anti")
+    keys = updates.select(key)
+    if changed is not None:
+        keys = keys.unionByName(materialize(changed.select(key), "upsert-keys"))
+    kept = current.join(keys.distinct(), key, "left_anti")
     return kept.unionByName(updates.select(*current.columns))

@@ -125,3 +125,11 @@ def test_file_manifest_glob_and_recursion(spark):
     assert deep == {"x.csv": 1, "z.csv": 3, "w.csv": 4}
     plan = io.file_manifest(spark, d, "*.csv")._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[-1].split("]")[0]  # file bodies are not read
+
+
+def test_upsert_leaves_no_stale_chunks(spark):
+    current = spark.createDataFrame([("d1", "d1-0", "old"), ("d1", "d1-1", "old"), ("d2", "d2-0", "old"), ("d3", "d3-0", "kept")], "parent_id string, chunk_id string, chunk string")
+    updates = spark.createDataFrame([("d4", "d4-0", "new")], current.schema)
+    changed = spark.createDataFrame([("d1",), ("d2",), ("d4",)], "parent_id string")  # d1's text is blank now, d2 was deleted
+    got = io.index_upsert(current, updates, changed=changed)
+    assert sorted(tuple(r) for r in got.collect()) == [("d3", "d3-0", "kept"), ("d4", "d4-0", "new")]

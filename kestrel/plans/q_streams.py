@@ -216,10 +216,10 @@ def stream_unanswered_calls(spark, sf_dir):
     found = F.when(sel == 0, F.array(call)).when(sel == 1, F.array(call, late)).when(sel == 4, F.array(call, soon, soon)).otherwise(F.array(call, soon))
     ev = conv.select(F.explode(found).alias("e")).select(F.lit(E.EVENT_ITEM_DONE).alias("type"), "e.*")
     path = scratch_path(spark, "call-events")
-    ev.repartition(4).write.parquet(path)
+    ev.repartition(3).write.parquet(path)
     schema = spark.read.parquet(path).schema
-    for i in range(4):
-        spark.range(1).select(F.lit("response.in_progress").alias("type"), F.lit(None).cast(schema["item"].dataType).alias("item"), (start + F.make_dt_interval(days=F.lit(2 + i))).alias("at")).write.mode("append").parquet(path)
+    for i in range(3):
+        spark.range(1).coalesce(1).select(F.lit("response.in_progress").alias("type"), F.lit(None).cast(schema["item"].dataType).alias("item"), (start + F.make_dt_interval(days=F.lit(2 + i))).alias("at")).write.mode("append").parquet(path)
     read = lambda: E.table_stream(spark, path, schema, files_per_batch=1)
     out = R.unanswered_calls(read(), "at", within="10 minutes", delay="2 hours", answers=read())
     return E.run_to_completion(out, "unanswered-calls").select("call_id", "name")

@@ -166,6 +166,34 @@ def index_upsert(spark, sf_dir):
     return upsert(current, project(upd_docs).select("parent_id", "chunk_id", "page", "chunk"), key="parent_id")
 
 
+@query(
+    "index_incremental",
+    O.with_(O.DOCS.replace("docs AS", "docs0 AS"), _UPSERT_DOCS.replace("FROM docs)", "FROM docs0 WHERE doc_id % 7 <> 0)"), O.CHUNKS.replace("FROM docs WHERE", "FROM docs2 WHERE").replace(", doc_id, lang", ""))
+    + "SELECT parent_id, chunk_id, CAST(page AS INTEGER) AS page, chunk FROM chunks",
+)
+def index_incremental(spark, sf_dir):
+    """A container that grows twice, indexed after each growth by a stream: first even ids and multiples of 5, then odd
+    ids, multiples of 5 with a changed text and, with null content, the deletion of multiples of 7.  The first
+    batch is then run again, as after a failure."""
+    from kestrel.session import scratch_path
+    from kestrel.streaming import index_run
+    from kestrel.streaming.events import table_stream
+
+    key, content = F.col("doc_id"), F.col("content")
+    docs = fx.documents(spark, sf_dir).select("content", "file_name", "source_url", "doc_id")
+    first = docs.where((key % 2 == 0) | (key % 5 == 0))
+    revised = F.when(key % 7 == 0, F.lit(None)).when(key % 5 == 0, F.concat(content, F.lit(" revised"))).otherwise(content)
+    second = docs.where((key % 2 == 1) | (key % 5 == 0) | (key % 7 == 0)).withColumn("content", revised)
+    container, path, checkpoint = (scratch_path(spark, f"incremental-{n}") for n in ("container", "index", "checkpoint"))
+    first.write.parquet(container)
+    stream = table_stream(spark, container, docs.schema)
+    index_run.run_index(stream, path, checkpoint, "doc_id")
+    second.write.mode("append").parquet(container)
+    index_run.run_index(table_stream(spark, container, docs.schema), path, checkpoint, "doc_id")
+    index_run.apply_batch(first, 0, path, "doc_id")
+    return index_run.read_index(spark, path).select("parent_id", "chunk_id", "page", "chunk")
+
+
 @query(
     "embed_request_batches",
     O.with_(

@@ -94,6 +94,29 @@ def content_hash_change(spark, sf_dir):
     return S.content_hash_change(cur, prev, "doc_id")
 
 
+@query(
+    "manifest_changes",
+    """WITH cur AS (SELECT doc_id AS key, sha256(text) AS hash FROM documents WHERE doc_id % 500 <> 7),
+prev AS (SELECT doc_id AS key, CASE WHEN doc_id % 500 = 13 THEN sha256(sha256(text) || 'old') ELSE sha256(text) END AS hash,
+  CAST(1 + doc_id % 3 AS INTEGER) AS version FROM documents WHERE doc_id % 500 <> 0)
+SELECT coalesce(c.key, p.key) AS key, coalesce(c.hash, p.hash) AS hash,
+  CASE WHEN p.key IS NULL THEN 'new' WHEN c.key IS NULL THEN 'delete' ELSE 'update' END AS action,
+  CAST(CASE WHEN p.key IS NULL THEN 1 WHEN c.key IS NULL THEN p.version ELSE p.version + 1 END AS INTEGER) AS version
+FROM cur c FULL JOIN prev p ON p.key = c.key WHERE p.key IS NULL OR c.key IS NULL OR c.hash <> p.hash""",
+)
+def manifest_changes(spark, sf_dir):
+    """Two stored manifests of ``documents`` compared by range hashes: documents of ``doc_id % 500 = 0`` are missing in
+    the previous one, those of 7 in the current one, those of 13 had another text."""
+    from kestrel.operators.changes import change_set, write_manifest
+
+    key, text_hash = F.col("doc_id"), F.sha2("text", 256)
+    docs = read_table(spark, sf_dir, "documents")
+    old = F.when(key % 500 == 13, F.sha2(F.concat(text_hash, F.lit("old")), 256)).otherwise(F.upper(text_hash))
+    current = write_manifest(docs.where(key % 500 != 7).select(key, text_hash.alias("hash")), "doc_id", leaf_rows=64)
+    previous = write_manifest(docs.where(key % 500 != 0).select(key, old.alias("hash"), (1 + key % 3).alias("version")), "doc_id", version_col="version", leaf_rows=64)
+    return change_set(spark, current, previous).changes
+
+
 @query(
     "nested_dedupe_flatten",
     """WITH f AS (SELECT l_suppkey AS nic_id, l_partkey AS ip, l_orderkey, l_linenumber,

@@ -3,8 +3,9 @@
 A manifest holds one row per key: ``(key, hash, version)``.  Keys are placed at a 64-bit position (their
 XXH64), so any key distribution fills the ranges evenly.  A node of level ``l`` covers the positions
 that share their first ``4 * l`` bits and holds three combinable digests of its rows.  Two manifests are
-compared from the root down: only children of nodes that differ are looked at, and rows are read
-only from ranges that differ.  Equal manifests cost the comparison of two roots.
+compared from the root down: only children of nodes that differ are looked at.  Rows are read from the
+folders (256 at most) that hold a range that differs, and joined with those ranges.  Equal manifests
+cost the comparison of two roots.
 
 A range in which rows differ is taken for equal only if its count, the XOR of one 64-bit hash and the
 sum of another all agree by chance.
@@ -46,7 +47,7 @@ class Manifest:
 
 @dataclass(frozen=True)
 class ChangeSet:
-    """``changes``: ``key, hash, action, version``; ``share_read``: rows in the ranges read, of all rows of both manifests."""
+    """``changes``: ``key, hash, action, version``; ``share_read``: rows in the ranges that differ, of all rows of both manifests."""
 
     changes: DataFrame
     share_read: float

@@ -81,6 +81,24 @@ idx AS (
   FROM chunks c LEFT JOIN loc l USING (chunk_id)
 )"""
 
+# Words of the chunks with their offsets, the longest term at each word, and the walk from left to right over these.
+LONGEST_TERMS = """cwords AS MATERIALIZED (
+  SELECT chunk_id, chunk, list_transform(regexp_extract_all(chunk, '[\\pL\\pN]+'), lambda t: lower(t)) AS toks,
+         string_split_regex(chunk, '[\\pL\\pN]+') AS gaps FROM chunks),
+cword AS MATERIALIZED (
+  SELECT chunk_id, i, word, CAST(sum(length(gap) + length(word)) OVER (PARTITION BY chunk_id ORDER BY i) AS BIGINT) - length(word) AS at
+  FROM (SELECT chunk_id, unnest(toks) AS word, unnest(gaps[1:len(toks)]) AS gap, unnest(range(1, len(toks) + 1)) AS i FROM cwords)),
+gterm AS MATERIALIZED (SELECT DISTINCT string_split(term, ' ') AS t FROM gaz),
+cand AS MATERIALIZED (
+  SELECT chunk_id, i, n, row_number() OVER (PARTITION BY chunk_id ORDER BY i) AS r FROM (
+    SELECT c.chunk_id, c.i, max(len(g.t)) AS n FROM cword c JOIN gterm g ON c.word = g.t[1] JOIN cwords w ON w.chunk_id = c.chunk_id
+    WHERE w.toks[c.i : c.i + len(g.t) - 1] = g.t GROUP BY c.chunk_id, c.i)),
+walk AS (
+  SELECT chunk_id, r, i, n, i + n AS past, TRUE AS stands FROM cand WHERE r = 1
+  UNION ALL
+  SELECT c.chunk_id, c.r, c.i, c.n, CASE WHEN c.i >= w.past THEN c.i + c.n ELSE w.past END, c.i >= w.past
+  FROM walk w JOIN cand c ON c.chunk_id = w.chunk_id AND c.r = w.r + 1)"""
+
 QUERIES = f"""q AS (SELECT item_id AS query_id, text AS query_text, {unit_vector('text')} AS query_vector FROM benchmark)"""
 
 

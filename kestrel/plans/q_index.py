@@ -125,6 +125,22 @@ def extract_locations(spark, sf_dir):
     return fx.chunk_index(spark, sf_dir, vectors=False).select("chunk_id", "locations")
 
 
+@query(
+    "location_spans",
+    O.with_(O.DOCS, O.CHUNKS, O.GAZ, O.LONGEST_TERMS).replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT w.chunk_id, CAST(a.at AS INTEGER) AS span_start, CAST(b.at + length(b.word) AS INTEGER) AS span_end, "
+    "substring(w.chunk, a.at + 1, b.at + length(b.word) - a.at) AS surface, t.term, t.canonical "
+    "FROM walk k JOIN cwords w USING (chunk_id) JOIN cword a ON a.chunk_id = k.chunk_id AND a.i = k.i "
+    "JOIN cword b ON b.chunk_id = k.chunk_id AND b.i = k.i + k.n - 1 "
+    "JOIN (SELECT DISTINCT term, canonical FROM gaz) t ON t.term = array_to_string(w.toks[k.i : k.i + k.n - 1], ' ') WHERE k.stands",
+)
+def location_spans(spark, sf_dir):
+    """Where the gazetteer's terms stand in each chunk: longest matches from left to right, with offsets."""
+    from kestrel.operators.spans import location_spans as spans
+
+    return spans(fx.chunks(spark, sf_dir), fx.gazetteer(spark, sf_dir))
+
+
 @query(
     "index_write",
     O.with_(O.INDEX) + "SELECT parent_id, title, source_url, source_file_name, locations, chunk_id, chunk, text_vector FROM idx",

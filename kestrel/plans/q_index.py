@@ -19,6 +19,14 @@ def chunk_text(spark, sf_dir):
     return ch.select("doc_id", "page", "chunk", F.length("chunk").alias("chunk_len"))
 
 
+@query("sentence_pages")
+def sentence_pages(spark, sf_dir):
+    """Pages of at most 2,000 characters that end between sentences where they can, cut by an exact optimum."""
+    from kestrel.operators.sentence_pages import sentence_pages as cut
+
+    return cut(fx.documents(spark, sf_dir).select("doc_id", "content"))
+
+
 @query(
     "chunk_key",
     O.with_(O.DOCS, O.CHUNKS) + "SELECT doc_id, CAST(page AS INTEGER) AS page, chunk_id FROM chunks",

@@ -105,6 +105,15 @@ def page_text_extract(spark, sf_dir):
     return extract(read_table(spark, sf_dir, "pages"))
 
 
+@query("page_main_text")
+def page_main_text(spark, sf_dir):
+    """Title and main text of each page: its blocks without those that repeat over the pages of its host."""
+    from kestrel.session import read_table
+    from kestrel.sources.html_blocks import main_text
+
+    return main_text(read_table(spark, sf_dir, "pages"))
+
+
 @query(
     "embed_text",
     O.with_(O.DOCS, O.CHUNKS) + f"SELECT chunk_id, {O.unit_vector('chunk')} AS text_vector FROM chunks",

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.text import PAGE_LENGTH, PAGE_OVERLAP
 from kestrel.operators.enrich import non_blank
+from kestrel.session import materialize
 
 # Fixed values of the published method: probability of a period after an abbreviation, and the least score of one.
 PERIOD_AFTER_ABBREVIATION = 0.99
@@ -42,6 +43,7 @@ def abbreviations(docs: DataFrame, text_col: str = "content", min_share: float =
     period = F.col("w").endswith(".")
     word = F.lower(F.when(period, F.expr("left(w, length(w) - 1)")).otherwise(F.col("w")))
     counts = seen.groupBy(word.alias("word")).agg(F.count_if(period).alias("n_period"), F.count_if(~period).alias("n_plain"))
+    counts = materialize(counts, "word-counts")  # read for the totals and for the scores: the texts are read once
     totals = counts.agg(F.sum("n_period").alias("periods"), F.sum(F.col("n_period") + F.col("n_plain")).alias("words")).first()
     periods, words = totals["periods"] or 0, totals["words"] or 0
     if not periods or periods == words:

@@ -15,16 +15,32 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-INDEX_ROWS = 4096
-QUERY_ROWS = 1024
 TILE_BYTES = 64 * 1024 * 1024
 SCORE_DECIMALS = 6
+#: A side of a cell: at most so many bytes of what it computes with.  Blocks this large keep the copies of a row few.
+SIDE_BYTES = 32 * 1024 * 1024
+#: Blocks are not made smaller than this for the sake of more tasks.
+LEAST_INDEX_ROWS = 4096
+LEAST_QUERY_ROWS = 256
 
 
-def grid(index: DataFrame, queries: DataFrame, key_col: str, index_rows: int = INDEX_ROWS, query_rows: int = QUERY_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Both sides with the cell columns ``block_i`` and ``block_j``; counts decide the number of blocks."""
-    n_i = max(1, -(-index.count() // index_rows))
-    n_j = max(1, -(-queries.count() // query_rows))
+def block_counts(n_index: int, n_queries: int, index_rows: int, query_rows: int, k: int, row_bytes: int, tasks: int) -> tuple[int, int]:
+    """Numbers of index and query blocks: as few as their largest sizes allow, but enough for ``tasks`` cells, split
+    where that costs fewer bytes (copies of index rows, or copies of queries and their ``k`` candidates each)."""
+    n_i, n_j = max(1, -(-n_index // index_rows)), max(1, -(-n_queries // query_rows))
+    while n_i * n_j < tasks:
+        can_i, can_j = n_index >= 2 * n_i * LEAST_INDEX_ROWS, n_queries >= 2 * n_j * LEAST_QUERY_ROWS
+        if not (can_i or can_j):
+            break
+        if can_i and (not can_j or n_queries * n_i * (row_bytes + 24 * k) <= n_index * n_j * row_bytes):
+            n_i *= 2
+        else:
+            n_j *= 2
+    return n_i, n_j
+
+
+def grid(index: DataFrame, queries: DataFrame, key_col: str, n_i: int, n_j: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the cell columns ``block_i`` and ``block_j`` of a grid of ``n_i`` by ``n_j`` cells."""
     i = F.pmod(F.xxhash64(key_col, F.lit("i")), F.lit(n_i)).cast("int").alias("block_i")
     j = F.pmod(F.xxhash64("query_id", F.lit("j")), F.lit(n_j)).cast("int").alias("block_j")
     left = index.select("*", i, F.explode(F.sequence(F.lit(0), F.lit(n_j - 1))).alias("block_j"))
@@ -39,26 +55,48 @@ def best(scores: np.ndarray, keys: np.ndarray, k: int, order: np.ndarray) -> lis
     ``order`` gives the columns in ascending key order; ``-inf`` marks columns that do not count.
     """
     band = 2.0 * 10.0**-SCORE_DECIMALS
-    s = scores[:, order]
-    n = s.shape[1]
-    kth = np.partition(s, n - k, axis=1)[:, n - k] if n > k else np.full(len(s), -np.inf)
+    n = scores.shape[1]
+    place = np.empty(n, dtype=np.int64)
+    place[order] = np.arange(n)
+    head = max(4096, 8 * k)  # of many columns, the k-th score of the first ones is a floor that few others reach
+    first = scores[:, :head] if n > 2 * head else scores
+    width = first.shape[1]
+    floor = np.partition(first, width - k, axis=1)[:, width - k] if width > k else np.full(len(scores), -np.inf)
+    rows, columns = np.nonzero(scores >= np.maximum(floor - band, np.finfo(np.float64).min)[:, None])
+    ends = np.searchsorted(rows, np.arange(len(scores) + 1))
     out = []
-    for row, least in zip(s, kth):
-        at = np.flatnonzero((row >= least - band) & (row > -np.inf)) if least > -np.inf else np.flatnonzero(row > -np.inf)
-        if len(at) > k:  # already in key order: the first k of each rounded score
+    for r, row in enumerate(scores):
+        at = columns[ends[r] : ends[r + 1]]
+        if len(at) > k:
+            values = row[at]
+            at = at[values >= np.partition(values, len(at) - k)[len(at) - k] - band]
+        at = at[np.argsort(place[at], kind="stable")]
+        if len(at) > k:  # in key order: the first k of each rounded score
             level = np.round(row[at], SCORE_DECIMALS)
             by = np.argsort(-level, kind="stable")
             new = np.concatenate(([True], np.diff(level[by]) != 0))
-            first = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
-            at = at[by[np.arange(len(by)) - first < k]]
-        out.append(order[at])
+            since = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
+            at = at[by[np.arange(len(by)) - since < k]]
+        out.append(at)
     return out
 
 
+def leave_out_self(scores: np.ndarray, query_ids: np.ndarray, keys: np.ndarray, order: np.ndarray) -> None:
+    """Marks the columns whose key is the row's own query id with ``-inf``; ``order`` sorts ``keys``."""
+    if query_ids.dtype != keys.dtype:
+        scores[query_ids[:, None] == keys[None, :]] = -np.inf
+        return
+    ordered = keys[order]
+    low, high = np.searchsorted(ordered, query_ids, "left"), np.searchsorted(ordered, query_ids, "right")
+    for r in np.flatnonzero(high > low):
+        scores[r, order[low[r] : high[r]]] = -np.inf
+
+
 def top_of_cells(
-    left: DataFrame, right: DataFrame, key_col: str, k: int, score_tile: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], bytes_per_query: Callable[[pd.DataFrame], int]
+    left: DataFrame, right: DataFrame, key_col: str, k: int, scorer: Callable[[pd.DataFrame, np.ndarray], Callable[[pd.DataFrame], np.ndarray]]
 ) -> DataFrame:
-    """(query_id, key, score) candidates: ``score_tile(queries, rows)`` gives the score matrix of a tile."""
+    """(query_id, key, score) candidates: ``scorer(rows, order)`` takes the rows of a cell, and the order of their keys,
+    once and gives a function from some of its queries to their score matrix."""
     key_type = left.schema[key_col].dataType.simpleString()
     query_type = right.schema["query_id"].dataType.simpleString()
     schema = f"query_id {query_type}, {key_col} {key_type}, score double"
@@ -69,9 +107,10 @@ def top_of_cells(
             keys = rows[key_col].to_numpy()
             order = np.argsort(keys, kind="stable")
             q_ids = queries["query_id"].to_numpy()
-            step = max(1, TILE_BYTES // max(1, bytes_per_query(rows)))
+            step = max(1, TILE_BYTES // (24 * len(rows)))
+            score = scorer(rows, order)
             for a in range(0, len(queries), step):
-                s = score_tile(queries.iloc[a : a + step], rows)
+                s = score(queries.iloc[a : a + step])
                 for r, at in enumerate(best(s, keys, k, order)):
                     q_out.append(np.repeat(q_ids[a + r : a + r + 1], len(at)))
                     k_out.append(keys[at])

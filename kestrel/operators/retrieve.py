@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.text import hashed_embedding, tokens
-from kestrel.operators.blocks import SCORE_DECIMALS, grid, top_of_cells
+from kestrel.operators.blocks import SCORE_DECIMALS, SIDE_BYTES, block_counts, grid, leave_out_self, top_of_cells
 from kestrel.session import materialize
 
 
@@ -61,30 +61,35 @@ def keyword_candidates(index: DataFrame, queries: DataFrame, k: int, key_col: st
     n_docs, avgdl = stats["n"], float(stats["avgdl"] or 0.0)
     asked = materialize(weighted_terms(docs, queries, n_docs), "query-terms")
 
-    def score_tile(qs: pd.DataFrame, rows: pd.DataFrame) -> np.ndarray:
-        q_len = qs["terms"].map(len).to_numpy()
-        flat = np.concatenate([np.asarray(t, dtype=object) for t in qs["terms"]])
-        codes, vocab = pd.factorize(flat)
-        weights = np.zeros((len(qs), len(vocab)))
-        weights[np.repeat(np.arange(len(qs)), q_len), codes] = np.concatenate(qs["idf"].to_list())
+    def scorer(rows: pd.DataFrame, order: np.ndarray):
         lengths = rows["toks"].map(len).to_numpy()
-        out = np.full((len(qs), len(rows)), -np.inf)
-        places = pd.Index(vocab)
-        step = max(1, (32 << 20) // (8 * max(1, len(vocab))))  # rows of a term matrix of 32 MB
-        for a in range(0, len(rows), step):
-            part, dl = rows["toks"].iloc[a : a + step], lengths[a : a + step].astype(float)
-            if not dl.sum():
-                continue
-            at = places.get_indexer(np.concatenate([np.asarray(t, dtype=object) for t in part if len(t)]))
-            row = np.repeat(np.arange(len(part)), lengths[a : a + step])[at >= 0]
-            tf = np.bincount(row * len(vocab) + at[at >= 0], minlength=len(part) * len(vocab)).reshape(len(part), len(vocab)).astype(float)
-            norm = tf + k1 * (1.0 - b + b * dl / avgdl)[:, None]
-            s = weights @ (tf * (k1 + 1.0) / norm).T
-            out[:, a : a + step] = np.where(s > 0, s, -np.inf)
-        return out
-
-    left, right = grid(docs, asked, key_col, index_rows=2048, query_rows=512)
-    return top_of_cells(left, right, key_col, k, score_tile, lambda rows: 24 * len(rows))
+
+        def score(qs: pd.DataFrame) -> np.ndarray:
+            q_len = qs["terms"].map(len).to_numpy()
+            flat = np.concatenate([np.asarray(t, dtype=object) for t in qs["terms"]])
+            codes, vocab = pd.factorize(flat)
+            weights = np.zeros((len(qs), len(vocab)))
+            weights[np.repeat(np.arange(len(qs)), q_len), codes] = np.concatenate(qs["idf"].to_list())
+            out = np.full((len(qs), len(rows)), -np.inf)
+            places = pd.Index(vocab)
+            step = max(1, (32 << 20) // (8 * max(1, len(vocab))))  # rows of a term matrix of 32 MB
+            for a in range(0, len(rows), step):
+                part, dl = rows["toks"].iloc[a : a + step], lengths[a : a + step].astype(float)
+                if not dl.sum():
+                    continue
+                at = places.get_indexer(np.concatenate([np.asarray(t, dtype=object) for t in part if len(t)]))
+                row = np.repeat(np.arange(len(part)), lengths[a : a + step])[at >= 0]
+                tf = np.bincount(row * len(vocab) + at[at >= 0], minlength=len(part) * len(vocab)).reshape(len(part), len(vocab)).astype(float)
+                norm = tf + k1 * (1.0 - b + b * dl / avgdl)[:, None]
+                s = weights @ (tf * (k1 + 1.0) / norm).T
+                out[:, a : a + step] = np.where(s > 0, s, -np.inf)
+            return out
+
+        return score
+
+    n_asked = asked.count()
+    left, right = grid(docs, asked, key_col, max(1, -(-n_docs // 2048)), max(1, -(-n_asked // 512)))
+    return top_of_cells(left, right, key_col, k, scorer)
 
 
 def keyword_search(index: DataFrame, queries: DataFrame, k: int = 5, key_col: str = "chunk_id", text_col: str = "chunk") -> DataFrame:
@@ -100,12 +105,26 @@ def vectorize_query(queries: DataFrame, dims: int, text_col: str = "query_text",
     return queries.withColumn(out_col, hashed_embedding(F.col(text_col), dims))
 
 
-def unit_rows(df: DataFrame, key_col: str, vec_col: str) -> DataFrame:
-    """``(key, u)``: vectors scaled to length one; null, empty, zero and non-finite vectors are left out."""
+def directed_rows(df: DataFrame, key_col: str, vec_col: str, out_col: str = "u") -> DataFrame:
+    """``(key, u, u_norm)``: vectors as stored with their length; null, empty, zero and non-finite ones are left out."""
     norm = F.sqrt(F.aggregate(F.col(vec_col), F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double")))
-    with_norm = df.select(key_col, F.col(vec_col).cast("array<double>").alias("u"), norm.alias("vector_norm"))
-    kept = with_norm.where(F.col("u").isNotNull() & (F.col("vector_norm") > 0) & (F.col("vector_norm") < float("inf")))
-    return kept.select(key_col, F.transform("u", lambda v: v / F.col("vector_norm")).alias("u"))
+    with_norm = df.select(key_col, F.col(vec_col).alias(out_col), norm.alias(f"{out_col}_norm"))
+    n = F.col(f"{out_col}_norm")
+    return with_norm.where(F.col(out_col).isNotNull() & (n > 0) & (n < float("inf")))
+
+
+def unit_matrix(part: pd.DataFrame, col: str) -> np.ndarray:
+    """The vectors of ``directed_rows`` scaled to length one, a row each."""
+    return np.stack(part[col].to_numpy()).astype(np.float64) / part[f"{col}_norm"].to_numpy()[:, None]
+
+
+def vector_blocks(rows: DataFrame, asked: DataFrame, k: int) -> tuple[int, int]:
+    """Numbers of index and query blocks for two frames of ``directed_rows``, from counts and vector lengths."""
+    seen = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("u")).alias("dims")).first()  # one row
+    dims = seen["dims"] or 1
+    most = max(1024, SIDE_BYTES // (8 * dims))
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    return block_counts(seen["n"], asked.count(), most, most, k, 4 * dims + 64, tasks)
 
 
 def vector_scores(
@@ -119,20 +138,25 @@ def vector_scores(
 ) -> DataFrame:
     """Exact cosine candidates: for each query, a superset of its top-``k`` from every index block.
 
-    Vectors are scaled to unit length where they are stored, so a cell is one matrix product in tiles of a fixed
-    number of bytes.  A query or row without a direction (null or zero vector) takes no part.
+    Vectors travel as stored, with their length; a cell scales them to unit length and is one matrix product in
+    tiles of a fixed number of bytes.  A query or row without a direction (null or zero vector) takes no part.
     """
-    rows = unit_rows(index, key_col, vec_col)
-    asked = unit_rows(queries, "query_id", qvec_col).withColumnRenamed("u", "q")
+    rows = directed_rows(index, key_col, vec_col)
+    asked = directed_rows(queries, "query_id", qvec_col, "q")
+
+    def scorer(part: pd.DataFrame, order: np.ndarray):
+        units, keys = unit_matrix(part, "u").T, part[key_col].to_numpy()
+
+        def score(qs: pd.DataFrame) -> np.ndarray:
+            s = unit_matrix(qs, "q") @ units
+            if exclude_self:
+                leave_out_self(s, qs["query_id"].to_numpy(), keys, order)
+            return s
 
-    def score_tile(qs: pd.DataFrame, part: pd.DataFrame) -> np.ndarray:
-        s = np.stack(qs["q"].to_numpy()) @ np.stack(part["u"].to_numpy()).T
-        if exclude_self:
-            s[qs["query_id"].to_numpy()[:, None] == part[key_col].to_numpy()[None, :]] = -np.inf
-        return s
+        return score
 
-    left, right = grid(rows, asked, key_col)
-    return top_of_cells(left, right, key_col, k, score_tile, lambda part: 24 * len(part))
+    left, right = grid(rows, asked, key_col, *vector_blocks(rows, asked, k))
+    return top_of_cells(left, right, key_col, k, scorer)
 
 
 def knn_search(

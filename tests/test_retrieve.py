@@ -169,3 +169,26 @@ def test_empty_inputs_give_empty_results(spark):
     vidx = spark.createDataFrame([("a", [1.0, 0.0])], "chunk_id string, text_vector array<float>")
     vq = spark.createDataFrame([], "query_id long, query_vector array<float>")
     assert R.knn_search(vidx, vq, k=3).count() == 0
+
+
+def test_blocks_grow_with_the_bytes_of_a_side_not_with_its_rows():
+    from kestrel.operators.blocks import block_counts
+
+    for n in (12_000, 120_000):  # copies of a row: as many at ten times the rows
+        n_i, n_j = block_counts(n, n, 65_536, 65_536, 50, 320, 24)
+        assert n_i + n_j <= 26 and n_i * n_j >= 24
+    n_i, n_j = block_counts(720_000, 720_000, 65_536, 65_536, 50, 320, 24)
+    assert max(n_i, n_j) <= 11
+    assert block_counts(1_000_000, 200, 65_536, 65_536, 50, 320, 24)[1] == 1  # few queries: only they are copied
+
+
+def test_ann_sends_a_query_once_per_block_of_lists(spark):
+    from kestrel.operators.ann import knn_ann
+
+    emb = spark.read.parquet(f"{SF_CHECK}/embeddings.parquet")
+    q = emb.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    got = knn_ann(emb, q, k=10, n_lists=40, probe_share=1.0, exclude_self=True).select("query_id", "vec_id", "rank")
+    want = R.knn_search(emb, q, k=10, key_col="vec_id", vec_col="embedding", exclude_self=True).select("query_id", "vec_id", "rank")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "list_id" in plan and "lists" in plan  # no probe table joined with blocks

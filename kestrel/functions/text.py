@@ -9,6 +9,8 @@ one vectorised ``numpy.bincount`` per batch.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -32,6 +34,18 @@ def tokens(col) -> Column:
     return F.filter(F.split(F.lower(_c(col)), TOKEN_SPLIT), lambda t: t != F.lit(""))
 
 
+def term_counts(toks: Column) -> Column:
+    """``(terms, tfs)``: the distinct tokens of a text and how often each occurs, within its row (no shuffle)."""
+    schema = T.StructType([T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("tfs", T.ArrayType(T.IntegerType()))])
+
+    @F.pandas_udf(schema)
+    def count(texts: pd.Series) -> pd.DataFrame:
+        found = [Counter(() if t is None else t.tolist()) for t in texts]
+        return pd.DataFrame({"terms": [list(c) for c in found], "tfs": [list(c.values()) for c in found]}, columns=["terms", "tfs"])
+
+    return count(toks)
+
+
 def page_count(text, size: int = PAGE_LENGTH, overlap: int = PAGE_OVERLAP) -> Column:
     """Number of windows: ``max(1, ceil((len - overlap) / (size - overlap)))``."""
     step = size - overlap

@@ -1,6 +1,6 @@
 """Retrieval as a named SQL function: ``search_knowledge_base(query)`` -> the best passages.
 
-The function is a Spark SQL table function over a stored inverted index: postings with the passage length, a
+The function is a Spark SQL table function over a stored index: the postings of each passage with its length, a
 weight per term, and the passages (text, title, source URL), written as Parquet under the shared scratch
 folder.  Called with ``LATERAL`` for a table of queries, it becomes one distributed plan.  Its ``LIMIT``
 becomes a limit per query, which Spark applies in every task before the shuffle by query.
@@ -13,41 +13,46 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.functions.text import tokens
-from kestrel.session import materialize, scratch_path
+from kestrel.functions.text import term_counts, tokens
+from kestrel.session import materialize
+
+#: Chunks whose scores one task sums (for all queries at once).
+PART_CHUNKS = 4096
 
 
 def build_postings(index: DataFrame, key_col: str = "chunk_id", text_col: str = "chunk") -> DataFrame:
-    """Postings ``(chunk_id, dl, term, tf)`` of the chunk index; a chunk without tokens keeps one row
-    with a null term, so the postings alone describe every chunk (count and lengths).
+    """The postings of the chunk index, those of a chunk in one row: ``(chunk_id, dl, terms, tfs)``; a chunk without
+    tokens keeps its row, so the postings alone describe every chunk (count and lengths).
 
-    The chunk rows (not the exploded tokens) are hash-partitioned by key, so counting per
-    (chunk, term) needs no second exchange; counts are partially aggregated per task."""
+    Only the texts are dealt out by key, so that rows of one key and length count as one chunk; terms are
+    counted within the row and no posting is shuffled."""
     docs = index.select(key_col, text_col).repartition(key_col).select(key_col, tokens(F.col(text_col)).alias("toks"))
-    exploded = docs.select(key_col, F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
-    return exploded.groupBy(key_col, "dl", "term").agg(F.count("term").alias("tf"))
+    merged = docs.groupBy(key_col, F.size("toks").alias("dl")).agg(F.flatten(F.collect_list("toks")).alias("toks"))
+    return merged.select(key_col, "dl", term_counts(F.col("toks")).alias("c")).select(key_col, "dl", "c.terms", "c.tfs")
 
 
 def store_inverted_index(spark: SparkSession, index: DataFrame, key_col: str = "chunk_id", text_col: str = "chunk", passage_cols: tuple[str, ...] = ("chunk", "title", "source_url"),
                          k1: float = 1.2, b: float = 0.75) -> dict[str, str]:
-    """Write the postings once (the text is tokenised only here), derive the weight of every posting from the
-    written table, store them with the passages, and register both as temp views."""
+    """Write the postings once (the text is tokenised only here), derive the weight of every term from the written
+    table, store both with the passages, and register them as temp views.  The view of the postings deals
+    chunks to tasks, so that the scores of a chunk are summed where its postings are read."""
     tag = uuid.uuid4().hex[:8]
     stored = materialize(build_postings(index, key_col, text_col), "kb-postings")
-    stats = stored.groupBy(key_col, "dl").agg(F.lit(1).alias("one")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()  # one row
+    stats = stored.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()  # one row
     n, avgdl = stats["n"], float(stats["avgdl"] or 0.0)
-    terms = stored.where(F.col("term").isNotNull())
-    dfreq = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    tf = F.col("tf").cast("double")
+    dfreq = stored.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1.0 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * tf * F.lit(k1 + 1.0) / (tf + F.lit(k1) * (1.0 - F.lit(b) + F.lit(b) * F.col("dl") / F.lit(avgdl)))
-    weighted = terms.join(dfreq, "term").select(F.col(key_col).alias("chunk_id"), "term", weight.alias("weight"))
-    path = scratch_path(spark, "kb-weights")
-    weighted.repartition(F.xxhash64("chunk_id")).sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+    terms = materialize(dfreq.select("term", idf.alias("idf")), "kb-terms")
+    parts = max(spark.sparkContext.defaultParallelism, -(-n // PART_CHUNKS))
+    dealt = stored.select(F.col(key_col).alias("chunk_id"), "dl", F.arrays_zip("terms", "tfs").alias("p")).repartition(parts, "chunk_id")
+    tf = F.col("p.tfs").cast("double")
+    weight = tf * F.lit(k1 + 1.0) / (tf + F.lit(k1) * (1.0 - F.lit(b) + F.lit(b) * F.col("dl") / F.lit(avgdl)))
+    postings = dealt.select("chunk_id", "dl", F.explode("p").alias("p")).select("chunk_id", F.col("p.terms").alias("term"), weight.alias("weight"))
     passages = materialize(index.select(F.col(key_col).alias("chunk_id"), *passage_cols), "kb-passages")
-    views = {"postings": f"kb_postings_{tag}", "passages": f"kb_passages_{tag}"}
-    spark.read.parquet(path).createOrReplaceTempView(views["postings"])
+    views = {"postings": f"kb_postings_{tag}", "passages": f"kb_passages_{tag}", "terms": f"kb_terms_{tag}"}
+    postings.createOrReplaceTempView(views["postings"])
     passages.createOrReplaceTempView(views["passages"])
+    terms.createOrReplaceTempView(views["terms"])
     return views
 
 
@@ -72,9 +77,11 @@ RETURN
 SELECT r.chunk_id, d.chunk, d.title, d.source_url, round(r.score, 6), CAST(r.rank AS INT) FROM (
   SELECT chunk_id, score, row_number() OVER (ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM (
     SELECT chunk_id, score FROM (
-      SELECT p.chunk_id, sum(p.weight) AS score
-      FROM (SELECT explode(array_distinct(filter(split(lower(query), {split}), t -> t <> ''))) AS term) qt
-      JOIN {views["postings"]} p ON p.term = qt.term
+      SELECT /*+ BROADCAST(a) */ p.chunk_id, sum(a.idf * p.weight) AS score
+      FROM (SELECT qt.term, t.idf
+            FROM (SELECT explode(array_distinct(filter(split(lower(query), {split}), t -> t <> ''))) AS term) qt
+            JOIN {views["terms"]} t ON t.term = qt.term) a
+      JOIN {views["postings"]} p ON p.term = a.term
       GROUP BY p.chunk_id)
     ORDER BY round(score, 6) DESC, chunk_id LIMIT {top})) r
 JOIN {views["passages"]} d ON d.chunk_id = r.chunk_id

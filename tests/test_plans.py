@@ -54,3 +54,13 @@ def test_chunking_and_keys_are_narrow(spark):
     plan = _plan(fx.chunks(spark, SF_SMALL))
     assert "Generate posexplode" in plan
     assert "Exchange" not in plan
+
+
+def test_search_function_sums_scores_where_postings_are_read(spark):
+    from kestrel.operators import kb_function as KB
+
+    fn = KB.register_search_function(spark, KB.store_inverted_index(spark, fx.chunks(spark, SF_SMALL)))
+    plan = _plan(KB.search_with_function(spark, fx.benchmark_queries(spark, SF_SMALL, vectors=False), fn))
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "chunk_id" in line.split("plan_id")[0]]
+    assert any("REPARTITION_BY_NUM" in line for line in dealt)
+    assert not any("query_text" in line for line in dealt)  # no exchange by query and chunk

@@ -22,39 +22,43 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.functions.text import tokens
+from kestrel.functions.text import term_counts, tokens
 from kestrel.operators.blocks import SCORE_DECIMALS
 from kestrel.session import materialize
 
 BLOCK = 128
-PART_CHUNKS = 100_000
+PART_CHUNKS = 32_768
 SLACK = 2e-6  # scores are ranked after rounding to 6 decimals, so near-ties with the floor must stay
 
 
 @dataclass
 class Postings:
     """A stored index: ``blocks`` (term, part, block, largest, n, chunks, impacts), ``terms`` (term, df, largest) and
-    ``chunks`` (chunk, key, terms, impacts), with the number of chunks and the name of the key column."""
+    ``chunks`` (chunk, key, terms, tfs, norm), with the number of chunks, the name of the key column and BM25's k1."""
 
     blocks: DataFrame
     terms: DataFrame
     chunks: DataFrame
     n_chunks: int
     key_col: str
+    k1: float
 
 
 def build_postings(index: DataFrame, key_col: str = "chunk_id", text_col: str = "chunk", k1: float = 1.2, b: float = 0.75) -> Postings:
     """Tokenise and store the index.  Chunks of any length and number; a chunk without tokens has no postings."""
     docs = index.select(key_col, tokens(F.col(text_col)).alias("toks")).withColumn("chunk", F.monotonically_increasing_id())
-    docs = materialize(docs, "postings-tokens")
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl")).first()  # one row
+    docs = docs.select("chunk", key_col, F.size("toks").alias("dl"), term_counts(F.col("toks")).alias("c"))
+    docs = materialize(docs.select("chunk", key_col, "dl", "c.terms", "c.tfs"), "postings-chunks")
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()  # one row
     n, avgdl = stats["n"], float(stats["avgdl"] or 1.0)
     norm = F.lit(k1) * (1.0 - b + b * F.col("dl") / avgdl)
-    tf = docs.select("chunk", F.size("toks").alias("dl"), F.explode("toks").alias("term")).groupBy("chunk", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    flat = materialize(tf.select("term", "chunk", (F.col("tf") * (k1 + 1.0) / (F.col("tf") + norm)).alias("impact")), "postings-flat")
+    impact = lambda tf: tf * (k1 + 1.0) / (tf + norm)
 
+    # Chunks are dealt out by part with their counts packed; their postings are unpacked, ranked and put in blocks there.
     parts = max(1, -(-n // PART_CHUNKS))
-    ranked = flat.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int"))
+    part = F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int").alias("part")
+    dealt = docs.select("chunk", "dl", F.arrays_zip("terms", "tfs").alias("p"), part).repartition(parts, "part")
+    ranked = dealt.select("chunk", "dl", "part", F.explode("p").alias("p")).select("part", "chunk", F.col("p.terms").alias("term"), impact(F.col("p.tfs")).alias("impact"))
     nth = F.row_number().over(Window.partitionBy("term", "part").orderBy(F.desc("impact"), "chunk"))
     ranked = ranked.withColumn("block", ((nth - 1) / BLOCK).cast("int"))
     entry = F.array_sort(F.collect_list(F.struct((-F.col("impact")).alias("fall"), "chunk")))  # at most BLOCK
@@ -62,9 +66,8 @@ def build_postings(index: DataFrame, key_col: str = "chunk_id", text_col: str =
     blocks = blocks.select("term", "part", "block", "largest", "n", F.col("e.chunk").alias("chunks"), F.transform("e.fall", lambda x: -x).alias("impacts"))
     blocks = materialize(blocks, "postings-blocks")
     terms = materialize(blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("largest").alias("largest")), "postings-terms")
-    own = flat.groupBy("chunk").agg(F.collect_list(F.struct("term", "impact")).alias("t"))  # the terms of one chunk
-    chunks = materialize(docs.select("chunk", key_col).join(own.select("chunk", F.col("t.term").alias("terms"), F.col("t.impact").alias("impacts")), "chunk"), "postings-chunks")
-    return Postings(blocks, terms, chunks, n, key_col)
+    chunks = docs.where(F.size("terms") > 0).select("chunk", key_col, "terms", "tfs", norm.alias("norm"))
+    return Postings(blocks, terms, chunks, n, key_col, k1)
 
 
 def query_terms(p: Postings, queries: DataFrame, k: int) -> DataFrame:
@@ -83,7 +86,10 @@ def exact_scores(p: Postings, asked: DataFrame, pairs: DataFrame) -> DataFrame:
     """(query_id, chunk, key, score) of (query_id, chunk) pairs, from the chunks' own term lists."""
     per_query = asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("q"))  # the terms of one query
     joined = pairs.join(p.chunks, "chunk").join(per_query, "query_id")
-    score = "aggregate(q, 0D, (s, x) -> s + x.idf * coalesce(try_element_at(impacts, nullif(cast(array_position(terms, x.term) as int), 0)), 0D))"
+    # A token of the query that the chunk lacks has no place among its terms: tf is null, its share nothing.
+    tf = "try_element_at(tfs, nullif(cast(array_position(terms, x.term) as int), 0))"
+    held = f"filter(transform(q, x -> struct(x.idf as idf, {tf} as tf)), x -> x.tf is not null)"
+    score = f"aggregate({held}, 0D, (s, x) -> s + x.idf * (x.tf * {p.k1 + 1.0}D / (x.tf + norm)))"
     return joined.select("query_id", "chunk", p.key_col, F.expr(score).alias("score"))
 
 

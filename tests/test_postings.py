@@ -78,3 +78,22 @@ def test_empty_index_and_queries(spark, corpus):
     none = spark.createDataFrame([], "chunk_id string, chunk string")
     assert postings.search(postings.build_postings(none), asked, 5).collect() == []
     assert postings.search(postings.build_postings(index), asked.limit(0), 5).collect() == []
+
+
+def test_counts_of_a_text_stay_in_its_row(spark, corpus):
+    """Postings are packed per chunk: no posting is a row of a shuffle before its part is put in blocks."""
+    from pyspark.sql import functions as F
+
+    from kestrel.functions.text import term_counts, tokens
+    from kestrel.operators import kb_function as KB
+
+    df = spark.createDataFrame([("b a B",), ("",), (None,)], "s string").select(term_counts(tokens("s")).alias("c"))
+    assert [tuple(map(tuple, r["c"])) for r in df.collect()] == [(("b", "a"), (2, 1)), ((), ()), ((), ())]
+    chunks, _, index, _ = corpus
+    packed = KB.build_postings(index)
+    assert packed.columns == ["chunk_id", "dl", "terms", "tfs"] and packed.count() == len(chunks)
+    twice = KB.build_postings(index.unionByName(index)).where("chunk_id = 'copy1'").first()
+    assert sorted(zip(twice["terms"], twice["tfs"])) == [("w200", 2), ("w201", 2), ("w202", 2)] and twice["dl"] == 3
+    p = postings.build_postings(index)
+    assert p.chunks.count() == len(chunks) - 2 and "tfs" in p.chunks.columns
+    assert p.blocks.agg(F.sum("n")).first()[0] == p.chunks.agg(F.sum(F.size("terms"))).first()[0]

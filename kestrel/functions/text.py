@@ -2,17 +2,19 @@
 
 All of these are built-in Spark SQL functions composed into one expression, so they run
 inside whole-stage codegen (or the interpreted higher-order-function path) without a
-Python worker.  The only Python here is the Arrow-batched bucket counter used by the
-hashed embedder, which turns a per-row array of bucket ids into a dense unit vector with
-one vectorised ``numpy.bincount`` per batch.
+Python worker.  The only Python here counts tokens, an Arrow batch at a time: a batch's tokens become
+codes of its distinct tokens, so what is done per token is vectorised and what needs its text (a hash, a
+lookup) is done once per distinct token.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from hashlib import md5
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,7 @@ TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 PAGE_LENGTH = 2000
 PAGE_OVERLAP = 500
 KEY_HEX_CHARS = 12
+VECTOR_ROWS = 1024  # vectors that are counted together
 
 
 def _c(col) -> Column:
@@ -34,14 +37,36 @@ def tokens(col) -> Column:
     return F.filter(F.split(F.lower(_c(col)), TOKEN_SPLIT), lambda t: t != F.lit(""))
 
 
-def term_counts(toks: Column) -> Column:
-    """``(terms, tfs)``: the distinct tokens of a text and how often each occurs, within its row (no shuffle)."""
+def encoded(toks: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """A batch of token arrays as the number of tokens of each (null: none), all tokens as codes, and the distinct tokens."""
+    lengths = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    found = toks.flatten().dictionary_encode(null_encoding="encode")
+    return lengths, found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+
+
+def list_array(rows: np.ndarray, n: int, values: pa.Array) -> pa.Array:
+    """``n`` lists of ``values``, whose (rising) places are ``rows``."""
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=n)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+def term_counts(toks: Column, only: Broadcast | None = None) -> Column:
+    """``(terms, tfs)``: the distinct tokens of a text and how often each occurs, within its row (no shuffle); with
+    ``only``, a shared set, the tokens in it."""
     schema = T.StructType([T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("tfs", T.ArrayType(T.IntegerType()))])
 
-    @F.pandas_udf(schema)
-    def count(texts: pd.Series) -> pd.DataFrame:
-        found = [Counter(() if t is None else t.tolist()) for t in texts]
-        return pd.DataFrame({"terms": [list(c) for c in found], "tfs": [list(c.values()) for c in found]}, columns=["terms", "tfs"])
+    @F.arrow_udf(schema)
+    def count(toks: pa.Array) -> pa.Array:
+        lengths, codes, distinct = encoded(toks)
+        rows, n_distinct = np.repeat(np.arange(len(lengths)), lengths), max(1, len(distinct))
+        if only is not None:
+            held = only.value
+            kept = np.fromiter((t in held for t in distinct.to_pylist()), bool, len(distinct))[codes]
+            rows, codes = rows[kept], codes[kept]
+        pairs, tfs = np.unique(rows * n_distinct + codes, return_counts=True)
+        terms = distinct.take(pa.array(pairs % n_distinct)).cast(pa.string())
+        at = pairs // n_distinct
+        return pa.StructArray.from_arrays([list_array(at, len(lengths), terms), list_array(at, len(lengths), pa.array(tfs.astype(np.int32)))], ["terms", "tfs"])
 
     return count(toks)
 
@@ -85,44 +110,37 @@ def hash_bucket(token: Column, dims: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint"), F.lit(dims))
 
 
-def token_buckets(toks: Column, dims: int) -> Column:
-    return F.transform(toks, lambda t: hash_bucket(t, dims))
-
-
 def _bucket_counter(dims: int):
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def to_unit_vector(buckets: pd.Series) -> pd.Series:
-        n = len(buckets)
-        if n == 0:
-            return pd.Series([], dtype=object)
-        lengths = np.fromiter((0 if b is None else len(b) for b in buckets), dtype=np.int64, count=n)
-        flat = (
-            np.concatenate([np.asarray(b, dtype=np.int64) for b in buckets if b is not None and len(b)])
-            if lengths.sum()
-            else np.zeros(0, dtype=np.int64)
-        )
-        rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
-        counts = np.bincount(rows * dims + flat, minlength=n * dims).reshape(n, dims).astype(np.float64)
-        norms = np.sqrt((counts * counts).sum(axis=1))
-        safe = np.where(norms > 0, norms, 1.0)
-        unit = (counts / safe[:, None]).astype(np.float32)
-        return pd.Series(list(unit))
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def to_unit_vector(toks: pa.Array) -> pa.Array:
+        lengths, codes, distinct = encoded(toks)
+        n = len(lengths)
+        buckets = np.fromiter((int.from_bytes(md5(t.encode()).digest()[:4], "big") % dims for t in distinct.to_pylist()), np.int64, len(distinct))[codes]
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        units = np.zeros((n, dims), np.float32)
+        for a in range(0, n, VECTOR_ROWS):
+            b = min(n, a + VECTOR_ROWS)
+            rows = np.repeat(np.arange(b - a), lengths[a:b])
+            counts = np.bincount(rows * dims + buckets[ends[a] : ends[b]], minlength=(b - a) * dims).reshape(b - a, dims).astype(np.float64)
+            norms = np.sqrt((counts * counts).sum(axis=1))
+            units[a:b] = counts / np.where(norms > 0, norms, 1.0)[:, None]
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dims), pa.array(units.reshape(-1)))
 
     return to_unit_vector
 
 
 def hashed_embedding(text, dims: int) -> Column:
-    """Unit-length hashed term-count vector (float32) of ``dims`` buckets.
+    """Unit-length hashed term-count vector (float32) of ``dims`` buckets (those of ``hash_bucket``).
 
-    Tokens and bucket ids are computed JVM-side; counting and normalising happen in one
-    Arrow batch at a time.  A text without tokens maps to the zero vector.
+    Tokens are computed JVM-side; a bucket is computed once per distinct token of an Arrow batch.  A text
+    without tokens maps to the zero vector.
     """
     return hashed_tokens(tokens(text), dims)
 
 
 def hashed_tokens(toks: Column, dims: int) -> Column:
     """``hashed_embedding`` of a text whose tokens are at hand."""
-    return _bucket_counter(dims)(token_buckets(toks, dims))
+    return _bucket_counter(dims)(toks)
 
 
 # The named HTML entities that are decoded (``&amp;`` last, so that nothing is decoded twice).

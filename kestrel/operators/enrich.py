@@ -2,12 +2,14 @@
 
 The whole build is one lazy plan.  Chunking, keys, projection of parent fields and the
 hashed embedder are narrow (no shuffle): a document's pages are produced by ``posexplode``
-on the row that holds the document.  Entity tagging joins the n-grams of the chunks with the gazetteer
-and regroups the matches by chunk; only matches are shuffled.
+on the row that holds the document.  Entity tagging of tokens at hand is narrow too while the gazetteer is
+bounded; else it joins the n-grams of the chunks with the gazetteer and regroups the matches by chunk.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,12 +18,18 @@ from kestrel.functions.text import (
     PAGE_OVERLAP,
     base64url,
     chunk_key,
+    encoded,
     hash_bucket,
     hashed_embedding,
     hashed_tokens,
+    list_array,
     page_windows,
     tokens,
 )
+from kestrel.session import materialize
+
+SHARED_BYTES = 4 * 1024 * 1024  # of gazetteer terms and names that tasks are sent
+
 
 def non_blank(text: Column) -> Column:
     return text.isNotNull() & (F.trim(text) != F.lit(""))
@@ -97,15 +105,18 @@ def extract_locations(
     of words matches the same run of words in any spelling of case; a term with several canonical
     names gives all of them.  A chunk without a match keeps its row with an empty array.
 
-    One path for every size of gazetteer: the distinct n-grams, of the lengths that the gazetteer has, are joined
-    with it and the matches regrouped by chunk.  The join strategy is left to the planner, which knows
-    the gazetteer's size in bytes.
+    Where the tokens are at hand (``toks_col``) and the gazetteer has at most ``SHARED_BYTES``, chunks are tagged in the
+    task that reads them, and no chunk is shuffled.  Else the distinct n-grams, of the lengths that the gazetteer has, are
+    joined with it and the matches regrouped by chunk, by a strategy left to the planner.  Either way rows of one
+    key share their tags, and rows without a key have none.
     """
     gaz = gazetteer.select(tokens(F.col("term")).alias("t"), "canonical").where((F.size("t") > 0) & F.col("canonical").isNotNull())
     gaz = gaz.select(F.array_join("t", " ").alias("term"), F.size("t").alias("n"), "canonical").distinct()
     lengths = sorted(r["n"] for r in gaz.select("n").distinct().collect())  # different lengths of terms: a handful
     if not lengths:
         return chunks.withColumn(out_col, F.array().cast("array<string>"))
+    if toks_col and gaz.agg(F.sum((F.octet_length("term") + F.octet_length("canonical")).cast("long")).alias("b")).first()["b"] <= SHARED_BYTES:
+        return _tagged(chunks, [(r["term"], r["canonical"]) for r in gaz.select("term", "canonical").collect()], key_col, out_col, toks_col)
     toks = chunks.select(key_col, (F.col(toks_col) if toks_col else tokens(F.col(text_col))).alias("toks"))
     grams = F.array_distinct(F.concat(*[ngrams(F.col("toks"), n) for n in lengths]))
     found = toks.select(key_col, F.explode(grams).alias("term")).join(gaz.select("term", "canonical"), "term")
@@ -113,6 +124,65 @@ def extract_locations(
     return chunks.join(tags, key_col, "left").withColumn(out_col, F.coalesce("tag_names", F.array().cast("array<string>"))).drop("tag_names")
 
 
+def _tagged(chunks: DataFrame, names: list[tuple[str, str]], key_col: str, out_col: str, toks_col: str) -> DataFrame:
+    """``extract_locations`` by a trie of the terms' words that every task has; ``names``: (term, canonical) pairs."""
+    canonical = sorted({c for _, c in names}, key=str.encode)
+    number = {c: i for i, c in enumerate(canonical)}
+    ids: dict[str, int] = {}
+    for term, _ in names:
+        for w in term.split(" "):
+            ids.setdefault(w, len(ids))
+    n_words, child, ending = len(ids), {}, [set()]
+    for term, c in names:
+        state = 0
+        for w in term.split(" "):
+            key = state * n_words + ids[w]
+            if key not in child:
+                child[key] = len(ending)
+                ending.append(set())
+            state = child[key]
+        ending[state].add(number[c])
+    keys = np.array(sorted(child), np.int64)
+    targets = np.array([child[k] for k in keys.tolist()], np.int64)
+    starts = np.cumsum([0] + [len(e) for e in ending])  # the names of a state s: held[starts[s] : starts[s + 1]]
+    held = np.array([c for e in ending for c in e], np.int64)
+    shared = chunks.sparkSession.sparkContext.broadcast((ids, keys, targets, starts, held, canonical))
+
+    @F.arrow_udf("array<string>")
+    def tag(toks: pa.Array) -> pa.Array:
+        ids, keys, targets, starts, held, canonical = shared.value
+        lengths, codes, distinct = encoded(toks)
+        word = np.fromiter((ids.get(t, -1) for t in distinct.to_pylist()), np.int64, len(distinct))[codes]
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        at = np.flatnonzero(word >= 0)
+        state, found = np.zeros(len(at), np.int64), [np.zeros(0, np.int64)]
+        while len(at):  # one more word each time: the runs of words that begin a term
+            key = state * len(ids) + word[at]
+            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            there = keys[place] == key
+            at, state = at[there], targets[place[there]]
+            n = starts[state + 1] - starts[state]
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            found.append(np.repeat(row[at], n) * len(canonical) + held[np.repeat(starts[state], n) + nth])
+            on = np.flatnonzero(at + 1 < len(word))
+            on = on[(row[at[on] + 1] == row[at[on]]) & (word[at[on] + 1] >= 0)]
+            at, state = at[on] + 1, state[on]
+        pairs = np.unique(np.concatenate(found))  # numbers of names are in the order of the names
+        values = pa.array(canonical, pa.string()).take(pa.array(pairs % len(canonical)))
+        return list_array(pairs // len(canonical), len(lengths), values)
+
+    none = F.array().cast("array<string>")
+    tagged = chunks.withColumn(out_col, F.when(F.col(key_col).isNotNull(), tag(F.col(toks_col))).otherwise(none))
+    mark = F.xxhash64(key_col).alias("mark")
+    marks = chunks.where(F.col(key_col).isNotNull()).groupBy(mark).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    marks = materialize(marks.select("mark"), "repeated-keys")  # usually none
+    if marks.isEmpty():
+        return tagged
+    again = tagged.where(F.col(key_col).isNotNull()).withColumn("mark", mark).join(marks, "mark", "left_semi").select(key_col, F.explode(out_col).alias("name"))
+    again = again.groupBy(key_col).agg(F.array_sort(F.collect_set("name")).alias("all_names"))
+    return tagged.join(again, key_col, "left").withColumn(out_col, F.coalesce("all_names", out_col)).drop("all_names")
+
+
 def embed_request_batches(
     df: DataFrame,
     key_col: str = "chunk_id",

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from kestrel.functions.text import hashed_embedding, tokens
 from kestrel.operators import enrich
 from kestrel.operators.postings import Postings, build_postings
-from kestrel.session import materialize as store
 from kestrel.session import read_table, scratch_path
 from kestrel.sources import io
 
@@ -87,12 +86,9 @@ def chunk_index(
     (the keyword path never reads the vectors), and the lineage back to the documents is cut.
     """
     idx = chunks(spark, sf_dir, extra)
-    if locations and vectors:  # tokenised once: tags and vectors read the stored tokens
-        idx = store(idx.withColumn("chunk_toks", tokens(F.col("chunk"))), "chunk-tokens")
-        idx = enrich.extract_locations(idx, gazetteer(spark, sf_dir), toks_col="chunk_toks")
-        idx = enrich.embed_text(idx, dims=DIMS, toks_col="chunk_toks").drop("chunk_toks")
-    elif locations:
-        idx = enrich.extract_locations(idx, gazetteer(spark, sf_dir))
+    if locations:  # tokenised once, in the pass that makes the tags and the vectors
+        idx = enrich.extract_locations(idx.withColumn("chunk_toks", tokens(F.col("chunk"))), gazetteer(spark, sf_dir), toks_col="chunk_toks")
+        idx = (enrich.embed_text(idx, dims=DIMS, toks_col="chunk_toks") if vectors else idx).drop("chunk_toks")
     elif vectors:
         idx = enrich.embed_text(idx, dims=DIMS)
     if not materialize:

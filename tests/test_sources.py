@@ -133,3 +133,32 @@ def test_upsert_leaves_no_stale_chunks(spark):
     changed = spark.createDataFrame([("d1",), ("d2",), ("d4",)], "parent_id string")  # d1's text is blank now, d2 was deleted
     got = io.index_upsert(current, updates, changed=changed)
     assert sorted(tuple(r) for r in got.collect()) == [("d3", "d3-0", "kept"), ("d4", "d4-0", "new")]
+
+
+def test_tokens_at_hand_are_tagged_without_a_shuffle_as_by_the_join(spark):
+    from kestrel.functions.text import tokens
+
+    rows = [
+        ("c1", "The Ice Sheet near Sea Surface"), ("c2", "nothing"), ("c3", "ice ice sheet"), ("c4", "New York-City hall is open; new york"), ("c5", None),
+        (None, "sea surface"), ("c7", "sea"), ("c7", "ice sheet"), ("c8", "ice"), ("c9", "sheet of ice"), ("c10", ""),
+    ]
+    chunks = spark.createDataFrame(rows, "chunk_id string, chunk string").repartition(2)
+    gaz = spark.createDataFrame(
+        [("ice sheet", "Ice Sheet"), ("Sea surface", "Sea Surface"), ("sea", "\u00e9tang"), ("sea", "Sea"), ("sea", "\U0001f30a"), ("sea", "\uffee"), ("new york city hall", "City Hall"), ("york", "York"), (None, "none")],
+        "term string, canonical string",
+    )
+    with_toks = chunks.withColumn("toks", tokens("chunk"))
+    names = lambda df: sorted(((r["chunk_id"] or "", r["chunk"] or "", r["locations"]) for r in df.collect()), key=str)
+    want = names(enrich.extract_locations(chunks, gaz))
+    assert names(enrich.extract_locations(with_toks, gaz, toks_col="toks")) == want
+    assert ("", "sea surface", []) in want and ("c7", "sea", ["Ice Sheet", "Sea", "\u00e9tang", "\uffee", "\U0001f30a"]) in want
+    plan = enrich.extract_locations(spark.range(20).selectExpr("cast(id as string) as chunk_id", "array('sea') as toks"), gaz, toks_col="toks")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_one_pass_tokenises_for_tags_and_vectors(spark):
+    from kestrel.plans import fixtures as fx
+    from tests.conftest import SF_SMALL
+
+    plan = fx.chunk_index(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("ArrowEvalPython") == 1

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.functions.text import hashed_embedding, tokens
+from kestrel.functions.text import hashed_embedding, term_counts, tokens
 from kestrel.operators.blocks import SCORE_DECIMALS, SIDE_BYTES, block_counts, grid, leave_out_self, top_of_cells
 from kestrel.session import materialize
 
@@ -30,16 +30,25 @@ def rank_within(df: DataFrame, group: str, key: str, score: str, k: int | None,
 
 # --------------------------------------------------------------------------- keyword (BM25)
 
-def tokenised(index: DataFrame, key_col: str = "chunk_id", text_col: str = "chunk") -> DataFrame:
-    """``(key, toks)`` of the index, written once: statistics, document frequencies and scores read it."""
-    return materialize(index.select(key_col, tokens(F.col(text_col)).alias("toks")), "chunk-tokens")
+VOCABULARY_BYTES = 4 * 1024 * 1024  # of query terms that tasks are sent
+
+
+def counted(index: DataFrame, queries: DataFrame, key_col: str = "chunk_id", text_col: str = "chunk") -> DataFrame:
+    """``(key, dl, terms, tfs)`` of the index, written once: the number of tokens of a chunk, and its distinct tokens with
+    their counts.  Of those only the ones that a query has, where the queries' terms are ``VOCABULARY_BYTES`` at most."""
+    asked = materialize(queries.select(F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term")).distinct(), "asked-terms")
+    size = asked.agg(F.coalesce(F.sum(F.octet_length("term").cast("long")), F.lit(0)).alias("b")).first()["b"]
+    only = index.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in asked.collect())) if size <= VOCABULARY_BYTES else None
+    docs = index.select(key_col, tokens(F.col(text_col)).alias("toks"))
+    docs = docs.select(key_col, F.size("toks").alias("dl"), term_counts(F.col("toks"), only).alias("c"))
+    return materialize(docs.select(key_col, "dl", "c.terms", "c.tfs"), "chunk-counts")
 
 
 def weighted_terms(docs: DataFrame, queries: DataFrame, n_docs: int) -> DataFrame:
     """``(query_id, terms, idf)``: the distinct terms of each query that occur in the index, with weights
     ``ln(1 + (N - df + 0.5) / (df + 0.5))``.  A query without such a term has no row."""
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term"))
-    seen = docs.select(F.explode(F.array_distinct("toks")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    seen = docs.select(F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     dfreq = seen.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1.0 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = asked.join(dfreq, "term").select("query_id", F.struct("term", idf.alias("idf")).alias("t"))
@@ -52,17 +61,17 @@ def keyword_candidates(index: DataFrame, queries: DataFrame, k: int, key_col: st
     """BM25 scores of the chunks that can be among the best ``k`` of a query: at most a few times ``k``
     rows per query and index block leave a block.
 
-    The index is tokenised once.  A block turns its chunks into a matrix of term weights over the vocabulary of
+    The index is tokenised once, and counts of the queries' terms are all that moves.  A block turns its chunks into a matrix of term weights over the vocabulary of
     its queries and multiplies it with the queries' weights, so a term in a third of all chunks
     costs a column, not rows.
     """
-    docs = tokenised(index, key_col, text_col)
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl")).first()  # one row
+    docs = counted(index, queries, key_col, text_col)
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()  # one row
     n_docs, avgdl = stats["n"], float(stats["avgdl"] or 0.0)
     asked = materialize(weighted_terms(docs, queries, n_docs), "query-terms")
 
     def scorer(rows: pd.DataFrame, order: np.ndarray):
-        lengths = rows["toks"].map(len).to_numpy()
+        held, lengths = rows["terms"].map(len).to_numpy(), rows["dl"].to_numpy()
 
         def score(qs: pd.DataFrame) -> np.ndarray:
             q_len = qs["terms"].map(len).to_numpy()
@@ -74,12 +83,13 @@ def keyword_candidates(index: DataFrame, queries: DataFrame, k: int, key_col: st
             places = pd.Index(vocab)
             step = max(1, (32 << 20) // (8 * max(1, len(vocab))))  # rows of a term matrix of 32 MB
             for a in range(0, len(rows), step):
-                part, dl = rows["toks"].iloc[a : a + step], lengths[a : a + step].astype(float)
-                if not dl.sum():
+                part, n, dl = rows.iloc[a : a + step], held[a : a + step], lengths[a : a + step].astype(float)
+                if not n.sum():
                     continue
-                at = places.get_indexer(np.concatenate([np.asarray(t, dtype=object) for t in part if len(t)]))
-                row = np.repeat(np.arange(len(part)), lengths[a : a + step])[at >= 0]
-                tf = np.bincount(row * len(vocab) + at[at >= 0], minlength=len(part) * len(vocab)).reshape(len(part), len(vocab)).astype(float)
+                at = places.get_indexer(np.concatenate([np.asarray(t, dtype=object) for t in part["terms"]]))
+                row, tfs = np.repeat(np.arange(len(part)), n)[at >= 0], np.concatenate(part["tfs"].to_list())[at >= 0]
+                tf = np.zeros((len(part), len(vocab)))
+                tf[row, at[at >= 0]] = tfs
                 norm = tf + k1 * (1.0 - b + b * dl / avgdl)[:, None]
                 s = weights @ (tf * (k1 + 1.0) / norm).T
                 out[:, a : a + step] = np.where(s > 0, s, -np.inf)
@@ -87,12 +97,8 @@ def keyword_candidates(index: DataFrame, queries: DataFrame, k: int, key_col: st
 
         return score
 
-    n_asked = asked.count()
-    blocks = max(1, -(-n_docs // 2048)), 1
-    if n_asked > 512:  # many queries: larger blocks, so that the tokens of a chunk are copied less often
-        tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
-        blocks = block_counts(n_docs, n_asked, 8192, 8192, k, 2500, tasks)
-    left, right = grid(docs, asked, key_col, *blocks)
+    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    left, right = grid(docs, asked, key_col, *block_counts(n_docs, asked.count(), 8192, 8192, k, 2500, tasks))
     return top_of_cells(left, right, key_col, k, scorer)
 
 
@@ -193,7 +199,8 @@ def hybrid_candidates(index: DataFrame, queries: DataFrame, k_each: int = 50, rr
     """Fused keyword + vector candidates (each list cut at ``k_each``), unranked."""
     kw = keyword_search(index, queries, k_each, key_col)
     vec = knn_search(index, queries, k_each, key_col)
-    return fuse_rankings(kw, vec, key_col=key_col, rrf_k=rrf_k)
+    # Stored, so that the planner knows how few they are when they meet the index fields.
+    return materialize(fuse_rankings(kw, vec, key_col=key_col, rrf_k=rrf_k), "fused")
 
 
 def hybrid_search(index: DataFrame, queries: DataFrame, top: int = 5, k_each: int = 50, rrf_k: int = 60, key_col: str = "chunk_id") -> DataFrame:
@@ -266,7 +273,7 @@ def rerank_candidates(cands: DataFrame, index: DataFrame, queries: DataFrame, de
     ``cands``: ``(query_id, chunk_id, score)``.  Only ``depth`` rows per query reach the
     joins with the index fields and the query text.
     """
-    first = rank_within(cands, "query_id", key_col, "score", depth).drop("rank")
+    first = materialize(rank_within(cands, "query_id", key_col, "score", depth).drop("rank"), "first-stage")
     fields = index.select(key_col, "title", "locations", "chunk")
     joined = first.join(fields, key_col).join(queries.select("query_id", "query_text"), "query_id")
     return joined.select(

@@ -10,7 +10,7 @@ from kestrel.operators import retrieve as R
 from kestrel.plans import fixtures as fx
 from kestrel.plans import oracle_sql as O
 from kestrel.plans.registry import query
-from kestrel.session import read_table
+from kestrel.session import materialize, read_table
 
 
 def _sql_lit(s: str) -> str:
@@ -44,7 +44,7 @@ _HITS_SQL = [
 def _hits(spark, sf_dir):
     idx = fx.chunk_index(spark, sf_dir, materialize=True)
     queries = fx.benchmark_queries(spark, sf_dir)
-    top = R.hybrid_search(idx, queries, top=5)
+    top = materialize(R.hybrid_search(idx, queries, top=5), "hits")
     return top.join(idx.select("chunk_id", "title", "chunk", "locations"), "chunk_id"), queries
 
 

@@ -192,3 +192,16 @@ def test_ann_sends_a_query_once_per_block_of_lists(spark):
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "list_id" in plan and "lists" in plan  # no probe table joined with blocks
+
+
+def test_only_counts_of_the_queries_terms_are_stored_and_no_bound_changes_hits(spark, monkeypatch):
+    docs = spark.createDataFrame([("a", "sea ice sea"), ("b", "ice floe"), ("c", "land"), ("d", "")], "chunk_id string, chunk string")
+    queries = spark.createDataFrame([(1, "sea ice"), (2, "floe sea"), (3, "none")], "query_id long, query_text string")
+    held = {r["chunk_id"]: (r["dl"], dict(zip(r["terms"], r["tfs"]))) for r in R.counted(docs, queries).collect()}
+    assert held == {"a": (3, {"sea": 2, "ice": 1}), "b": (2, {"ice": 1, "floe": 1}), "c": (1, {}), "d": (0, {})}
+    hits = lambda: sorted(map(tuple, R.keyword_search(docs, queries, k=2).collect()))
+    want = hits()
+    assert [h[:2] for h in want] == [(1, "a"), (1, "b"), (2, "a"), (2, "b")]
+    monkeypatch.setattr(R, "VOCABULARY_BYTES", 0)
+    assert R.counted(docs, queries).where("chunk_id = 'c'").first()["terms"] == ["land"]
+    assert hits() == want

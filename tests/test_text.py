@@ -94,3 +94,12 @@ def test_html_comments_and_entities(spark):
     df = spark.createDataFrame([(k,) for k in cases], "h string")
     got = {r["h"]: r["t"] for r in df.select("h", TX.html_text(F.col("h")).alias("t")).collect()}
     assert got == cases
+
+
+def test_counts_of_chosen_tokens(spark):
+    from kestrel.functions.text import term_counts
+
+    df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["c"]), (5, ["a"])], "id int, toks array<string>").coalesce(1)
+    counts = lambda only: {r["id"]: dict(zip(r["c"]["terms"], r["c"]["tfs"])) for r in df.select("id", term_counts(F.col("toks"), only).alias("c")).collect()}
+    assert counts(None) == {1: {"a": 1, "b": 2}, 2: {}, 3: {}, 4: {"c": 1}, 5: {"a": 1}}
+    assert counts(spark.sparkContext.broadcast(frozenset(["b", "x"]))) == {1: {"b": 2}, 2: {}, 3: {}, 4: {}, 5: {}}

@@ -7,24 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kestrel.session import materialize, table_path
-
-#: Rows of an Arrow batch handed to Python.  Whole texts travel in these batches, so Spark's default of
-#: 10,000 rows would be gigabytes for long documents.
-ARROW_ROWS = 256
-#: And their bytes, for batches of very long texts (a batch holds one row at least).
-ARROW_BYTES = 8 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch length to ``ARROW_ROWS`` and ``ARROW_BYTES`` unless it already has lower ones.
-
-    The setting stays: it is read when a returned (lazy) result is computed."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
-        now = spark.conf.get(key).removesuffix("b")
-        if not (now.isdigit() and 0 < int(now) <= most):
-            spark.conf.set(key, str(most))
-
+from kestrel.session import ARROW_BYTES, ARROW_ROWS, bounded_batches, materialize, table_path  # noqa: F401
 
 def tidied(batches: Iterator) -> Iterator:
     """The batches; now and then, and after the last one, memory that Python and Arrow hold free goes back to the system.

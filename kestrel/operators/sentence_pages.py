@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.text import PAGE_LENGTH, PAGE_OVERLAP
 from kestrel.operators.enrich import non_blank
-from kestrel.session import materialize
+from kestrel.session import bounded_batches, materialize
 
 # Fixed values of the published method: probability of a period after an abbreviation, and the least score of one.
 PERIOD_AFTER_ABBREVIATION = 0.99
@@ -139,6 +139,7 @@ def sentence_pages(docs: DataFrame, text_col: str = "content", size: int = PAGE_
     """
     if not 0 <= overlap < size:
         raise ValueError("the overlap is shorter than a page")
+    bounded_batches(docs.sparkSession)  # a batch of texts and its pages are in a worker's memory
     learned = frozenset(r["word"] for r in abbreviations(docs, text_col).select("word").collect())  # at most 1 / MIN_SHARE words
     shared = docs.sparkSession.sparkContext.broadcast(learned)
 

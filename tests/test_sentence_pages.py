@@ -129,3 +129,21 @@ def test_query_keeps_whole_texts_and_cuts_fewer_sentences(spark):
         cut += sum(e not in starts and e < len(text) for _, _, e, _ in pages)
         fixed += sum(e not in starts for e in range(2000, len(text), 1500))
     assert fixed > 50 and cut < fixed / 4
+
+
+def test_batches_of_whole_texts_are_bounded(spark):
+    from kestrel.session import ARROW_BYTES, ARROW_ROWS
+
+    from kestrel.operators.sentence_pages import sentence_pages
+
+    docs = spark.createDataFrame([(i, "One. " * 3) for i in range(1000)], "doc_id long, content string").coalesce(1)
+    make = lambda: sentence_pages(docs)
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        spark.conf.set(names[0], "10000"), spark.conf.unset(names[1])
+        assert make().count() == 1000
+        assert int(spark.conf.get(names[0])) <= ARROW_ROWS and int(spark.conf.get(names[1]).removesuffix("b")) <= ARROW_BYTES
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.session import materialize
+from kestrel.session import bounded_batches, materialize
 
 # Fixed values of HTML: the elements that begin and end a block, those whose end is implied by the next of their kind,
 # and those whose content is not text of the page.
@@ -159,6 +159,7 @@ def main_text(
     A host has at most ``blocks a page / min_share`` repeated blocks.  Counts are combined before they are shuffled; a host with a third of
     all pages is looked up through salted copies of its repeated blocks, and pages are put together again by a stored row number.
     """
+    bounded_batches(pages.sparkSession)  # a batch of pages and its blocks are in a worker's memory
     host = F.regexp_extract(F.lower(F.col(url_col)), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
     parsed = blocks_of(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("address"), host.alias("host"), F.col(html_col).alias("page")), "page")
     has_title = F.get("blocks", F.lit(0))["kind"] == "title"

@@ -135,3 +135,21 @@ def test_edge_rows(spark):
     assert content[3, "https://User@Hot.example:80/3"] == ("text 3\nshared", 1)
     assert content[50, "http://copies.example/"] == ("Home\nthe same page", 0) and content[60, "http://one.example/x"] == ("Home", 0)
     assert hb.main_text(df.limit(0)).collect() == []
+
+
+def test_batches_of_whole_texts_are_bounded(spark):
+    from kestrel.session import ARROW_BYTES, ARROW_ROWS
+
+    from kestrel.sources.html_blocks import main_text
+
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>text {i}") for i in range(1000)], "page_id long, url string, html string").coalesce(1)
+    make = lambda: main_text(pages)
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        spark.conf.set(names[0], "10000"), spark.conf.unset(names[1])
+        assert make().count() == 1000
+        assert int(spark.conf.get(names[0])) <= ARROW_ROWS and int(spark.conf.get(names[1]).removesuffix("b")) <= ARROW_BYTES
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)

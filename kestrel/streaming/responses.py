@@ -44,10 +44,11 @@ def _above_watermark(condition: Column, time_col: str) -> Column:
 class ResponseGatherer(StatefulProcessor):
     """Per response: its deltas, one map entry each, until it is complete or has been idle for too long.
 
-    A new delta writes one small entry, not the response so far.  When the completed event and all deltas before
-    it have come, the text is emitted and the deltas are dropped; a mark stays until the timer, so events that
-    come again do not begin the response anew.  When the timer fires first, what has come is emitted as unfinished.
-    Either way nothing of the response is left afterwards.
+    A new delta writes one small entry, not the response so far, and only if the response is still open after the batch
+    that brings it; earlier entries are asked for only where there are any.  When the completed event and all
+    deltas before it have come, the text is emitted and the deltas are dropped; a mark stays until the timer, so
+    events that come again do not begin the response anew.  When the timer fires first, what has come is
+    emitted as unfinished.  Either way nothing of the response is left afterwards.
     """
 
     def __init__(self, idle_ms: int, key: str):
@@ -60,8 +61,8 @@ class ResponseGatherer(StatefulProcessor):
         self.meta = handle.getValueState("meta", T.StructType(fields))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        total, held, timer, done = self.meta.get() if self.meta.exists() else (None, 0, None, False)
-        last = 0
+        total, stored, timer, done = self.meta.get() or (None, 0, None, False)
+        last, new = 0, {}
         for part in rows:
             for seq, completed, delta, at in zip(part["seq"], part["completed"], part["delta"], part["at"]):
                 last = max(last, int(at))
@@ -69,13 +70,17 @@ class ResponseGatherer(StatefulProcessor):
                     continue
                 if completed:
                     total = int(seq)
-                elif not self.deltas.containsKey((int(seq),)):
-                    self.deltas.updateValue((int(seq),), (delta if isinstance(delta, str) else "",))
-                    held += 1
+                elif int(seq) not in new and not (stored and self.deltas.containsKey((int(seq),))):
+                    new[int(seq)] = delta if isinstance(delta, str) else ""
+        held = stored + len(new)
         if not done and total is not None and held >= total:
-            yield self._row(key, held, True)
-            self.deltas.clear()
+            yield self._row(key, held, True, new, stored > 0)
+            if stored:
+                self.deltas.clear()
             done = True
+        elif not done:
+            for seq, delta in new.items():
+                self.deltas.updateValue((seq,), (delta,))
         due = max(last, timer - self.idle_ms if timer else 0) + self.idle_ms
         if due != timer:
             if timer:
@@ -84,15 +89,16 @@ class ResponseGatherer(StatefulProcessor):
         self.meta.update((total, held, due, done))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.meta.exists():
-            _, held, _, done = self.meta.get()
+        found = self.meta.get()
+        if found:
+            _, held, _, done = found
             if not done:
-                yield self._row(key, held, False)
-        self.deltas.clear()
+                yield self._row(key, held, False, {}, held > 0)
+                self.deltas.clear()
         self.meta.clear()
 
-    def _row(self, key, held: int, completed: bool) -> pd.DataFrame:
-        found = sorted((k[0], v[0]) for k, v in self.deltas.iterator())
+    def _row(self, key, held: int, completed: bool, new: dict[int, str], stored: bool) -> pd.DataFrame:
+        found = sorted([*((k[0], v[0]) for k, v in self.deltas.iterator()), *new.items()] if stored else new.items())
         return pd.DataFrame({self.key: [key[0]], "n_deltas": [held], "text": ["".join(t or "" for _, t in found)], "completed": [completed]})
 
     def close(self) -> None:

@@ -61,15 +61,16 @@ def document_container_scan(spark, sf_dir):
     """``documents`` written as a container of text files, three documents to a file at most, and scanned back:
     one row per file with its whole content and name."""
     from kestrel.session import read_table, scratch_path
-    from kestrel.sources.io import scan_text_files
+    from kestrel.sources.io import scan_text_files, write_text_files, written_name
 
     path = scratch_path(spark, "container")
     docs = read_table(spark, sf_dir, "documents").where("text is not null")
     groups = docs.groupBy(F.expr("doc_id div 3").alias("g")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("d"))  # at most three each
-    groups.select(F.concat(F.lit("group-"), F.col("g").cast("string")).alias("name"), F.array_join("d.text", "\n").alias("value")).write.partitionBy("name").text(path)
+    name = F.coalesce(F.concat(F.lit("group-"), F.col("g").cast("string")), F.lit("__HIVE_DEFAULT_PARTITION__"))  # of documents without an id, as Spark's writer has it
+    write_text_files(groups.select(name.alias("name"), F.array_join("d.text", "\n").alias("value")), path)
     rows = scan_text_files(spark, path)
-    name = F.concat(F.regexp_extract("source_url", "name=([^/]+)/", 1), F.lit(".txt"))
-    return rows.select("content", name.alias("file_name"), F.size(F.split("content", "\n")).cast("long").alias("n_lines"))
+    file_name = F.concat(written_name(F.col("source_url")), F.lit(".txt"))
+    return rows.select("content", file_name.alias("file_name"), F.size(F.split("content", "\n")).cast("long").alias("n_lines"))
 
 
 _HTML_ENT = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&nbsp;", " "), ("&#39;", "''"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")]

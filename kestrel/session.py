@@ -172,6 +172,23 @@ def spread(df, key: str | None = None):
     return df.repartition(parallelism, key) if key else df.repartition(parallelism)
 
 
+# Bytes of a partition that ``gather`` makes out of those of small files.
+GATHER_BYTES = 32 * 1024 * 1024
+
+
+def gather(df):
+    """Join the partitions of a scan of many small files, which Spark fills as if each file had megabytes.
+
+    Their rows stay where they are read (no shuffle).  Four partitions a core are left, or as many as have
+    ``GATHER_BYTES`` each; the size comes from the optimizer's statistics, as in ``spread``.
+    """
+    least = 4 * df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() <= least:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(max(least, size // GATHER_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread_small_scans: bool = True):
     df = spark.read.parquet(table_path(sf_dir, name))
     return spread(df) if spread_small_scans else df

@@ -7,14 +7,19 @@ from __future__ import annotations
 
 import csv
 import io as io_text
+import os
+import re
 import uuid
+import zlib
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.functions.text import html_text, html_title
-from kestrel.session import materialize
+from kestrel.session import bounded_batches, gather, materialize
 from kestrel.sources.csv_splits import csv_records
 
 # The declared chunk-index schema (field order as declared).
@@ -124,17 +129,76 @@ def file_manifest(spark: SparkSession, prefix: str, glob: str = "*", recursive:
 
 # --------------------------------------------------------------------------- documents
 
+# A pattern of names that no compression codec claims: the files' bytes are their text.
+_PLAIN_NAMES = re.compile(r".*[.](txt|md|html?|json)")
+
+
 def scan_text_files(spark: SparkSession, path: str, glob: str = "*.txt", recursive: bool = True) -> DataFrame:
-    """A container of text files -> one row per file: ``content, file_name, source_url``."""
+    """A container of text files -> one row per file: ``content, file_name, source_url``.
+
+    Files that are not compressed by their names are read with the ``binaryFile`` source: the whole-text one copies
+    the Hadoop configuration for every file, one at a time in a process, which is most of the work for small files.
+    """
     reader = spark.read.option("pathGlobFilter", glob)
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
-    df = reader.text(path, wholetext=True)
-    return df.select(
-        F.col("value").alias("content"),
+    if _PLAIN_NAMES.fullmatch(glob):
+        df, text = reader.format("binaryFile").load(path), F.col("content").cast("string")
+    else:
+        df, text = reader.text(path, wholetext=True), F.col("value")
+    rows = df.select(
+        text.alias("content"),
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_path").alias("source_url"),
     )
+    return gather(rows)
+
+
+#: Folders that the files of a container are dealt over by name, so that they are listed side by side.
+CONTAINER_FOLDERS = 64
+
+
+def _file_writer(folder: str):
+    """For ``mapInArrow``: a file under ``folder`` for every row ``(name, value)``; counts the files."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                parent = os.path.join(folder, f"{zlib.crc32(name.encode()) % CONTAINER_FOLDERS:02d}")
+                os.makedirs(parent, exist_ok=True)
+                part = os.path.join(parent, f".{uuid.uuid4().hex}")
+                with open(part, "wb") as f:
+                    f.write(value)
+                os.replace(part, os.path.join(parent, f"name={name}.txt"))  # not hidden, whatever the name begins with
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    return write
+
+
+def write_text_files(df: DataFrame, path: str) -> None:
+    """A text file for every row ``(name, value)`` of ``df`` under the new folder ``path``: the value and a line end.
+    Names come once and are of ASCII letters, digits and ``._-``; ``written_name`` has them back from a file's address.
+
+    Where ``path`` is in the machines' own file system (a shared folder mounted on each), the tasks write the files
+    themselves, under a hidden name first: Hadoop's local file system would start a process to set the mode of every
+    file, and the committer move them one by one in the driver.  In any other store Spark's writer makes them.
+    """
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri()
+    if at.getScheme() != "file":
+        df.select("name", "value").write.partitionBy("name").text(path)
+        return
+    bounded_batches(spark)
+    folder = str(at.getPath())
+    os.makedirs(folder)
+    files = df.select("name", F.concat(F.coalesce("value", F.lit("")), F.lit("\n")).cast("binary").alias("value"))
+    files.mapInArrow(_file_writer(folder), "n long").agg(F.sum("n")).collect()
+
+
+def written_name(source_url: Column) -> Column:
+    """The name that ``write_text_files`` was given for the file at ``source_url``."""
+    return F.regexp_extract(source_url, "/name=([^/]+?)(?:[.]txt|/part-[^/]*)$", 1)
 
 
 def document_identity(docs: DataFrame, base_url: str = "https://store.example/") -> DataFrame:

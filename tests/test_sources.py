@@ -1,10 +1,13 @@
 """Sources and sinks: text-file containers, CSV inference, index key checks, request batching, dims."""
 
+import glob
+import gzip
 import json
 import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from kestrel.operators import enrich
 from kestrel.sources import io
@@ -34,6 +37,61 @@ def test_scan_text_files_reads_whole_markdown(spark):
     assert len(chunks) == 1 and chunks[0]["chunk"] == MARKDOWN
 
 
+CONTAINER = [("group-1", "one\ntwo\r\nthree "), ("group-2", ""), ("group-3", None), ("part-4", "größe \U0001f600\n"), ("_b.c", "\ufefftext")]
+
+
+def _container(spark, path):
+    io.write_text_files(spark.createDataFrame(CONTAINER, "name string, value string"), path)
+    rows = io.scan_text_files(spark, path).select("content", io.written_name(F.col("source_url")).alias("name")).collect()
+    return sorted((r["name"], r["content"]) for r in rows)
+
+
+def test_text_files_round_trip(spark):
+    path = tempfile.mkdtemp(prefix="kestrel-container-") + "/box"
+    assert _container(spark, "file://" + path) == sorted((n, (v or "") + "\n") for n, v in CONTAINER)
+    assert sorted(f for _, _, files in os.walk(path) for f in files) == sorted(f"name={n}.txt" for n, _ in CONTAINER)  # no temporary ones
+
+
+def test_text_files_round_trip_in_another_store(spark):
+    top = tempfile.mkdtemp(prefix="kestrel-store-")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.kestrel-store.link./box", f"file://{top}")
+    assert _container(spark, "viewfs://kestrel-store/box/c") == sorted((n, (v or "") + "\n") for n, v in CONTAINER)
+
+
+def test_scan_of_many_small_files_keeps_partitions_few(spark):
+    path = tempfile.mkdtemp(prefix="kestrel-many-") + "/box"
+    io.write_text_files(spark.range(1000).select(F.concat(F.lit("f"), "id").alias("name"), F.col("id").cast("string").alias("value")), path)
+    rows = io.scan_text_files(spark, path)
+    assert rows.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted(r["content"] for r in rows.collect()) == sorted(f"{i}\n" for i in range(1000))
+
+
+def test_scan_text_files_unpacks_compressed_ones(spark):
+    d = tempfile.mkdtemp(prefix="kestrel-gz-")
+    with gzip.open(os.path.join(d, "a.txt.gz"), "wb") as f:
+        f.write(MARKDOWN.encode())
+    assert [r["content"] for r in io.scan_text_files(spark, d, glob="*.gz").collect()] == [MARKDOWN]
+
+
+def test_container_query_makes_few_folders(spark):
+    """A folder for every file was what the committer and the listing spent their time on."""
+    from kestrel.plans.q_index import document_container_scan
+    from kestrel.session import scratch_root
+
+    d = tempfile.mkdtemp(prefix="kestrel-docs-")
+    docs = [(i, f"text {i}\nend") for i in range(600)] + [(1, "again"), (None, "no id"), (700, None), (701, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    root = scratch_root(spark).removeprefix("file:")
+    before = set(glob.glob(f"{root}/container-*"))
+    got = {r["file_name"]: (r["content"], r["n_lines"]) for r in document_container_scan(spark, d).collect()}
+    (box,) = set(glob.glob(f"{root}/container-*")) - before
+    want = {f"group-{g}.txt": ("".join(f"text {i}\nend\n" for i in range(3 * g, 3 * g + 3)), 7) for g in range(1, 200)}
+    want["group-0.txt"] = ("text 0\nend\nagain\ntext 1\nend\ntext 2\nend\n", 8)
+    want |= {"group-233.txt": ("\n", 2), "__HIVE_DEFAULT_PARTITION__.txt": ("no id\n", 2)}
+    assert got == want
+    assert sum(1 for _ in os.walk(box)) <= io.CONTAINER_FOLDERS + 1
+
+
 def test_csv_round_trip_with_inference(spark):
     d = tempfile.mkdtemp(prefix="kestrel-csv-")
     df = spark.createDataFrame([(1, "a", 2.5, None), (2, None, None, "x")], "id int, s string, v double, c string")

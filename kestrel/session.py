@@ -176,16 +176,16 @@ def spread(df, key: str | None = None):
 GATHER_BYTES = 32 * 1024 * 1024
 
 
-def gather(df):
-    """Join the partitions of a scan of many small files, which Spark fills as if each file had megabytes.
+def gather(df, scan):
+    """Join the partitions of ``df``, narrow columns of a scan of many small files, which Spark fills as if each file had megabytes.
 
     Their rows stay where they are read (no shuffle).  Four partitions a core are left, or as many as have
-    ``GATHER_BYTES`` each; the size comes from the optimizer's statistics, as in ``spread``.
+    ``GATHER_BYTES`` of the files each; the size of ``scan`` comes from the optimizer's statistics, as in ``spread``.
     """
     least = 4 * df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() <= least:
         return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.coalesce(max(least, size // GATHER_BYTES))
 
 

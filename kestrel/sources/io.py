@@ -151,7 +151,7 @@ def scan_text_files(spark: SparkSession, path: str, glob: str = "*.txt", recursi
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_path").alias("source_url"),
     )
-    return gather(rows)
+    return gather(rows, df)
 
 
 #: Folders that the files of a container are dealt over by name, so that they are listed side by side.

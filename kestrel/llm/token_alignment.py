@@ -1,16 +1,16 @@
 """Alignment of two tokenizers' tokens over the same bytes, and corpus counts of the linked ids.
 
-A is a byte-level BPE (tokenizers library), B a SentencePiece BPE (``piece_codec``).  Places where tokens
-of both end cut a text into groups; every A token is linked to every B token of its group.
+A is a byte-level BPE (tokenizers library), B a SentencePiece BPE (its library; long words by ``piece_codec``).  Places
+where tokens of both end cut a text into groups; every A token is linked to every B token of its group.
 
-Fast path.  Each id of A is mapped once to the id of B with the same bytes.  A group of one token each that
-the map foretells is *exact*: the A id alone says its link.  Exact links are counted in vectors as long as
-A's vocabulary, one per task, and their counts come back as such a vector.  Of the other, *irregular*,
-groups only links that the map does not say become (A id, B id) pairs, which are shuffled.
+Fast path.  Each id of A is mapped once to the id of B with the same bytes.  Of a link that the map says the A id
+is all that is kept.  Such links are counted in vectors as long as A's vocabulary, one per task, and their counts come
+back as such a vector.  Only the other links become (A id, B id) pairs, which are shuffled.
 
 Both tokenizers cut before a run of white space that begins with a blank, or with a line end or tab that is in no
-longer piece of B, so a text falls into words; a word's tokens do not depend on its neighbours and are
-remembered by each worker.
+longer piece of B, so a text falls into words; a word's tokens do not depend on its neighbours, and both tokenizers
+end one where it ends.  So groups lie within words, and each worker remembers what a word adds to a text: sizes,
+the digest's text and links.  A text is a sum over its words; only new words are encoded, many in a string.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm.common import materialize
-from kestrel.llm.piece_codec import BLANK, WALKED_TOGETHER, PieceEncoder
+from kestrel.llm.piece_codec import BLANK, WALKED_TOGETHER, PieceEncoder, decoder
 
-REMEMBERED = 150_000  # words that a worker keeps twice over, before it forgets (results do not depend on it)
+REMEMBERED = 150_000  # words that a worker keeps, those met last, when it has twice as many (results do not depend on it)
+TOGETHER = 100  # new words that are encoded in one string
+FILLER = "x"  # before such a string, in the place of the blank that B adds to a text
 SLICE = 1 << 20  # characters that are cut into words at once
 LINKS_AT_ONCE = 1 << 12
 SHIFT = 20  # a pair is (A id << SHIFT) + B id
@@ -67,12 +70,18 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different keys, ascending, and the sum of ``n`` of each."""
     if not len(keys):
         return keys, n
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     return keys[first], np.add.reduceat(n[order], first)
 
 
+def _ranges(start: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places start[r] to start[r + 1] of all these rows, one behind the other, and how many each has."""
+    n = start[rows + 1] - start[rows]
+    return np.arange(n.sum()) + np.repeat(start[rows] - (np.cumsum(n) - n), n), n
+
+
 class Aligner:
     def __init__(self, a_path: str, b_path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -109,40 +118,93 @@ class Aligner:
         lone = " " + "".join(c for c in "\n\t\r" if c not in inner)
         self.word = re.compile(rf"\s*\S+(?:[^\S{lone}]\s*\S*)*|\s+")
         self.word_end = re.compile(rf"(?<=\S)[{lone}]")
-        self._young: list[dict[str, bytes]] = [{}, {}]  # ids of A and of B by word: words met lately, and
-        self._old: list[dict[str, bytes]] = [{}, {}]  # those before
-        self._wrong: set[str] = set()  # words that A or B do not spell
+        self.library = decoder(b_path)
+        self.filler = len(self.library.encode(FILLER))
+        # What is known of words: the row of each, and by row the digest's text, the sizes, the last block that held the word
+        # and, from start[row] to start[row + 1], its links as pairs.
+        self._row: dict[str, int] = {}
+        self._shown: list[bytes] = []
+        self._sizes, self._met, self._start = np.zeros((0, 4), np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self._pairs = self._links = np.zeros(0, np.int64)
+        self._blocks = 0
 
     # -------------------------------------------------------------- words
 
-    def _ids(self, words: set[str]) -> list[dict[str, bytes]]:
-        """Ids of A and of B for all these words (and maybe for others)."""
-        if len(self._young[0]) > REMEMBERED:
-            self._old, self._young = self._young, [{}, {}]
-        young, old = self._young, self._old
-        new = words.difference(young[0])
-        again = [w for w in new if w in old[0]]
-        for to, known in zip(young, old):
-            to.update((w, known[w]) for w in again)
-        if not (new := list(new.difference(again))):
-            return young
-        got = [[np.array(e.ids, np.int32) for e in self.a.encode_batch_fast(new, add_special_tokens=False)], self.b.encode_words(new)]
-        sizes = np.array([len(w.encode()) for w in new])
-        raw = "".join(new).encode()
-        for ids, parts, lengths in zip(got, (self.a_bytes, self.b_bytes), (self.a_length, self.b_length)):
-            flat = np.concatenate(ids)
-            ends = np.concatenate(([0], np.cumsum(lengths[flat])))[np.cumsum([len(x) for x in ids])]
-            if not np.array_equal(ends, np.cumsum(sizes)) or b"".join([parts[i] for i in flat.tolist()]) != raw:
-                self._wrong.update(w for w, x in zip(new, ids) if b"".join([parts[i] for i in x.tolist()]) != w.encode())
-        long = {w for w in new if len(w) > WALKED_TOGETHER}
-        fresh = [{w: x.tobytes() for w, x in zip(new, ids)} for ids in got]
-        if not long:
-            for to, x in zip(young, fresh):
-                to.update(x)
-            return young
-        for to, x in zip(young, fresh):
-            to.update((w, v) for w, v in x.items() if w not in long)
-        return [{w: x[w] if w in x else to[w] for w in words} for to, x in zip(young, fresh)]
+    def _learn(self, words: list[str]) -> None:
+        """Adds a row for each of these new words; one that A or B does not spell gets no tokens and no groups."""
+        words, n_a, n_b, a, b = self._ids(words)
+        count, known = len(words), len(self._shown)
+        stop_a, stop_b = np.cumsum(n_a), np.cumsum(n_b)
+
+        # Groups: the tokens of A and of B up to a byte at which both end.
+        a_end, b_end = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
+        at = np.searchsorted(b_end, a_end)
+        last_a = np.flatnonzero(b_end[at] == a_end)
+        last_b = at[last_a]
+        first_a, first_b = (np.concatenate(([0], last + 1))[:-1] for last in (last_a, last_b))
+        in_a, in_b = last_a - first_a + 1, last_b - first_b + 1
+        part = np.searchsorted(stop_a, last_a, side="right")  # the word of each group
+        groups, links = (np.bincount(part, weights=w, minlength=count).astype(np.int64) for w in (None, in_a * in_b))
+
+        # The digest's text: tokens in order of group, side and place.
+        text = np.empty(len(a) + len(b), object)
+        shown_a, shown_b = self.a_inner[a], self.b_inner[b]
+        shown_a[last_a], shown_b[last_b] = self.a_last[a[last_a]], self.b_last[b[last_b]]
+        text[np.arange(len(a)) + np.repeat(first_b, in_a)] = shown_a
+        text[np.arange(len(b)) + np.repeat(last_a + 1, in_b)] = shown_b
+        text, stops = text.tolist(), (stop_a + stop_b).tolist()
+        self._shown += [b"".join(text[t0:t1]) for t0, t1 in zip([0, *stops], stops)]
+
+        step = np.int64(self.size) << SHIFT
+        owner, x, y, n = self._linked(a, b, first_a, first_b, in_a, in_b, part)
+        keys, n = _summed(owner * step + (x << SHIFT) + y, n)
+        owner, pairs = np.divmod(keys, step)
+        self._row.update(zip(words, range(known, known + count)))
+        self._sizes = np.concatenate((self._sizes, np.stack((n_a, n_b, groups, links), 1)))
+        self._met = np.concatenate((self._met, np.zeros(count, np.int64)))
+        self._start = np.concatenate((self._start, self._start[-1] + np.cumsum(np.bincount(owner, minlength=count))))
+        self._pairs, self._links = np.concatenate((self._pairs, pairs)), np.concatenate((self._links, n))
+
+    def _ids(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The words in another order, how many ids of A and of B each has, and these ids; none for a word not spelled."""
+        # Words that may follow each other in a text are encoded in strings of many.
+        plain = [w for w in words if len(w) <= WALKED_TOGETHER and not w[-1].isspace() and BLANK not in w]
+        alone = [w for w in words if len(w) > WALKED_TOGETHER or w[-1].isspace() or BLANK in w]
+        ends = np.cumsum([len(w.encode()) for w in plain])
+        strings = ["".join(plain[i : i + TOGETHER]) for i in range(0, len(plain), TOGETHER)]
+        ids = [
+            [e.ids for e in self.a.encode_batch_fast(strings, add_special_tokens=False)],
+            [self.library.encode(FILLER + s)[self.filler :] for s in strings],
+        ]
+        raw, sizes, flat = "".join(strings).encode(), [], []
+        for own, parts, lengths in zip(ids, (self.a_bytes, self.b_bytes), (self.a_length, self.b_length)):
+            own = np.fromiter(chain.from_iterable(own), np.int64)
+            stops = np.searchsorted(np.cumsum(lengths[own]), ends) + 1
+            if b"".join([parts[i] for i in own.tolist()]) != raw:  # some word is not spelled: find it
+                plain, alone, sizes, flat = [], words, [], []
+                break
+            sizes.append(np.diff(stops, prepend=0))
+            flat.append(own)
+        if not alone:
+            return plain, *sizes, *flat
+        ids = [[e.ids for e in self.a.encode_batch_fast(alone, add_special_tokens=False)], [x.tolist() for x in self.b.encode_words(alone)]]
+        for i, w in enumerate(alone):
+            if any(b"".join([parts[t] for t in own[i]]) != w.encode() for own, parts in zip(ids, (self.a_bytes, self.b_bytes))):
+                ids[0][i] = ids[1][i] = []
+        none = np.zeros(0, np.int64)
+        sizes = [np.concatenate((x, np.array(list(map(len, own)), np.int64))) for x, own in zip(sizes or (none, none), ids)]
+        flat = [np.concatenate((x, np.fromiter(chain.from_iterable(own), np.int64))) for x, own in zip(flat or (none, none), ids)]
+        return plain + alone, *sizes, *flat
+
+    def _keep(self, rows: np.ndarray) -> None:
+        """Forgets all words but those of these rows, which ascend."""
+        words = list(self._row)
+        self._row = {words[r]: i for i, r in enumerate(rows.tolist())}
+        self._shown = [self._shown[r] for r in rows.tolist()]
+        own, _ = _ranges(self._start, rows)
+        self._pairs, self._links = self._pairs[own], self._links[own]
+        self._start = np.concatenate(([0], np.cumsum(np.diff(self._start)[rows])))
+        self._sizes, self._met = self._sizes[rows], self._met[rows]
 
     # -------------------------------------------------------------- texts
 
@@ -168,73 +230,54 @@ class Aligner:
         return out
 
     def _align(self, block: list[list[str]], owners: list[Tally]) -> None:
-        words = set().union(*block)
-        known = self._ids(words)
-        if not self._wrong.isdisjoint(words):
-            for ws, tally in zip(block, owners):
-                if tally.spelled and not self._wrong.isdisjoint(ws):
-                    tally.refuse()
-            if len(self._wrong) > REMEMBERED:
-                self._wrong, self._young, self._old = set(), [{}, {}], [{}, {}]
-        keep = [i for i, tally in enumerate(owners) if tally.spelled]
-        block, owners = [block[i] for i in keep], [owners[i] for i in keep]
-        if not block:
-            return
-        raw_a, raw_b = ([b"".join(map(ids.__getitem__, ws)) for ws in block] for ids in known)
-        n_a, n_b = (np.array([len(x) // 4 for x in raw], np.int64) for raw in (raw_a, raw_b))
-        a, b = (np.frombuffer(b"".join(raw), np.int32).astype(np.int64) for raw in (raw_a, raw_b))
-        stop_a, stop_b = np.cumsum(n_a), np.cumsum(n_b)
-
-        # Groups: the tokens of A and of B up to a byte at which both end.
-        a_end, b_end = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
-        at = np.searchsorted(b_end, a_end)
-        last_a = np.flatnonzero(b_end[at] == a_end)
-        last_b = at[last_a]
-        first_a, first_b = np.concatenate(([0], last_a[:-1] + 1)), np.concatenate(([0], last_b[:-1] + 1))
-        in_a, in_b = last_a - first_a + 1, last_b - first_b + 1
-        part = np.searchsorted(stop_a, last_a, side="right")  # the slice of each group
-        groups, links = (np.bincount(part, weights=w, minlength=len(block)).astype(np.int64) for w in (None, in_a * in_b))
+        if new := set().union(*block).difference(self._row):
+            self._learn(sorted(new, key=lambda w: len(w) > WALKED_TOGETHER))
+        rows = list(map(self._row.__getitem__, chain.from_iterable(block)))
+        cuts = [0, *accumulate(map(len, block))]
+        row = np.array(rows, np.int64)
+        self._blocks += 1
+        self._met[row] = self._blocks
+        sizes = np.add.reduceat(self._sizes[row], cuts[:-1])
+        spelled = np.logical_and.reduceat(self._sizes[row, 2] > 0, cuts[:-1])  # a word that is not has no groups
+
+        # Links of a slice's different words, as keys slice * step + pair.
+        step, known = np.int64(self.size) << SHIFT, len(self._shown)
+        held, times = np.unique(np.repeat(np.arange(len(block)), np.diff(cuts)) * known + row, return_counts=True)
+        part, row = np.divmod(held, known)
+        own, n = _ranges(self._start, row)
+        keys, links = _summed(np.repeat(part, n) * step + self._pairs[own], np.repeat(times, n) * self._links[own])
+        part, pair = np.divmod(keys, step)
+        x = pair >> SHIFT
+        same = self.identity[x] == pair - (x << SHIFT)  # links that the map says
+        sides = [(part[w], key[w], links[w]) for w, key in ((same, x), (~same, pair))]
+        at = [np.searchsorted(p, np.arange(len(block) + 1)).tolist() for p, _, _ in sides]
 
-        # The digest's text: tokens in order of group, side and place.
-        text = np.empty(len(a) + len(b), object)
-        shown_a, shown_b = self.a_inner[a], self.b_inner[b]
-        shown_a[last_a], shown_b[last_b] = self.a_last[a[last_a]], self.b_last[b[last_b]]
-        text[np.arange(len(a)) + np.repeat(first_b, in_a)] = shown_a
-        text[np.arange(len(b)) + np.repeat(last_a + 1, in_b)] = shown_b
-        text = text.tolist()
-
-        # Links, as keys slice * step + A id, or + pair.
-        x, y = a[last_a], b[last_b]
-        exact = (in_a == 1) & (in_b == 1) & (self.identity[x] == y)
-        owner, x, y, n = self._irregular(a, b, first_a, first_b, in_a, in_b, part, ~exact, x, y)
-        same = self.identity[x] == y  # a link that the map says, though its group holds more
-        ones = np.ones(int(exact.sum()), np.int64)
-        mapped = _summed(np.concatenate((part[exact] * self.size + a[last_a][exact], owner[same] * self.size + x[same])), np.concatenate((ones, n[same])))
-        step = np.int64(self.size) << SHIFT
-        pairs = _summed(owner[~same] * step + (x[~same] << SHIFT) + y[~same], n[~same])
-        cuts = [np.searchsorted(keys, np.arange(len(block) + 1) * width) for (keys, _), width in ((mapped, self.size), (pairs, step))]
-
-        t0 = 0
         for i, tally in enumerate(owners):
-            t1 = int(stop_a[i] + stop_b[i])
-            own = []
-            for (keys, links_of), c, width in ((mapped, cuts[0], self.size), (pairs, cuts[1], step)):
-                own.append((keys[c[i] : c[i + 1]] - i * width, links_of[c[i] : c[i + 1]]))
-            tally.add(np.array([n_a[i], n_b[i], groups[i], links[i]]), b"".join(text[t0:t1])[:-1], *own)
-            t0 = t1
-
-    def _irregular(self, a, b, first_a, first_b, in_a, in_b, part, irregular, x, y):
-        """(slice, A id, B id, links) of the links of irregular groups.
+            if not spelled[i]:
+                tally.refuse()
+            elif tally.spelled:
+                text = b"".join(map(self._shown.__getitem__, rows[cuts[i] : cuts[i + 1]]))[:-1]
+                tally.add(sizes[i], text, *((key[c[i] : c[i + 1]], n[c[i] : c[i + 1]]) for (_, key, n), c in zip(sides, at)))
+
+        keep = np.arange(known)
+        if known > 2 * REMEMBERED:
+            keep = np.sort(np.argsort(-self._met, kind="stable")[:REMEMBERED])
+        if new and max(map(len, new)) > WALKED_TOGETHER:  # these came last
+            keep = keep[: np.searchsorted(keep, known - sum(len(w) > WALKED_TOGETHER for w in new))]
+        if len(keep) < known:
+            self._keep(keep)
+
+    def _linked(self, a, b, first_a, first_b, in_a, in_b, part):
+        """(word, A id, B id, links) of the links of groups.
 
         A group of many tokens is taken by its different ids, so that a long run of repeats stays small.
         """
         several = in_a * in_b
-        one = np.flatnonzero(irregular & (several == 1))
-        g = np.flatnonzero(irregular & (several > 1) & (several <= LINKS_AT_ONCE))
+        g = np.flatnonzero(several <= LINKS_AT_ONCE)
         times = several[g]
         of = np.repeat(g, times)
         nth = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
-        found = [(part[one], x[one], y[one], np.ones(len(one), np.int64)), (part[of], a[first_a[of] + nth // in_b[of]], b[first_b[of] + nth % in_b[of]], np.ones(len(of), np.int64))]
+        found = [(part[of], a[first_a[of] + nth // in_b[of]], b[first_b[of] + nth % in_b[of]], np.ones(len(of), np.int64))]
         for i in np.flatnonzero(several > LINKS_AT_ONCE).tolist():
             xs, n = np.unique(a[first_a[i] : first_a[i] + in_a[i]], return_counts=True)
             ys, m = np.unique(b[first_b[i] : first_b[i] + in_b[i]], return_counts=True)

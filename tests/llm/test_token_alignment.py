@@ -126,6 +126,52 @@ def test_slices_and_long_groups(monkeypatch):
         assert tally.sizes.tolist() == [sum(len(x) for x, _ in gs), sum(len(y) for _, y in gs), len(gs), sum(links.values())]
 
 
+class Counted:
+    """A tokenizer that notes the strings it is given."""
+
+    def __init__(self, own):
+        self.own, self.strings = own, []
+
+    def encode_batch_fast(self, strings, **kw):
+        self.strings += strings
+        return self.own.encode_batch_fast(strings, **kw)
+
+
+def test_new_words_are_encoded_together_and_once():
+    r = random.Random(7)
+    own = token_alignment.Aligner(A_PATH, B_PATH)
+    own.a = counted = Counted(own.a)
+    words = sorted({"".join(r.choice("etaoinshr") for _ in range(r.randrange(2, 9))) for _ in range(2000)})
+    texts = [" ".join(r.choices(words, k=400)) for _ in range(30)]
+    first = own.documents(texts)
+    assert len(counted.strings) <= len(words) / 50
+    counted.strings.clear()
+    again = own.documents(texts[::-1])[::-1]
+    assert not counted.strings
+    for t, x, y in zip(texts, first, again):
+        gs = groups_of(t)
+        assert x.sizes.tolist() == y.sizes.tolist() == [sum(len(a) for a, _ in gs), sum(len(b) for _, b in gs), len(gs), sum(len(a) * len(b) for a, b in gs)]
+        shown = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in gs)
+        assert x.digest.hexdigest() == y.digest.hexdigest() == hashlib.sha256(shown.encode()).hexdigest()
+
+
+def test_only_words_that_are_not_spelled():
+    own = token_alignment.Aligner(A_PATH, B_PATH)
+    for _ in range(2):
+        assert [(x.spelled, x.sizes.tolist(), x.digest) for x in own.documents(["a▁b", "▁", None])] == [(False, [0] * 4, None)] * 2 + [(True, [0] * 4, None)]
+    assert own.documents(["a▁b", "plain"])[1].sizes.tolist() == own.documents(["plain"])[0].sizes.tolist()
+
+
+def test_vocabularies_that_do_not_spell_every_word():
+    own, whole = token_alignment.Aligner(A_PATH, B_PATH), token_alignment.Aligner(A_PATH, B_PATH)
+    odd = B.encode("zebra")[-1]
+    own.b_bytes[odd] = b"?" * len(own.b_bytes[odd])  # a piece that stands for other bytes
+    texts = ["a zebra here", "none of them here", "zebra", "and here"]
+    got, as_before = own.documents(texts), whole.documents(texts)
+    assert [x.spelled for x in got] == [False, True, False, True]
+    assert [got[i].sizes.tolist() for i in (1, 3)] == [as_before[i].sizes.tolist() for i in (1, 3)]
+
+
 def test_query(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
     got = sorted(map(tuple, QUERIES["op13_token_alignment"](spark, SF_SMALL).collect()), key=str)

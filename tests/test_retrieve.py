@@ -5,8 +5,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from kestrel.functions.text import hashed_embedding
 from kestrel.operators import retrieve as R
 from tests.conftest import SF_CHECK, SF_SMALL
 
@@ -205,3 +207,36 @@ def test_only_counts_of_the_queries_terms_are_stored_and_no_bound_changes_hits(s
     monkeypatch.setattr(R, "VOCABULARY_BYTES", 0)
     assert R.counted(docs, queries).where("chunk_id = 'c'").first()["terms"] == ["land"]
     assert hits() == want
+
+
+def test_streamed_index_gives_the_rows_of_the_grid(spark, monkeypatch):
+    """More queries than a grid takes: copies, ties at the border, queries without a hit, zero vectors, several index blocks."""
+    from kestrel.operators import streamed as S
+
+    vocabulary = [f"w{i}" for i in range(40)]
+    text = lambda i: " ".join(vocabulary[(i * j * j + i) % (5 + i % 36)] for j in range(1, 3 + i % 9))
+    chunks = spark.createDataFrame([(f"k{i:03d}", text(i % 190)) for i in range(300)], "chunk_id string, chunk string")
+    queries = spark.createDataFrame([(i, text(7 * i + 3)) for i in range(60)] + [(98, "nowhere to be found"), (99, "")], "query_id long, query_text string")
+    chunks = chunks.withColumn("text_vector", hashed_embedding(F.col("chunk"), 16)).localCheckpoint()
+    queries = queries.withColumn("query_vector", hashed_embedding(F.col("query_text"), 16)).localCheckpoint()
+    run = lambda: [sorted(map(tuple, f(chunks, queries, 7).collect())) for f in (R.keyword_search, R.knn_search)]
+    before = run()
+    monkeypatch.setattr(R, "CANDIDATE_ROWS", 0)
+    monkeypatch.setattr(R, "block_counts", lambda *a: (2, 1))
+    monkeypatch.setattr(S, "BLOCK_ROWS", 32)
+    after = run()
+    assert all(before) and after == before
+    cands = R.keyword_candidates(chunks, queries, 7)
+    assert cands.count() <= 3 * 7 * queries.count()  # a few times k a query, whatever the number of blocks
+
+
+def test_rerank_moves_only_words_of_the_queries(spark):
+    index = spark.createDataFrame([("a", "Red boat", ["Sea"], "the red boat " + "filler " * 500), ("b", None, ["Sea"], "boat"), ("c", "x", ["Lake"], "nothing")], "chunk_id string, title string, locations array<string>, chunk string")
+    queries = spark.createDataFrame([(1, "red sea boat"), (2, "?"), (3, None)], "query_id long, query_text string")
+    cands = spark.createDataFrame([(q, c, 1.0) for q in (1, 2, 3) for c in "abc"], "query_id long, chunk_id string, score double")
+    got = {(r["query_id"], r["chunk_id"]): r["reranker_score"] for r in R.rerank_candidates(cands, index, queries).collect()}
+    one = 4 / 4.5 / 3
+    assert got[1, "a"] == pytest.approx((2 * 2 + 1.5 + 2) * one) and got[1, "b"] is None and got[1, "c"] == 0.0
+    assert got[2, "a"] == 0.0 and got[3, "a"] is None
+    plan = R.rerank_candidates(cands, index, queries)._jdf.queryExecution().executedPlan().toString()
+    assert not any("query_id" in x for x in plan.splitlines() if "Exchange hashpartitioning" in x)  # no chunk's text goes to each of its queries

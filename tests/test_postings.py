@@ -97,3 +97,34 @@ def test_counts_of_a_text_stay_in_its_row(spark, corpus):
     p = postings.build_postings(index)
     assert p.chunks.count() == len(chunks) - 2 and "tfs" in p.chunks.columns
     assert p.blocks.agg(F.sum("n")).first()[0] == p.chunks.agg(F.sum(F.size("terms"))).first()[0]
+
+
+def test_function_index_has_a_row_a_part_and_term(spark, monkeypatch):
+    """A word of every chunk is a few rows, not one a posting; scores are those of brute force, also with copies, repeated keys,
+    and parts that end between keys."""
+    from kestrel.operators import kb_function as KB
+
+    monkeypatch.setattr(KB, "PART_CHUNKS", 16)
+    rows = [(f"k{i:03d}", "the " + " ".join(f"w{(i * j) % 17}" for j in range(1, 2 + i % 7)), "t", "u") for i in range(120)]
+    rows += [("k007", "the w1 twice w3", "t", "u"), ("k900", "...", "t", "u")]  # a key with two texts, a chunk without words
+    index = spark.createDataFrame(rows, "chunk_id string, chunk string, title string, source_url string")
+    views = KB.store_inverted_index(spark, index)
+    per = spark.table(views["postings"]).where("term = 'the'")
+    assert per.count() <= 120 / 16 + 4 * 2 and per.select("chunk_id_part").distinct().count() == per.count() > 1
+    asked = {1: "the w3 w5 nothing", 2: "W16 w16 twice", 3: "nothing", 4: ""}
+    fn = KB.register_search_function(spark, views, top=5)
+    got = KB.search_with_function(spark, spark.createDataFrame(list(asked.items()), "query_id long, query_text string"), fn)
+    got = {(r["query_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in got.collect()}
+    words = [(k, re.findall(r"[^\W_]+", t.lower())) for k, t, *_ in rows]
+    n, avgdl = len(words), sum(len(w) for _, w in words) / len(words)
+    expected = {}
+    for q, text in asked.items():
+        score = Counter()
+        for t in set(re.findall(r"\w+", text.lower())):
+            df = sum(t in w for _, w in words)
+            for k, w in words:
+                if t in w:
+                    score[k] += math.log(1 + (n - df + 0.5) / (df + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / avgdl))
+        for rank, (k, s) in enumerate(sorted(score.items(), key=lambda x: (-round(x[1], 6), x[0]))[:5], 1):
+            expected[q, rank] = (k, pytest.approx(s, abs=1e-6))
+    assert got == expected and len(got) == 10

@@ -1,8 +1,8 @@
 """Response streams whose state ends: event-time timers, and calls matched with their outputs.
 
 Both need event times and a watermark, and neither keeps a response or a call for longer than a stated time past
-its last event.  Timers are those of ``transformWithState``, which asks for the RocksDB state store;
-``with_rocksdb`` sets it for the start of a query.
+its last event.  State lies best in the RocksDB state store, outside the executors' heap; ``with_rocksdb`` sets it for the
+start of a query.
 """
 
 from __future__ import annotations
@@ -13,8 +13,7 @@ from contextlib import contextmanager
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kestrel.streaming.events import EVENT_COMPLETED, EVENT_ITEM_DONE, EVENT_TEXT_DELTA, ITEM_FUNCTION_CALL
 
@@ -41,62 +40,66 @@ def _above_watermark(condition: Column, time_col: str) -> Column:
     return F.when(condition, F.unix_millis(F.col(time_col))).isNotNull()
 
 
-class ResponseGatherer(StatefulProcessor):
-    """Per response: its deltas, one map entry each, until it is complete or has been idle for too long.
+#: Groups of responses (by a hash of their key) that share a row of state.
+GROUPS = 1024
+STATE = "keys array<string>, totals array<long>, dues array<long>, dones array<boolean>, counts array<int>, seqs array<long>, texts array<string>"
 
-    A new delta writes one small entry, not the response so far.  When the completed event and all deltas before
-    it have come, the text is emitted and the deltas are dropped; a mark stays until the timer, so events that
-    come again do not begin the response anew.  When the timer fires first, what has come is emitted as unfinished.
-    Either way nothing of the response is left afterwards.
+
+def response_gatherer(idle_ms: int, key: str):
+    """Per response: its deltas, until it is complete or has been idle for too long.
+
+    A call with its frames, state and timer takes far longer than the work on a response, so one call takes a group of
+    responses, with their state in one row and one timer, at the earliest of theirs.  When the completed event and all
+    deltas before it have come, the text is emitted and the deltas are dropped; a mark stays until the timer, so events
+    that come again do not begin the response anew.  When the timer fires first, what has come is emitted as
+    unfinished.  Either way nothing of the response is left afterwards.
     """
 
-    def __init__(self, idle_ms: int, key: str):
-        self.idle_ms, self.key = idle_ms, key
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.deltas = handle.getMapState("deltas", T.StructType([T.StructField("seq", T.LongType())]), T.StructType([T.StructField("delta", T.StringType())]))
-        fields = [T.StructField("total", T.LongType()), T.StructField("held", T.LongType()), T.StructField("timer", T.LongType()), T.StructField("done", T.BooleanType())]
-        self.meta = handle.getValueState("meta", T.StructType(fields))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        total, held, timer, done = self.meta.get() if self.meta.exists() else (None, 0, None, False)
-        last = 0
-        for part in rows:
-            for seq, completed, delta, at in zip(part["seq"], part["completed"], part["delta"], part["at"]):
-                last = max(last, int(at))
-                if done:
+    def gather(group, batches, state: GroupState) -> Iterator[pd.DataFrame]:
+        held, at_first = {}, 0  # key: [deltas by number, total, due, done]
+        if state.exists:
+            *each, seqs, texts = state.get
+            for k, total, due, done, n in zip(*each):
+                held[k] = [dict(zip(seqs[at_first : at_first + n], texts[at_first : at_first + n])), total, due, done]
+                at_first += n
+        last, out = {}, []
+        for part in () if state.hasTimedOut else batches:
+            for k, seq, completed, delta, at in zip(*(part[c].tolist() for c in ("key", "seq", "completed", "delta", "at"))):
+                k = k if isinstance(k, str) else None
+                one = held.setdefault(k, [{}, None, 0, False])
+                last[k] = max(last.get(k, 0), int(at))
+                if one[3]:
                     continue
                 if completed:
-                    total = int(seq)
-                elif not self.deltas.containsKey((int(seq),)):
-                    self.deltas.updateValue((int(seq),), (delta if isinstance(delta, str) else "",))
-                    held += 1
-        if not done and total is not None and held >= total:
-            yield self._row(key, held, True)
-            self.deltas.clear()
-            done = True
-        due = max(last, timer - self.idle_ms if timer else 0) + self.idle_ms
-        if due != timer:
-            if timer:
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(due)
-        self.meta.update((total, held, due, done))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.meta.exists():
-            _, held, _, done = self.meta.get()
-            if not done:
-                yield self._row(key, held, False)
-        self.deltas.clear()
-        self.meta.clear()
-
-    def _row(self, key, held: int, completed: bool) -> pd.DataFrame:
-        found = sorted((k[0], v[0]) for k, v in self.deltas.iterator())
-        return pd.DataFrame({self.key: [key[0]], "n_deltas": [held], "text": ["".join(t or "" for _, t in found)], "completed": [completed]})
-
-    def close(self) -> None:
-        pass
+                    one[1] = int(seq)
+                else:
+                    one[0].setdefault(int(seq), delta if isinstance(delta, str) else "")
+
+        def emit(k, completed: bool) -> None:
+            parts = held[k][0]
+            out.append((k, len(parts), "".join(parts[i] for i in sorted(parts)), completed))
+
+        for k, at in last.items():
+            parts, total, due, done = held[k]
+            if not done and total is not None and len(parts) >= total:
+                emit(k, True)
+                parts, done = {}, True
+            held[k] = [parts, total, max(at + idle_ms, due), done]
+        now = state.getCurrentWatermarkMs()
+        for k in [k for k, one in held.items() if one[2] < now]:
+            if not held[k][3]:
+                emit(k, False)
+            del held[k]
+        if held:
+            parts, *rest = zip(*held.values())
+            state.update((list(held), *map(list, rest), [len(p) for p in parts], [i for p in parts for i in p], [t for p in parts for t in p.values()]))
+            state.setTimeoutTimestamp(max(1, min(rest[1])))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=[key, "n_deltas", "text", "completed"])
+
+    return gather
 
 
 def response_text_or_timeout(events: DataFrame, key: str, seq_col: str, time_col: str, idle: str = "30 minutes", delay: str = "5 minutes",
@@ -109,15 +112,17 @@ def response_text_or_timeout(events: DataFrame, key: str, seq_col: str, time_col
     other types only move the watermark; a completed response without deltas has an empty text.  Start the query
     inside ``with_rocksdb``.
     """
-    key_type = events.schema[key].dataType
+    key_type = events.schema[key].dataType.simpleString()
     marked = events.withWatermark(time_col, delay)
     slim = marked.where(_above_watermark(F.col(type_col).isin(EVENT_TEXT_DELTA, EVENT_COMPLETED), time_col)).select(
-        F.col(key).alias("key"), F.col(seq_col).cast("long").alias("seq"), (F.col(type_col) == EVENT_COMPLETED).alias("completed"), F.col(delta_col).alias("delta"),
+        F.col(key).cast("string").alias("key"), F.col(seq_col).cast("long").alias("seq"), (F.col(type_col) == EVENT_COMPLETED).alias("completed"), F.col(delta_col).alias("delta"),
         F.unix_millis(F.col(time_col)).alias("at"), F.col(time_col).alias("event_time"),
     )
     idle_ms = int(events.sparkSession.sql(f"SELECT CAST(unix_millis(timestamp'1970-01-02 00:00:00Z' + INTERVAL {idle}) - unix_millis(timestamp'1970-01-02 00:00:00Z') AS BIGINT) AS ms").first()["ms"])
-    out = T.StructType([T.StructField(key, key_type), T.StructField("n_deltas", T.LongType()), T.StructField("text", T.StringType()), T.StructField("completed", T.BooleanType())])
-    return slim.groupBy("key").transformWithStateInPandas(ResponseGatherer(idle_ms, key), out, "Append", "EventTime")
+    found = slim.withColumn("responses", F.pmod(F.xxhash64("key"), F.lit(GROUPS))).groupBy("responses").applyInPandasWithState(
+        response_gatherer(idle_ms, key), f"{key} string, n_deltas long, text string, completed boolean", STATE, "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return found.select(F.col(key).cast(key_type).alias(key), "n_deltas", "text", "completed")
 
 
 def unanswered_calls(events: DataFrame, time_col: str, within: str = "10 minutes", delay: str = "5 minutes", answers: DataFrame | None = None) -> DataFrame:

@@ -77,3 +77,22 @@ def test_calls_against_their_outputs(spark):
     out = R.unanswered_calls(read(), "at", within="10 minutes", answers=read())
     got = E.run_to_completion(out, "t-calls").collect()
     assert sorted(r["call_id"] for r in got) == ["b", "late"]
+
+
+def test_a_null_key_takes_no_rows_from_others(spark):
+    d, done, other = E.EVENT_TEXT_DELTA, E.EVENT_COMPLETED, "response.in_progress"
+    ids = [None, *range(40)]
+    batches = [
+        [(d, i, 0, f"a{i}", at(0)) for i in ids] + [(done, i, 2, None, at(1)) for i in ids if i is None or i % 2],
+        [(d, i, 1, "b", at(2)) for i in ids] + [(d, i, 0, "again", at(3)) for i in ids],
+        [(other, None, None, None, at(200))],
+        [(other, None, None, None, at(201))],
+    ]
+    assert run(spark, batches) == sorted(((i, 2, f"a{i}b", i is None or i % 2 == 1) for i in ids), key=str)
+
+
+def test_a_timer_that_the_watermark_has_passed_fires_at_once(spark):
+    """The watermark jumps by more than the idle time between the batch that an event is not late for and the next."""
+    d, other = E.EVENT_TEXT_DELTA, "response.in_progress"
+    batches = [[(d, 1, 0, "x", at(0))], [(other, None, None, None, at(100))], [(d, 2, 0, "y", at(96))], [(other, None, None, None, at(300))], [(other, None, None, None, at(301))]]
+    assert run(spark, batches) == [(1, 1, "x", False), (2, 1, "y", False)]
